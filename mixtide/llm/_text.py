@@ -51,6 +51,11 @@ class Words:
     hash: np.ndarray
     bounds: np.ndarray  # words of document i: bounds[i] .. bounds[i + 1]
     first: int  # index of the first document in the batch
+    sums: np.ndarray
+
+    def part_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash that the bytes start .. end would have as a word."""
+        return mix((self.sums[end] - self.sums[start]) * _power(len(self.sums))[1][start])
 
     @property
     def n_docs(self) -> int:
@@ -98,7 +103,7 @@ def words(column: pa.Array, size: int = BLOCK) -> Iterator[Words]:
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         h = mix((sums[end] - sums[start]) * down[start])
-        yield Words(low, start, end, h, np.searchsorted(start, at), i)
+        yield Words(low, start, end, h, np.searchsorted(start, at), i, sums)
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
