@@ -168,7 +168,7 @@ with d as (
 select doc_id, size, source_size, target, cast(taken as bigint) as taken,
   case when copies = 0 then null when rnk % 3 = 0 then least(0.0::double + (sqrt(greatest(0.25::double + 2.0::double * greatest(share, 0.0::double), 0.0::double)) - 0.5::double) / 1.0::double, 1.0::double)
     when rnk % 3 = 1 then least(greatest(share, 0.0::double), 1.0::double)
-    else case when share <= 0.625::double then least((sqrt(greatest(2.25::double - 2.0::double * greatest(share, 0.0::double), 0.0::double)) - 1.5::double) / -1.0::double, 0.5::double)
+    else case when share <= 0.625::double then least(1.5::double - sqrt(greatest(2.25::double - 2.0::double * greatest(share, 0.0::double), 0.0::double)), 0.5::double)
       else least(0.5::double + (sqrt(greatest(1.0::double - 2.0::double * greatest(share - 0.625::double, 0.0::double), 0.0::double)) - 1.0::double) / -1.0::double, 1.0::double) end end as position
 from q
 """
