@@ -8,9 +8,9 @@ set is a point of group counts. The index has three levels of bounding regions o
    M > D slabs (ranges of coordinates) the sum over slabs of differences is at most D, so at least M - D slabs
    agree exactly. A set enters its D + 1 fullest slabs; the fullest agreeing slab is among those of both
    sets, so a search of radius zero in a slab, an equi-join on its digest, finds every linked pair;
-3. nodes of up to 32 points within a leaf, with coordinate-wise maxima as bounding boxes.
+3. nodes of up to 128 points within a full leaf, with coordinate-wise maxima as bounding boxes.
 
-The overlap of two sets is at most the sum of coordinate minima of their count vectors (folded to 64
+The overlap of two sets is at most the sum of coordinate minima of their count vectors (folded to 256
 coordinates); pairs and node pairs that this bound rules out are dropped, survivors are verified on sets.
 
 Equal sets are one point. Components need no pair inside a component already known: each leaf first links to
@@ -33,8 +33,10 @@ from mixtide.llm._common import documents, materialize, small_enough
 from mixtide.llm._text import distinct_by_document, mix, shingles, words
 from mixtide.llm.components import components
 
-FOLD = 64
-NODE = 32
+FOLD = 256
+NODE = 128
+#: Members up to which a leaf's left-over pairs are written out one by one; fuller leaves meet node by node.
+SMALL_LEAF = 64
 _POINT = "doc_id long, n_shingles long, set_id binary, counts array<int>, leaves array<long>"
 
 
@@ -142,18 +144,76 @@ def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return met.filter(F.size(F.array_intersect("ma", "mb")) * least >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
+def _meet(percent: int):
+    """Pairs of two nodes of a leaf that their coordinate minima do not rule out, each in the first full leaf that it shares."""
+
+    def lists(column: pa.Array, k: int) -> list[np.ndarray]:
+        return [np.array(x, dtype=np.int64) for x in column[k].as_py()]
+
+    def shared(left: list[np.ndarray], right: list[np.ndarray], before: int) -> np.ndarray:
+        """Do two points share a full leaf in front of this one?"""
+        left, right = [x[x < before] for x in left], [x[x < before] for x in right]
+        known = np.unique(np.concatenate(left))
+        out = []
+        for part in (left, right):
+            m = np.zeros((len(part), len(known)), dtype=np.float32)
+            for i, x in enumerate(part):
+                x = x[np.isin(x, known)]
+                m[i, np.searchsorted(known, x)] = 1
+            out.append(m)
+        return out[0] @ out[1].T > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in range(batch.num_rows):
+                ids, labels, sizes, counts = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("ids", "labels", "sizes", "counts"))
+                ids2, labels2, sizes2, counts2 = (batch.column(f"{c}2")[k].values.to_numpy(zero_copy_only=False) for c in ("ids", "labels", "sizes", "counts"))
+                counts, counts2 = counts.reshape(-1, FOLD).astype(np.int32), counts2.reshape(-1, FOLD).astype(np.int32)
+                need = (sizes[:, None] + sizes2[None, :]) * percent
+                # a sum of minima is, over levels t, the number of coordinates where both counts reach t
+                bound = sum(((counts >= t).astype(np.float32) @ (counts2 >= t).astype(np.float32).T for t in range(1, int(min(counts.max(initial=0), counts2.max(initial=0))) + 1)), np.zeros((len(ids), len(ids2)), np.float32))
+                open_ = (labels[:, None] != labels2[None, :]) & (bound * (100 + percent) >= need)
+                if batch.column("node")[k].as_py() == batch.column("node2")[k].as_py():
+                    open_ &= ids[:, None] < ids2[None, :]
+                if open_.any():
+                    open_ &= ~shared(lists(batch.column("full"), k), lists(batch.column("full2"), k), batch.column("leaf")[k].as_py())
+                i, j = np.nonzero(open_)
+                a_out.append(np.minimum(ids[i], ids2[j]))
+                b_out.append(np.maximum(ids[i], ids2[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
+
+    return run
+
+
 def _left_over(cells: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within a leaf, node by node: node pairs are dropped by their boxes."""
+    """Pairs of different components that share a leaf: of small leaves all, of full ones those that pass the bounds."""
+    cells = materialize(cells, "open")
+    size = cells.groupBy("leaf").agg(F.count("*").alias("inside"))
+    small = cells.join(size.filter(F.col("inside") <= SMALL_LEAF), "leaf").select("leaf", "doc_id", "label")
+    other = small.select("leaf", F.col("doc_id").alias("id2"), F.col("label").alias("label2"))
+    pairs = small.join(other, "leaf").filter("doc_id < id2 and label <> label2").select(F.col("doc_id").alias("a"), F.col("id2").alias("b")).distinct()
+
+    full = materialize(cells.join(size.filter(F.col("inside") > SMALL_LEAF), "leaf").select("leaf", "doc_id", "label"), "full")
+    if full.isEmpty():
+        return pairs
+    own = full.groupBy("doc_id").agg(F.sort_array(F.collect_list("leaf")).alias("full"))
     w = Window.partitionBy("leaf").orderBy("n_shingles", "doc_id")
-    inside = cells.join(points.select("doc_id", "n_shingles", "counts"), "doc_id").withColumn("node", F.floor((F.row_number().over(w) - 1) / NODE).cast("long"))
-    box = F.aggregate("points.counts", F.array_repeat(F.lit(0), FOLD), lambda s, x: F.zip_with(s, x, lambda a, b: F.greatest(a, b)))
-    nodes = inside.groupBy("leaf", "node").agg(F.min("n_shingles").alias("least"), F.collect_list(F.struct("doc_id", "label", "counts")).alias("points"))
-    nodes = materialize(nodes.select("leaf", "node", "least", box.alias("box"), F.col("points.doc_id").alias("ids"), F.col("points.label").alias("labels")), "nodes")
-    other = nodes.select("leaf", *[F.col(c).alias(f"{c}2") for c in ("node", "least", "box", "ids", "labels")])
-    met = nodes.join(other, "leaf").filter("node <= node2").filter(_bound("box", "box2") * (100 + percent) >= (F.col("least") + F.col("least2")) * percent)
-    first = met.select(F.explode(F.arrays_zip("ids", "labels")).alias("x"), "ids2", "labels2")
-    both = first.select("x", F.explode(F.arrays_zip("ids2", "labels2")).alias("y")).filter("x.labels <> y.labels2")
-    return both.select(F.least("x.ids", "y.ids2").alias("a"), F.greatest("x.ids", "y.ids2").alias("b")).distinct()
+    inside = full.join(points.select("doc_id", "n_shingles", "counts").join(own, "doc_id"), "doc_id").withColumn("node", F.floor((F.row_number().over(w) - 1) / NODE).cast("long"))
+    point = F.struct("doc_id", "label", "n_shingles", "counts", "full")
+    box = F.aggregate("p.counts", F.array_repeat(F.lit(0), FOLD), lambda s, x: F.zip_with(s, x, lambda a, b: F.greatest(a, b)))
+    nodes = inside.groupBy("leaf", "node").agg(F.min("n_shingles").alias("least"), F.collect_list(point).alias("p"))
+    nodes = materialize(nodes.select("leaf", "node", "least", box.alias("box"), F.col("p.doc_id").alias("ids"), F.col("p.label").alias("labels"), F.col("p.n_shingles").alias("sizes"), F.flatten("p.counts").alias("counts"), F.col("p.full").alias("full")), "nodes")
+    second = nodes.select("leaf", *[F.col(c).alias(f"{c}2") for c in nodes.columns if c != "leaf"])
+    met = nodes.join(second, "leaf").filter("node <= node2").filter(_bound("box", "box2") * (100 + percent) >= (F.col("least") + F.col("least2")) * percent)
+    spark, name = cells.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "16")  # a row holds two nodes
+    try:
+        met = materialize(met.drop("least", "least2", "box", "box2").mapInArrow(_meet(percent), "a long, b long"), "met")
+    finally:
+        spark.conf.set(name, was)
+    return pairs.unionByName(met).distinct()
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
