@@ -5,21 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALL = Window.partitionBy()
-
-
 def effective_yield(recovery: Column, visibility: Column) -> Column:
     return recovery * visibility
 
 
 def source_to_analyzed(weights: DataFrame) -> DataFrame:
     """(origin, w, e) -> analyzed share, w * e normalised (YD2); one row per origin."""
-    return weights.withColumn("analyzed", F.col("w") * F.col("e") / F.sum(F.col("w") * F.col("e")).over(_ALL))
+    return weights.withColumn("analyzed", F.col("w") * F.col("e") / F.sum(F.col("w") * F.col("e")).over(Window.partitionBy()))
 
 
 def analyzed_to_source(weights: DataFrame) -> DataFrame:
     """(origin, w, e) -> source share, w / e normalised; e must be positive (YD3)."""
-    return weights.withColumn("source", F.col("w") / F.col("e") / F.sum(F.col("w") / F.col("e")).over(_ALL))
+    return weights.withColumn("source", F.col("w") / F.col("e") / F.sum(F.col("w") / F.col("e")).over(Window.partitionBy()))
 
 
 def gate_visibility(emissions: DataFrame, schedule: DataFrame, missing_rate: float = 0.0) -> DataFrame:
