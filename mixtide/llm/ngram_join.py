@@ -37,7 +37,7 @@ FOLD = 256
 NODE = 128
 #: Members up to which a leaf's left-over pairs are written out one by one; fuller leaves meet node by node.
 SMALL_LEAF = 64
-_POINT = "doc_id long, n_shingles long, set_id binary, counts array<int>, leaves array<long>"
+_POINT = "doc_id long, n_shingles long, set_id binary"
 
 
 def size_tags(n: np.ndarray, percent: int) -> np.ndarray:
@@ -91,42 +91,49 @@ def _leaves(h: np.ndarray, bounds: np.ndarray, tags: np.ndarray, percent: int) -
     return [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in out]
 
 
-def _points(n: int, percent: int):
+def _each(n: int, row):
+    """A function over Arrow batches: row(ids, hashes, bounds) for each block of documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids = batch.column("doc_id").cast(pa.int64())
             for w in words(batch.column("text")):
-                h, doc = shingles(w, n)
-                h, bounds = distinct_by_document(h, doc, w.n_docs)
-                size = np.diff(bounds)
-                doc = np.repeat(np.arange(w.n_docs), size)
-                fold = np.bincount(doc * FOLD + (h & np.uint64(FOLD - 1)).astype(np.int64), minlength=w.n_docs * FOLD).astype(np.int32)
-                leaves = _leaves(h, bounds, np.where(size > 0, size_tags(size, percent), -9), percent)
-                keys = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(w.first, w.n_docs).cast(pa.int64()),
-                        pa.array(size, pa.int64()),
-                        pa.array(keys, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(w.n_docs + 1) * FOLD, pa.int32()), pa.array(fold)),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in leaves])]), pa.int32()), pa.array(np.concatenate(leaves) if leaves else np.zeros(0, np.int64))),
-                    ],
-                    names=["doc_id", "n_shingles", "set_id", "counts", "leaves"],
-                )
+                h, bounds = distinct_by_document(*shingles(w, n), w.n_docs)
+                yield row(ids.slice(w.first, w.n_docs), h, bounds)
 
     return run
 
 
+def _points(n: int):
+    def row(ids: pa.Array, h: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        keys = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds), pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "set_id"])
+
+    return _each(n, row)
+
+
+def _entries(n: int, percent: int):
+    """(leaf, doc_id): the leaves that each point enters."""
+
+    def row(ids: pa.Array, h: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        size = np.diff(bounds)
+        leaves = _leaves(h, bounds, np.where(size > 0, size_tags(size, percent), -9), percent)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *leaves])), pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), [len(x) for x in leaves]))], names=["leaf", "doc_id"])
+
+    return _each(n, row)
+
+
 def _sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            for w in words(batch.column("text")):
-                h, doc = shingles(w, n)
-                h, bounds = distinct_by_document(h, doc, w.n_docs)
-                yield pa.RecordBatch.from_arrays([ids.slice(w.first, w.n_docs).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))], names=["doc_id", "members"])
+    """The sets themselves and their count vectors."""
 
-    return run
+    def row(ids: pa.Array, h: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        docs = len(bounds) - 1
+        place = np.repeat(np.arange(docs), np.diff(bounds)) * FOLD + (h & np.uint64(FOLD - 1)).astype(np.int64)
+        fold = np.bincount(place, minlength=docs * FOLD).astype(np.int32)
+        counts = pa.ListArray.from_arrays(pa.array(np.arange(docs + 1) * FOLD, pa.int32()), pa.array(fold))
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds), pa.int64()), counts, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))], names=["doc_id", "n_shingles", "counts", "members"])
+
+    return _each(n, row)
 
 
 def _bound(a: str, b: str):
@@ -225,19 +232,19 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     are ignored. percent is 51 to 99.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = materialize(named.mapInArrow(_points(n, percent), _POINT), "points")
+    table = materialize(named.mapInArrow(_points(n), _POINT), "points")
     full = table.filter("doc_id is not null and set_id is not null")
     owner = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies")), "owner")
     member = full.select("doc_id", "set_id").join(owner.filter("copies > 1"), "set_id").select("doc_id", "own")
     member = materialize(member.filter("doc_id <> own").distinct(), "copies")
-    alone = full.join(small_enough(member.select("doc_id")), "doc_id", "left_anti").select("doc_id", F.explode("leaves").alias("leaf"))
+    alone = named.filter("doc_id is not null").join(small_enough(member.select("doc_id")), "doc_id", "left_anti").mapInArrow(_entries(n, percent), "leaf long, doc_id long")
     w = Window.partitionBy("leaf")
     cells = alone.withColumns({"low": F.min("doc_id").over(w), "high": F.max("doc_id").over(w)}).filter("low < high").select("leaf", "doc_id", F.col("low").alias("hub"))
     cells = materialize(cells, "cells")
     ids = small_enough(materialize(cells.select("doc_id").distinct(), "ids"))
-    members = named.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, members array<long>")
     # one row per doc_id: repeated rows are alike
-    points = materialize(members.join(table.select("doc_id", "n_shingles", "counts"), "doc_id").filter(F.size("members") == F.col("n_shingles")).dropDuplicates(["doc_id"]), "sets")
+    members = named.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, n_shingles long, counts array<int>, members array<long>")
+    points = materialize(members.dropDuplicates(["doc_id"]), "sets")
 
     copies = member.select(F.col("own").alias("a"), F.col("doc_id").alias("b"))
     tried = materialize(cells.filter("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
