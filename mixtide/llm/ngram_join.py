@@ -8,7 +8,7 @@ set is a point of group counts. The index has three levels of bounding regions o
    M > D slabs (ranges of coordinates) the sum over slabs of differences is at most D, so at least M - D slabs
    agree exactly. A set enters its D + 1 fullest slabs; the fullest agreeing slab is among those of both
    sets, so a search of radius zero in a slab, an equi-join on its digest, finds every linked pair;
-3. nodes of up to 128 points within a full leaf, with coordinate-wise maxima as bounding boxes.
+3. nodes of about 128 points of like size within a full leaf, with coordinate-wise maxima as bounding boxes.
 
 The overlap of two sets is at most the sum of coordinate minima of their count vectors (folded to 256
 coordinates); pairs and node pairs that this bound rules out are dropped, survivors are verified on sets.
@@ -37,6 +37,8 @@ FOLD = 256
 NODE = 128
 #: Members up to which a leaf's left-over pairs are written out one by one; fuller leaves meet node by node.
 SMALL_LEAF = 64
+#: Leaves of several points up to which their ids are broadcast (16 bytes each); beyond it the join shuffles.
+LEAVES = 250_000
 _POINT = "doc_id long, n_shingles long, set_id binary"
 
 
@@ -205,8 +207,12 @@ def _left_over(cells: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     if full.isEmpty():
         return pairs
     own = full.groupBy("doc_id").agg(F.sort_array(F.collect_list("leaf")).alias("full"))
-    w = Window.partitionBy("leaf").orderBy("n_shingles", "doc_id")
-    inside = full.join(points.select("doc_id", "n_shingles", "counts").join(own, "doc_id"), "doc_id").withColumn("node", F.floor((F.row_number().over(w) - 1) / NODE).cast("long"))
+    # a point's node comes from how many smaller ones its leaf has, counted by size, and a hash among those of its size
+    sized = materialize(full.join(points.select("doc_id", "n_shingles"), "doc_id").groupBy("leaf", "n_shingles").agg(F.count("*").alias("alike")), "sized")
+    smaller = Window.partitionBy("leaf").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("smaller", F.coalesce(F.sum("alike").over(smaller), F.lit(0)))
+    inside = full.join(points.select("doc_id", "n_shingles", "counts").join(own, "doc_id"), "doc_id").join(sized, ["leaf", "n_shingles"])
+    inside = inside.withColumn("node", F.floor((F.col("smaller") + F.pmod(F.xxhash64("doc_id"), F.col("alike"))) / NODE).cast("long"))
     point = F.struct("doc_id", "label", "n_shingles", "counts", "full")
     box = F.aggregate("p.counts", F.array_repeat(F.lit(0), FOLD), lambda s, x: F.zip_with(s, x, lambda a, b: F.greatest(a, b)))
     nodes = inside.groupBy("leaf", "node").agg(F.min("n_shingles").alias("least"), F.collect_list(point).alias("p"))
@@ -238,9 +244,10 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     member = full.select("doc_id", "set_id").join(owner.filter("copies > 1"), "set_id").select("doc_id", "own")
     member = materialize(member.filter("doc_id <> own").distinct(), "copies")
     alone = named.filter("doc_id is not null").join(small_enough(member.select("doc_id")), "doc_id", "left_anti").mapInArrow(_entries(n, percent), "leaf long, doc_id long")
-    w = Window.partitionBy("leaf")
-    cells = alone.withColumns({"low": F.min("doc_id").over(w), "high": F.max("doc_id").over(w)}).filter("low < high").select("leaf", "doc_id", F.col("low").alias("hub"))
-    cells = materialize(cells, "cells")
+    # partial minima and maxima name the leaves of several points; a join, which splits hot leaves, picks their entries
+    several = alone.groupBy("leaf").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("high")).filter("hub < high").select("leaf", "hub")
+    several = materialize(several, "leaves")
+    cells = materialize(alone.join(small_enough(several, LEAVES), "leaf").select("leaf", "doc_id", "hub"), "cells")
     ids = small_enough(materialize(cells.select("doc_id").distinct(), "ids"))
     # one row per doc_id: repeated rows are alike
     members = named.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, n_shingles long, counts array<int>, members array<long>")
