@@ -8,6 +8,8 @@ range-sorted by position. The copy on which a source's target falls is taken up
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
 #: Density over time for the 1st, 2nd, 3rd source and so on, repeating: (time, density) knots.
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)))
-#: Rows of one source that a task orders at a time.
-RUN = 50_000
 
 
 def order_key(doc_id: Column) -> Column:
@@ -84,8 +84,9 @@ def assign(docs: DataFrame, schedules=SCHEDULES, weights=WEIGHTS, most: int = MO
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), F.xxhash64("text", F.lit(7)).alias("row_hash"))
     sizes = materialize(sizes, "sizes")
     by_source = materialize(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    # prefix sums in two passes: totals of (source, run of hashes), then inside each run; runs grow in number with the rows
-    runs = max(1, -(-sizes.count() // RUN))
+    # prefix sums in two passes: totals of (source, run of hashes), then inside each run; the runs of a source and the rows of a run
+    # both grow with the square root of the rows
+    runs = math.isqrt(sizes.count()) + 1
     width = (1 << 52) // runs + 1
     cut = sizes.withColumn("run", F.floor(F.col("key") / F.lit(width)).cast("long"))
     totals = cut.groupBy("source", "run").agg(F.sum("size").alias("words"))
