@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixtide.functions.math import log_complement, log_or_neg_inf
+from mixtide.functions.math import expit, log_complement, log_or_neg_inf, logit
 
 
 def emissions(profiles: DataFrame, rates: DataFrame) -> DataFrame:
@@ -60,3 +60,29 @@ def ratio_compatible(ll: Column, threshold: float) -> Column:
 def condition_on_gate(ll: Column, visibility: list[float]) -> Column:
     """ll - ln v (YD5)."""
     return F.zip_with(ll, F.array(*[F.ln(F.lit(v)) for v in visibility]), lambda x, v: x - v)
+
+
+def perturb(emissions: DataFrame, shift: float, scale: float, noise: Column, low: float = 1e-6) -> DataFrame:
+    """(origin, probe, q): q moved by shift + scale * noise in logits, kept in [low, 1 - low] (PRJ3)."""
+    moved = expit(logit(F.col("q")) + F.lit(shift) + F.lit(scale) * noise)
+    return emissions.withColumn("q", F.greatest(F.lit(low), F.least(F.lit(1 - low), moved)))
+
+
+def overlaps(emissions: DataFrame) -> DataFrame:
+    """(origin, probe, q) -> a, b, hellinger of every two origins' product distributions (MT16); origins are few."""
+    one, two = emissions.select("probe", F.col("origin").alias("a"), F.col("q").alias("p")), emissions.select("probe", F.col("origin").alias("b"), F.col("q").alias("r"))
+    alike = F.product(F.sqrt(F.col("p") * F.col("r")) + F.sqrt((1 - F.col("p")) * (1 - F.col("r"))))
+    return one.join(two, "probe").filter("a < b").groupBy("a", "b").agg(F.sqrt(F.greatest(F.lit(0.0), 1 - alike)).alias("hellinger"))
+
+
+def tolerant_groups(rows: list[list[float]], atol: float, rtol: float = 0.0) -> list[list[int]]:
+    """Origins in order, each to the first group whose first member is within atol + rtol * |member| everywhere (AGG14)."""
+    groups: list[list[int]] = []
+    for k, row in enumerate(rows):
+        for g in groups:
+            if all(abs(x - y) <= atol + rtol * abs(y) for x, y in zip(row, rows[g[0]], strict=True)):
+                g.append(k)
+                break
+        else:
+            groups.append([k])
+    return groups

@@ -56,3 +56,20 @@ def wilson(rows: DataFrame, z: float = 1.959963984540054) -> DataFrame:
     p, n = F.col("hits") / F.col("n"), F.col("n")
     centre, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return rows.withColumns({"share": p, "low": centre - half, "high": centre + half})
+
+
+def group_sums(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """Sums of columns by the group of each origin (AGG15); labels (origin, group_id) has a row per origin."""
+    return rows.join(F.broadcast(labels), "origin").groupBy("group_id").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def augmented_error(pairs: DataFrame, outlier_mass: float) -> DataFrame:
+    """(est, truth) over the dictionary plus one coordinate of the mass outside it, estimated 0 -> mae, rmse, max_abs (MT3, MT4)."""
+    d, out = F.abs(F.col("est") - F.col("truth")), F.lit(float(outlier_mass))
+    n = F.count("*") + 1
+    return pairs.agg(((F.sum(d) + out) / n).alias("mae"), F.sqrt((F.sum(d * d) + out * out) / n).alias("rmse"), F.greatest(F.max(d), out).alias("max_abs"), ((F.sum(d) + out) / 2).alias("tv"))
+
+
+def feature_marginals(weights: DataFrame, features: DataFrame, *columns: str) -> DataFrame:
+    """(origin, w...), (origin, feature, bit) -> feature and the weight of origins that have it (MT5, BS4)."""
+    return weights.join(F.broadcast(features.filter("bit = 1")), "origin").groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns])
