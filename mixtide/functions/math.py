@@ -41,11 +41,21 @@ def uniform(*keys) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value) with value computed once, inside expressions that name it often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(values: Column) -> Column:
     """exp(x) normalised, of an array of logarithms with at least one finite entry."""
-    top = F.array_max(values)
-    shifted = F.transform(values, lambda x: F.exp(x - top))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda s, y: s + y))
+
+    def shares(e: Column) -> Column:
+        return _bind(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total))
+
+    def shifted(v: Column) -> Column:
+        return _bind(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+
+    return _bind(values, lambda v: _bind(shifted(v), shares))
 
 
 def first_argmax(values: Column) -> Column:
