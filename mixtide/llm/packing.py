@@ -49,11 +49,19 @@ class Encoder:
         self.flat, self.used = np.full(1 << 20, END_ID, dtype=self.type), 1
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for k in range(0, len(texts), 4000):
-            ids = np.array(self.tokenizer.encode(self.mark.join(texts[k : k + 4000]), add_special_tokens=False).ids, dtype=self.type)
-            out += np.split(ids, np.flatnonzero(ids == self.mark_id))
-            out[len(out) - len(texts[k : k + 4000]) + 1 :] = [x[1:] for x in out[len(out) - len(texts[k : k + 4000]) + 1 :]]
+        """Ids of each text. Texts are encoded in batches joined by the mark; one that may hold a mark is encoded alone."""
+        out: list[np.ndarray] = [np.zeros(0, self.type)] * len(texts)
+        alone = [i for i, x in enumerate(texts) if "<|" in x]
+        for i in alone:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=self.type)
+        held = set(alone)
+        joined = [i for i in range(len(texts)) if i not in held]
+        for k in range(0, len(joined), 4000):
+            some = joined[k : k + 4000]
+            ids = np.array(self.tokenizer.encode(self.mark.join([texts[i] for i in some]), add_special_tokens=False).ids, dtype=self.type)
+            pieces = np.split(ids, np.flatnonzero(ids == self.mark_id))
+            for i, x in zip(some, [pieces[0], *(x[1:] for x in pieces[1:])], strict=True):
+                out[i] = x
         return out
 
     def _look_up(self, h: np.ndarray, w, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

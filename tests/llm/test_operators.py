@@ -137,6 +137,20 @@ def test_packing_round_trip(odd):
     assert collections.Counter(pieces[pieces["start"] == 0]["doc_tokens"]) == want
 
 
+def test_packing_of_marks_inside_words(spark):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(default_tokenizer())
+    marks = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
+    texts = [form.replace("{}", m) for m in marks for form in ("{}x", "{}Hello there", "a{}b", "{}7", "é{}é", "x{}", "one a{}b two, {}{}c", "{}{}", "<{}|>x")] + ["plain words", "a <| b", "<|", "x<", "|y"]
+    ids = [[*coder.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    pieces = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in pieces} == {d: len(x) for d, x in enumerate(ids)}
+    for r in pieces:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(np.array(part, dtype="<u4").tobytes())
+
+
 def test_quality_counts(odd):
     def brute(t):
         w = WORD.findall(t or "")
