@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency (operator 5). DataFrame functions only.
 
 Base candidates come from three patterns. The method adds bare strings that mix upper case, lower case and digits:
-every candidate value is hashed and its distinct repositories and owners are counted over the whole corpus. A value
-of at most MAX_OWNERS owners that also looks random is live; one that many owners carry is a copied example.
+every candidate value is hashed and its distinct repositories and owners are counted over the whole corpus. A bare
+value of at most MAX_OWNERS owners and MAX_REPOSITORIES repositories that also looks random is live; a value beyond
+either is a copied example. Base spans are listed whatever their verdict, but copied ones are not redacted.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixtide.llm._common import documents, materialize
+from mixtide.llm._common import documents, materialize, small_enough
 
 #: The patterns of the base kinds, in the order in which kinds sort.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -20,6 +21,10 @@ HEX = r"[0-9a-f]{32,}"
 BARE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "live")
 MAX_OWNERS = 2
+#: A fixed number, not a share: one owner may hold most of a corpus, and a credential is no more widely used for that.
+MAX_REPOSITORIES = 20
+#: Copied values (64 bytes each) up to which their list is broadcast.
+BROADCAST_VALUES = 200_000
 REDACTED = "[secret]"
 
 
@@ -67,42 +72,62 @@ def joined(x: Column) -> Column:
     return F.array_join(F.transform(x, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def ownership(candidates: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def ownership(candidates: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """(value_hash, repository, owner) -> value_hash, n_repositories, n_owners, live. Partial sums come before each shuffle."""
     by_repository = candidates.groupBy("value_hash", "repository", "owner").agg(F.count("*").alias("n"))
     counts = by_repository.groupBy("value_hash").agg(F.countDistinct("repository").alias("n_repositories"), F.countDistinct("owner").alias("n_owners"))
-    return counts.withColumn("live", F.col("n_owners") <= max_owners)
+    return counts.withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
 
 
-def scan(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(doc_id, text, owner) -> one row per input row: row_hash, doc_id, found, live.
-
-    found: all base spans in order; live: the bare spans whose value is owner-specific. A document is a
-    repository; a null owner counts as one owner of its own. Null text: no spans. Repeated rows give equal results. Columns besides
-    doc_id, text and owner are ignored.
-    """
+def _every_span(docs: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs with their spans, and those spans one by one with value, value_hash and repository."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = F.coalesce(F.col(owner).cast("string"), F.lit("\x00"))
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("owner"), F.xxhash64("text", F.lit(7)).alias("row_hash"), base_spans(text).alias("found"), bare_spans(text).alias("bare"))
     one = materialize(one, "spans")
     held = one.withColumn("x", F.explode(F.concat("found", "bare"))).withColumn("value", value_of(F.col("x")))
-    held = held.withColumn("value_hash", F.sha2("value", 256))
-    verdict = ownership(held.select("value_hash", F.coalesce("doc_id", F.lit(-1)).alias("repository"), "owner"), max_owners)
-    candidates = held.filter((F.col("x.kind") == 3) & looks_random(F.col("value")))
-    live = candidates.join(verdict.filter("live").select("value_hash"), "value_hash").groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set("x")).alias("live"))
-    met = one.join(live.withColumnRenamed("doc_id", "id").withColumnRenamed("row_hash", "hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("hash")), "left")
-    return met.select("row_hash", "doc_id", "found", F.coalesce("live", F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")).alias("live"))
+    return one, held.withColumn("value_hash", F.sha2("value", 256)).withColumn("repository", F.coalesce("doc_id", "row_hash"))
+
 
+def verdicts(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """(doc_id, text, owner) -> value_hash, n_repositories, n_owners, live of every base and bare value."""
+    return ownership(_every_span(docs, owner)[1].select("value_hash", "repository", "owner"), max_owners, max_repositories)
 
-def all_spans() -> Column:
+
+def scan(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """(doc_id, text, owner) -> one row per input row: row_hash, doc_id, found, live, copied.
+
+    found: all base spans in order; live: the bare spans whose value is owner-specific; copied: the base spans whose
+    value is a copied example. A document is a repository (a null doc_id: each text); a null owner counts as one owner
+    of its own. Null text: no spans. Repeated rows give equal results. Columns besides doc_id, text and owner are ignored.
+    """
+    one, held = _every_span(docs, owner)
+    verdict = ownership(held.select("value_hash", "repository", "owner"), max_owners, max_repositories)
+    examples = materialize(verdict.filter(~F.col("live")).select("value_hash", F.lit(True).alias("example")), "examples")
+    candidates = held.filter((F.col("x.kind") < 3) | looks_random(F.col("value")))
+    met = candidates.join(small_enough(examples, BROADCAST_VALUES), "value_hash", "left").withColumn("example", F.coalesce("example", F.lit(False)))
+    judged = met.filter((F.col("x.kind") < 3) == F.col("example"))  # base spans that are examples, bare ones that are not
+    kept = lambda base: F.array_sort(F.collect_set(F.when((F.col("x.kind") < 3) == base, F.col("x"))))
+    sides = judged.groupBy(F.col("doc_id").alias("id"), F.col("row_hash").alias("hash")).agg(kept(False).alias("live"), kept(True).alias("copied"))
+    both = one.join(sides, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("hash")), "left")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    return both.select("row_hash", "doc_id", "found", F.coalesce("live", none).alias("live"), F.coalesce("copied", none).alias("copied"))
+
+
+def all_spans(base: Column | str = "found") -> Column:
     """Base spans and live spans in order; a live span that a base span covers adds nothing."""
-    extra = F.filter("live", lambda x: ~F.exists("found", lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"])))
-    return F.array_sort(F.concat("found", extra))
+    base = F.col(base) if isinstance(base, str) else base
+    extra = F.filter("live", lambda x: ~F.exists(base, lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"])))
+    return F.array_sort(F.concat(base, extra))
 
 
 def redact(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """docs with every secret's value replaced by REDACTED and n_chars, if there, set to the new length; rows and columns stay."""
-    found = scan(docs, owner).filter(F.size("found") + F.size("live") > 0).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), all_spans().alias("__spans")).dropDuplicates(["__id", "__hash"])
+    """docs with every secret's value replaced by REDACTED and n_chars, if there, set to the new length; rows and columns stay.
+
+    Base values that are copied examples stay as they are.
+    """
+    spans = all_spans(F.array_except("found", "copied"))
+    found = scan(docs, owner).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), spans.alias("__spans")).filter(F.size("__spans") > 0).dropDuplicates(["__id", "__hash"])
     met = docs.withColumn("__row", F.xxhash64("text", F.lit(7))).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__hash")), "left")
     merge = lambda s, x: F.struct(
         F.greatest(s["at"], x["end"]).alias("at"),
