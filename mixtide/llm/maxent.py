@@ -1,13 +1,16 @@
 """Hashed maximum-entropy language model with a class-factored softmax (operator 4).
 
-P(token | context) = P(class | context) * P(token | class). The class comes from a softmax whose weights sit in
+P(token | context) = P(class | context) * P(token | class, context). The class comes from a softmax whose weights sit in
 hashed rows: the previous word (bigram), the two previous words (trigram), the word before the previous one
-(skip) and the pair of their classes. P(token | class) is the token's smoothed share of its class's counts.
+(skip) and the pair of their classes. P(token | class, context) goes down a binary tree of the class's words, by the
+bits of the word's hash: the logit of each turn is that of the counts below, plus hashed weights of (turn, bigram),
+(turn, trigram) and (turn, skip). Words of one leaf share it by their smoothed counts.
 
 Classes: the most frequent words and the end token are classes of their own; all other words fall into clusters
 of word endings, found by k-means over the distribution of what precedes an ending (a table of fixed size).
-Training is one pass over all training documents in two rounds: each shard runs Adagrad updates over its
-documents from the common weights, and the shards' weights are averaged row by row, weighted by visits.
+Training is one pass over all training documents in two rounds or more: each shard runs Adagrad updates over its
+documents from the common weights, and the shards' weights are averaged row by row, weighted by visits. Rows, the
+word weights and rounds grow with the training tokens (see sizes).
 
 Counts cover all training documents. Words with at least a share SHARE of all tokens (so at most 1/SHARE of
 them) are broadcast; the other tokens meet their counts in a shuffled join.
@@ -30,8 +33,12 @@ SHARE = 5e-7
 SINGLES, CLUSTERS = 8, 24
 CLASSES = SINGLES + CLUSTERS
 ENDINGS, BEFORE = 4096, 256
+#: Rows to each kind of context and weights of the word factor, at least (those at GROWTH_TOKENS: WORD_SLOTS).
 ROWS = 8192
-TABLE = 3 * ROWS + CLASSES * CLASSES
+LEAST_SLOTS, WORD_SLOTS = 1 << 16, 1 << 20
+GROWTH_TOKENS = 64_000_000
+#: Levels of the word trees, at most; there is a leaf in four for each word of the head.
+MOST_DEPTH = 14
 #: Training tokens to a shard of training, at least; bounds what the shards send against what they read.
 SHARD_TOKENS = 4_000_000
 BATCH = 4096
@@ -42,6 +49,20 @@ _LETTER[97:123] = True
 _LETTER[128:] = True
 
 
+def sizes(total: int) -> tuple[int, int, int, int]:
+    """(rows, word weights, rounds, shards to a round) for so many training tokens.
+
+    Tables grow with the root of the tokens beyond GROWTH_TOKENS (word weights in proportion before that), and shards
+    grow with the tables, so that what shards send stays in proportion to what they read.
+    """
+    growth = total / GROWTH_TOKENS
+    grown = round(np.log2(max(growth, 1)) / 2)
+    slots = WORD_SLOTS << grown if growth >= 1 else max(LEAST_SLOTS, WORD_SLOTS >> int(-np.log2(max(growth, 1e-9))))
+    rows, rounds = ROWS << grown, 2 + grown // 2
+    floats = (3 * rows + CLASSES * CLASSES) * (CLASSES + 1) + 2 * slots
+    return rows, slots, rounds, max(1, round(2 * total / (rounds * max(SHARD_TOKENS, 1.5 * floats))))
+
+
 def endings(w: Words) -> np.ndarray:
     """The hashed last three letters' bytes of each word (of a word without letters: its last three bytes)."""
     at = np.where(_LETTER[w.data], np.arange(len(w.data)), -1)
@@ -113,12 +134,30 @@ def cluster(met: np.ndarray, k: int = CLUSTERS, rounds: int = 8) -> np.ndarray:
     return own
 
 
+def word_tree(mass: np.ndarray) -> np.ndarray:
+    """Logits of turning right at nodes 1, 2, ... of each class's tree, from the masses of its leaves (classes, leaves)."""
+    out, depth = np.zeros(mass.shape, dtype=np.float32), mass.shape[1].bit_length() - 1
+    for level in range(depth - 1, -1, -1):
+        left, right = mass[:, 0::2], mass[:, 1::2]
+        out[:, 1 << level : 2 << level] = np.log(right / left)
+        mass = left + right
+    return out
+
+
+def log_sigmoid(z: np.ndarray) -> np.ndarray:
+    return -np.logaddexp(0, -z)
+
+
 class Model:
     """Classes, counts of frequent words and weights: what scoring needs on every executor."""
 
-    def __init__(self, classes, singles, single_class, head, head_n, log_total, base_total, weights):
+    def __init__(self, classes, singles, single_class, head, head_n, log_total, base_total, rows, tree, slots):
         self.classes, self.singles, self.single_class = classes, singles, single_class
-        self.head, self.head_n, self.log_total, self.base_total, self.weights = head, head_n, log_total, base_total, weights
+        self.head, self.head_n, self.log_total, self.base_total = head, head_n, log_total, base_total
+        self.rows, self.table = rows, 3 * rows + CLASSES * CLASSES
+        self.weights = np.zeros((self.table, CLASSES), dtype=np.float32)
+        self.tree, self.depth = tree, tree.shape[1].bit_length() - 1  # logit of the counts at each turn, by class
+        self.slots, self.word_weights = slots, np.zeros(slots, dtype=np.float32)
 
     def class_of(self, h: np.ndarray, e: np.ndarray) -> np.ndarray:
         out = self.classes[e]
@@ -128,19 +167,31 @@ class Model:
             out = np.where(hit, self.single_class[at], out)
         return out
 
-    def features(self, h: np.ndarray, c: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Rows of the weight table for each token: (tokens, 4)."""
+    def features(self, h: np.ndarray, c: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the weight table for each token, (4, tokens), and its contexts' hashes, (3, tokens)."""
         begin = bounds[:-1]
         h1, c1 = np.concatenate([[_START], h[:-1]]), np.concatenate([[0], c[:-1]])
         h1[begin], c1[begin] = _START, 0
         h2, c2 = np.concatenate([[_START], h1[:-1]]), np.concatenate([[0], c1[:-1]])
         h2[begin], c2[begin] = _START, 0
+        pair = (h1 * np.uint64(0x9E3779B97F4A7C15) + h2) * np.uint64(0xD6E8FEB86659FD93)
+        low = np.uint64(self.rows - 1)
         out = np.empty((4, len(h)), dtype=np.int32)
-        out[0] = h1 & np.uint64(ROWS - 1)
-        out[1] = ROWS + ((h1 * np.uint64(0x9E3779B97F4A7C15) + h2) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(51)).astype(np.int32)
-        out[2] = 2 * ROWS + ((h2 >> np.uint64(20)) & np.uint64(ROWS - 1)).astype(np.int32)
-        out[3] = 3 * ROWS + c1 * CLASSES + c2
-        return out
+        out[0] = h1 & low
+        out[1] = self.rows + (pair >> np.uint64(64 - (self.rows.bit_length() - 1))).astype(np.int32)
+        out[2] = 2 * self.rows + ((h2 >> np.uint64(20)) & low).astype(np.int32)
+        out[3] = 3 * self.rows + c1 * CLASSES + c2
+        return out, np.stack([mix(h1), mix(pair), mix(h2 + np.uint64(0xA0761D6478BD642F))])
+
+    def turns(self, h: np.ndarray, c: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For words of clusters: places of their weights (tokens, depth, 3), logits of the counts and signs (tokens, depth)."""
+        bucket = (h >> np.uint64(64 - self.depth)).astype(np.int32)[:, None]
+        level = np.arange(self.depth, dtype=np.int32)
+        node = (1 << level) | (bucket >> (self.depth - level))
+        sign = (2 * ((bucket >> (self.depth - 1 - level)) & 1) - 1).astype(np.float32)
+        name = ((c[:, None] << self.depth) | node).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        at = ((contexts.T[:, None, :] ^ name[:, :, None]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (self.slots.bit_length() - 1))
+        return at.astype(np.int32), self.tree[c[:, None], node], sign
 
     def forward(self, f: np.ndarray, weights: np.ndarray) -> np.ndarray:
         z = weights[f[0]]
@@ -153,28 +204,41 @@ class Model:
 def _train(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        w, seen = model.weights.copy(), np.zeros(TABLE, dtype=np.float32)
-        gain = np.full((TABLE, CLASSES), 1e-2, dtype=np.float32)
+        w, seen = model.weights.copy(), np.zeros(model.table, dtype=np.float32)
+        gain = np.full((model.table, CLASSES), 1e-2, dtype=np.float32)
+        v, met = model.word_weights.copy(), np.zeros(model.slots, dtype=np.float32)
+        word_gain, step_of = np.full(model.slots, 1e-2, dtype=np.float32), np.zeros(model.slots, dtype=np.float32)
+        narrow = np.uint16 if model.table <= 1 << 16 else np.uint32
         for batch in batches:
             for part in words(batch.column("text")):
                 h, e, bounds = tokens(part)
                 c = model.class_of(h, e)
-                f = model.features(h, c, bounds)
+                f, contexts = model.features(h, c, bounds)
                 for a in range(0, len(h), BATCH):
                     fa, ca = f[:, a : a + BATCH], c[a : a + BATCH]
                     g = np.exp(model.forward(fa, w))
                     g /= g.sum(axis=1, keepdims=True)
                     g[np.arange(len(ca)), ca] -= 1
                     for k in range(4):
-                        order = np.argsort(fa[k].astype(np.uint16), kind="stable")
+                        order = np.argsort(fa[k].astype(narrow), kind="stable")
                         rows = fa[k][order]
                         starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
                         step, rows_at = np.add.reduceat(g[order], starts, axis=0), rows[starts]
                         gain[rows_at] += step * step
                         w[rows_at] -= rate * step / np.sqrt(gain[rows_at])
                         seen[rows_at] += np.diff(np.append(starts, len(rows)))
+                    own = np.flatnonzero(ca >= SINGLES)
+                    at, prior, sign = model.turns(h[a : a + BATCH][own], ca[own], contexts[:, a : a + BATCH][:, own])
+                    slope = -sign / (1 + np.exp(np.clip(sign * (prior + v[at].sum(axis=2)), -50, 50)))
+                    at = at.ravel()
+                    np.add.at(step_of, at, np.repeat(slope.ravel(), 3))
+                    step = step_of[at]  # equal at equal places, so that assignments agree
+                    step_of[at] = 0
+                    word_gain[at] = word_gain[at] + step * step
+                    v[at] = v[at] - rate * step / np.sqrt(word_gain[at])
+                    np.add.at(met, at, np.float32(1))
         context = TaskContext.get()
-        yield from vector_rows({"short_w": w * seen[:, None], "short_n": seen}, context.partitionId() if context else 0)
+        yield from vector_rows({"short_w": w * seen[:, None], "short_n": seen, "short_v": v * met, "short_m": met}, context.partitionId() if context else 0)
 
     return run
 
@@ -191,12 +255,15 @@ def _score(shared):
             for part in words(batch.column("text")):
                 h, e, bounds = tokens(part)
                 c = model.class_of(h, e)
-                f = model.features(h, c, bounds)
+                f, contexts = model.features(h, c, bounds)
                 term = np.empty(len(h))
                 for a in range(0, len(h), BATCH):
                     z = model.forward(f[:, a : a + BATCH], model.weights)
                     own = z[np.arange(len(z)), c[a : a + BATCH]]
                     term[a : a + BATCH] = (own - np.log(np.exp(z, out=z).sum(axis=1))) / np.log(10.0)
+                    own = np.flatnonzero(c[a : a + BATCH] >= SINGLES) + a
+                    at, prior, sign = model.turns(h[own], c[own], contexts[:, own])
+                    term[own] += (log_sigmoid(sign * (prior + model.word_weights[at].sum(axis=2))) - log_sigmoid(sign * prior)).sum(axis=1) / np.log(10.0)
                 term -= model.log_total[c]
                 logs = np.zeros(len(h))
                 if len(model.head):
@@ -260,28 +327,38 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
     classes[:ENDINGS] = SINGLES + cluster(met.reshape(BEFORE, ENDINGS + 1)[:, :ENDINGS])
     top = np.lexsort((hashes, -counts))
     top = top[hashes[top] != END][: SINGLES - 1]
-    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    np.add.at(class_n, classes[by_ending["ending"].to_numpy(np.int64)], by_ending["n"].to_numpy())
-    np.add.at(class_v, classes[by_ending["ending"].to_numpy(np.int64)], by_ending["v"].to_numpy())
+    depth = int(np.clip(np.ceil(np.log2(4 * max(len(hashes), 1) / CLUSTERS)), 4, MOST_DEPTH))
+    rows, slots, rounds, shards = sizes(total)
+    own = F.broadcast(spark.createDataFrame([(k, int(c)) for k, c in enumerate(classes)], "ending int, class int"))
+    leaves = vocabulary.join(own, "ending").groupBy("class", F.shiftrightunsigned("key", 64 - depth).cast("int").alias("leaf")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # at most CLUSTERS << depth leaves
+    leaf_n, leaf_v = np.zeros((CLASSES, 1 << depth)), np.zeros((CLASSES, 1 << depth))
+    at = leaves["class"].to_numpy(np.int64), leaves["leaf"].to_numpy(np.int64)
+    leaf_n[at], leaf_v[at] = leaves["n"], leaves["v"]
+    single_n = np.zeros(SINGLES)
+    single_n[0] = leaf_n[0].sum()
     for k, i in enumerate(top):
-        old = classes[head["ending"].to_numpy()[i]]
-        class_n[old] -= counts[i]
-        class_v[old] -= 1
-        class_n[k + 1], class_v[k + 1] = counts[i], 1
-    log_total = np.log10(class_n + 0.1 * (class_v + 1))
-    log_total[:SINGLES] = np.log10(class_n[:SINGLES] + 0.1)  # a class of one token: its share is 1
+        old = classes[head["ending"].to_numpy()[i]], int(hashes[i] >> np.uint64(64 - depth))
+        leaf_n[old] -= counts[i]
+        leaf_v[old] -= 1
+        single_n[k + 1] = counts[i]
+    mass = leaf_n + 0.1 * (leaf_v + 1)  # each leaf has room for words not met
+    log_total = np.log10(mass.sum(axis=1))
+    log_total[:SINGLES] = np.log10(single_n + 0.1)  # a class of one token: its share is 1
     by_hash = np.argsort(hashes)
     singles = np.argsort(hashes[top])
-    model = Model(classes, hashes[top][singles], (singles + 1).astype(np.int64), hashes[by_hash], counts[by_hash], log_total, np.log10(total + 0.1 * (distinct + 1)), np.zeros((TABLE, CLASSES), dtype=np.float32))
+    model = Model(classes, hashes[top][singles], (singles + 1).astype(np.int64), hashes[by_hash], counts[by_hash], log_total, np.log10(total + 0.1 * (distinct + 1)), rows, word_tree(mass), slots)
 
-    shards = max(1, round(total / SHARD_TOKENS))
-    for part, rate in ((0, 0.25), (1, 0.12)):
+    for part in range(rounds):
+        rate = 0.25 if part == 0 else 0.24 / (part + 1)
         shared = spark.sparkContext.broadcast(model)
-        own = train.filter(F.floor(F.col("__crc") / 10) % 2 == part).select("text").coalesce(shards)
-        sums = sum_vectors(own.mapInArrow(_train(shared, rate), VECTOR_SCHEMA), {"short_w": TABLE * CLASSES, "short_n": TABLE})
+        own = train.filter(F.floor(F.col("__crc") / 10) % rounds == part).select("text").coalesce(shards)
+        sums = sum_vectors(own.mapInArrow(_train(shared, rate), VECTOR_SCHEMA), {"short_w": model.table * CLASSES, "short_n": model.table, "short_v": slots, "short_m": slots})
         if sums:
             n = sums["short_n"][:, None]
-            model.weights = np.where(n > 0, sums["short_w"].reshape(TABLE, CLASSES) / np.maximum(n, 1), model.weights).astype(np.float32)
+            model.weights = np.where(n > 0, sums["short_w"].reshape(model.table, CLASSES) / np.maximum(n, 1), model.weights).astype(np.float32)
+        if "short_m" in sums:
+            m = sums["short_m"]
+            model.word_weights = np.where(m > 0, sums.get("short_v", np.zeros(slots)) / np.maximum(m, 1), model.word_weights).astype(np.float32)
         shared.unpersist()
 
     shared = spark.sparkContext.broadcast(model)

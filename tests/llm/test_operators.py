@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mixtide.llm import queries as Q
 from mixtide.llm.language import held_out_column, identify
-from mixtide.llm.maxent import score_documents
+from mixtide.llm.maxent import CLASSES, SINGLES, Model, log_sigmoid, score_documents, sizes, word_tree
 from mixtide.llm.media import area_resize, decode, encode_pgm, media_features, store_texts
 from mixtide.llm.mixing import assign, mix
 from mixtide.llm.ngram_join import keep_one_of_each, ngram_components
@@ -125,6 +125,34 @@ def test_language_and_model_on_held_out(spark):
     assert scored["score"].sum() > scored["base_score"].sum()
 
 
+def test_context_tells_words_of_one_cluster_apart(spark):
+    """Words of one ending follow their own partners; swapped partners, of the same counts, must score lower."""
+    rng = random.Random(7)
+    left, right = [f"qa{k}zzz" for k in range(12)], [f"wo{k}xxx" for k in range(12)]
+    some = [" ".join(f"{left[k]} {right[k]}" for k in (rng.randrange(12) for _ in range(40))) for _ in range(600)]
+    pairs = [(left[k] + " " + right[k], left[k] + " " + right[(k + 5) % 12]) for k in range(12)]
+    rows = [(d, t, False) for d, t in enumerate(some)] + [(1000 + 2 * k + i, t, True) for k, two in enumerate(pairs) for i, t in enumerate(two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(2)
+    score = {r["doc_id"]: r["score"] for r in score_documents(docs, F.col("held")).collect()}
+    gaps = [score[1000 + 2 * k] - score[1001 + 2 * k] for k in range(12)]
+    assert sum(g > 0.3 for g in gaps) >= 11
+
+
+def test_word_tree_sums_to_one_and_tables_grow():
+    rng = np.random.default_rng(3)
+    depth, c, n = 5, SINGLES + 3, 32
+    mass = rng.integers(1, 90, (CLASSES, n)) + 0.1
+    model = Model(None, None, None, None, None, None, None, 8192, word_tree(mass), 1 << 16)
+    h, contexts = np.arange(n, dtype=np.uint64) << np.uint64(64 - depth), np.repeat(rng.integers(1, 1 << 60, (3, 1)).astype(np.uint64), n, axis=1)
+    for weights in (np.zeros(1 << 16), rng.normal(size=1 << 16)):
+        model.word_weights = weights.astype(np.float32)
+        at, prior, sign = model.turns(h, np.full(n, c), contexts)
+        p = np.exp(log_sigmoid(sign * (prior + model.word_weights[at].sum(axis=2))).sum(axis=1))
+        assert abs(p.sum() - 1) < 1e-4
+        assert weights.any() or np.allclose(p, mass[c] / mass[c].sum(), rtol=1e-3)
+    assert [x > y for x, y in zip(sizes(5 * 10**9), sizes(10**7), strict=True)] == [True] * 4
+
+
 def test_packing_round_trip(odd):
     from tokenizers import Tokenizer
 
