@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from types import TracebackType
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests), a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where unset, a new temporary one, in local mode only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-mixtide-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -31,17 +34,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that this package has written and no longer reads."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _write(df: DataFrame, path: str, into: SparkSession | None = None) -> DataFrame:
     spark = df.sparkSession
-    path = new_path(spark, name)
-    was = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # the table replaces the shuffle files that led to it
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
+    if spark.conf.get(_CLEANUP, "false") != "true":
+        spark.conf.set(_CLEANUP, "true")  # a written table replaces the shuffle files that led to it; set once, never switched back
+    df.write.parquet(path)
+    return (into or spark).read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. The table stays: for results."""
+    return _write(df, new_path(df.sparkSession, name))
+
+
+class Tables:
+    """Intermediate tables of one call: written to the shared folder, read back, and removed when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def session(self, settings: dict[str, str]) -> SparkSession:
+        """A session beside the caller's, with settings of its own, to write and read in: the caller's stay as they are."""
+        other = self.spark.newSession()
+        for key, value in {"spark.sql.shuffle.partitions": self.spark.conf.get("spark.sql.shuffle.partitions"), **settings}.items():
+            other.conf.set(key, value)
+        return other
+
+    def write(self, df: DataFrame, name: str, into: SparkSession | None = None) -> DataFrame:
+        """The written table, read in the session into (of df where none is given)."""
+        self.paths.append(new_path(self.spark, name))
+        return _write(df, self.paths[-1], into)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, kind: type | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +84,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_enough(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """Hint a broadcast for ids (a materialized, narrow table) if a count shows that it is within limit."""
-    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+    """Hint a broadcast for ids (a written, narrow table) if a count shows that it is within limit."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
 
 
 VECTOR_SCHEMA = "key string, chunk int, salt int, vec binary"

@@ -1,27 +1,27 @@
 """N-gram Jaccard self-join over a count-vector R-tree (operator 3).
 
-A document is the set of its word shingles. Shingle hashes fall into fine groups of the hash space, so a
-set is a point of group counts. The index has three levels of bounding regions over these points:
-
-1. set size: geometric intervals whose ratio is the threshold, so partners lie in one or two neighbours;
-2. slabs: for sets of at most u shingles two linked sets differ in at most D = (1-t)/(1+t)*2u counts. With
-   M > D slabs (ranges of coordinates) the sum over slabs of differences is at most D, so at least M - D slabs
-   agree exactly. A set enters its D + 1 fullest slabs; the fullest agreeing slab is among those of both
-   sets, so a search of radius zero in a slab, an equi-join on its digest, finds every linked pair;
-3. nodes of about 128 points of like size within a full leaf, with coordinate-wise maxima as bounding boxes.
-
-The overlap of two sets is at most the sum of coordinate minima of their count vectors (folded to 256
-coordinates); pairs and node pairs that this bound rules out are dropped, survivors are verified on sets.
-
-Equal sets are one point. Components need no pair inside a component already known: each leaf first links to
-one hub, then to the member with most links, and only members of different components that are left meet
-pairwise, node by node. No group is gathered in one task, no pair of equal sets is made, no row is dropped.
+A document is the set of its word shingles. Shingle hashes fall into groups of the hash space, so a set is a point
+whose coordinates count its members in each group. Equal sets are one point. The tree over the points:
+
+1. root: intervals of set size. A point is in its own interval, and in the next if a partner may be there;
+2. slabs, ranges of coordinates: two linked sets of sizes m and n differ in at most D = (1-t)/(1+t) * (m+n) members. An
+   interval has more than D slabs, so some slabs of a linked pair agree in all their counts, and the fullest of
+   those is among the D + 1 fullest slabs of both sets. A point enters its D + 1 fullest slabs; a cell holds the points
+   that agree in a slab, so its region has no extent in the slab's coordinates. No linked pair misses a cell;
+3. pages of about PAGE points of like size inside a cell, and above them levels of FAN nodes each, with the
+   coordinate-wise maxima of the points below (folded to FOLD coordinates) as bounding boxes.
+
+The overlap of two sets is at most the sum of coordinate minima of their count vectors. Pairs of nodes descend
+level by level while the summed minima of their boxes allow a link, then pairs of points do; survivors are
+verified on the sets. Cells with the same points are one cell.
+
+Components need no pair inside a component already known: first each cell's points meet its smallest one, and only
+points that are still in different components descend. No group is gathered in one task, no row is dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,273 +29,370 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mixtide.llm._common import documents, materialize, small_enough
+from mixtide.llm._common import Tables, documents, materialize, small_enough
 from mixtide.llm._text import distinct_by_document, mix, shingles, words
 from mixtide.llm.components import components
 
 FOLD = 256
-NODE = 128
-#: Members up to which a leaf's left-over pairs are written out one by one; fuller leaves meet node by node.
-SMALL_LEAF = 64
-#: Leaves of several points up to which their ids are broadcast (16 bytes each); beyond it the join shuffles.
-LEAVES = 250_000
-_POINT = "doc_id long, n_shingles long, set_id binary"
-
-
-def size_tags(n: np.ndarray, percent: int) -> np.ndarray:
-    """The interval of each size: sizes whose ratio is at least percent/100 are in the same or neighbouring ones."""
-    top = int(n.max(initial=1)) + 1
-    edges = [1]
-    while edges[-1] <= top:
-        edges.append(edges[-1] * 100 // percent + 1)  # the first size that no member's partner range reaches past
-    return np.searchsorted(np.array(edges), n, side="right")
-
-
-def tag_limit(tag: int, percent: int) -> int:
-    """The largest size in an interval."""
-    edge = 1
-    for _ in range(tag):
-        edge = edge * 100 // percent + 1
-    return edge - 1
-
-
-def slabs(tag: int, percent: int) -> tuple[int, int]:
-    """(slabs that a set enters, slabs in all) for pairs of sets of sizes up to the tag's limit."""
-    most = (2 * tag_limit(tag, percent) * (100 - percent)) // (100 + percent)
-    return most + 1, most + 1 + math.ceil(0.35 * most)
-
-
-def _leaves(h: np.ndarray, bounds: np.ndarray, tags: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Leaf digests of each document, in its own interval and the next."""
-    n_docs = len(bounds) - 1
-    out: list[list[np.ndarray]] = [[] for _ in range(n_docs)]
-    doc = np.repeat(np.arange(n_docs), np.diff(bounds))
+PAGE = 256
+FAN = 64
+#: Slabs beyond the D + 1 that must be there, as a share of D: the emptiest slabs are never entered.
+SPARE = 0.35
+#: Points that a task remembers to enter equal sets once; a point that it has forgotten is entered again, which changes nothing.
+REMEMBERED = 1_000_000
+#: A count that stands for itself or more; a coordinate where both points have it bounds nothing.
+FULL = 65535
+_ROW = "doc_id long, n_shingles long, row_hash long, point long, set_id binary"
+_PAGE = "leaf long, node long, least long, box binary, points array<long>, labels array<long>, sizes array<long>, counts binary"
+_CELL = "leaf long, point long, n long, hub long, hub_n long"
+
+
+def edges(top: int, percent: int) -> np.ndarray:
+    """First sizes of the intervals up to top and one more: each at least doubles, and reaches past any partner of smaller intervals."""
+    out = [1]
+    while len(out) < 2 or out[-2] <= top:
+        out.append(max(2 * out[-1], out[-1] * 100 // percent + 1))
+    return np.array(out)
+
+
+def _slabs(size: np.ndarray, percent: int, ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets of these sizes in their own (ahead 0) or the next interval (1): interval, slabs in all, slabs to enter (0: none)."""
+    first = edges(2 * int(size.max(initial=1)) + 2, percent)
+    interval = np.searchsorted(first, size, side="right") - 1 + ahead
+    largest = first[np.clip(interval + 1, 0, len(first) - 1)] - 1
+    partner = size * 100 // percent  # the largest size that can link
+    inside = size > 0
+    if ahead:
+        inside &= partner >= first[np.clip(interval, 0, len(first) - 1)]
+    most = (100 - percent) * 2 * largest // (100 + percent)
+    total = np.where(inside, most + 1 + np.ceil(SPARE * most).astype(np.int64), 0)
+    enter = (100 - percent) * (size + np.minimum(largest, partner)) // (100 + percent) + 1
+    return interval, total, np.where(inside, np.minimum(enter, total), 0)
+
+
+def leaves(h: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of consecutive sets -> (leaf, number of the set): the cells that each set enters."""
+    size = np.diff(bounds)
+    number = np.repeat(np.arange(len(size)), size)
     mixed = mix(h ^ np.uint64(0xA24BAED4963EE407))
+    out = []
     for ahead in (0, 1):
-        plan = {t: slabs(t, percent) for t in np.unique(tags + ahead) if t > 0}
-        enter, total = (np.array([plan.get(t, (0, 0))[k] for t in tags + ahead], dtype=np.int64) for k in (0, 1))
+        interval, total, enter = _slabs(size, percent, ahead)
         base = np.concatenate([[0], np.cumsum(total)])
-        slab = (((h >> np.uint64(32)) * total[doc].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        place = base[doc] + slab
+        own = total[number] > 0
+        part = ((h[own] >> np.uint64(32)) * total[number[own]].astype(np.uint64)) >> np.uint64(32)
+        place = base[number[own]] + part.astype(np.int64)
         full = np.bincount(place, minlength=base[-1])
         digest = np.zeros(base[-1], dtype=np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-        if len(starts):
-            digest[place[starts]] = np.add.reduceat(mixed, starts)
-        number = np.arange(base[-1]) - np.repeat(base[:-1], total)
-        salt = np.repeat((tags + ahead).astype(np.uint64), total) * np.uint64(0xC2B2AE3D27D4EB4F)
-        digest = mix(digest + salt + number.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-        for d in np.flatnonzero(enter):
-            a, b = base[d], base[d + 1]
-            # the order is one of contents alone, so it is the same in both sets of a pair
-            order = np.lexsort((digest[a:b], -full[a:b]))[: enter[d]]
-            out[d].append(digest[a:b][order])
-    return [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in out]
-
-
-def _each(n: int, row):
-    """A function over Arrow batches: row(ids, hashes, bounds) for each block of documents."""
+        if len(place):
+            starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            digest[place[starts]] = np.add.reduceat(mixed[own], starts)
+        owner = np.repeat(np.arange(len(size)), total)
+        slab = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
+        digest = mix(digest + interval[owner].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + slab * np.uint64(0x165667B19E3779F9))
+        # the order is one of contents alone, so it is the same in both sets of a pair
+        order = np.lexsort((digest, -full, owner))
+        order = order[np.arange(len(order)) - base[owner[order]] < enter[owner[order]]]
+        out.append((digest[order], owner[order]))
+    return np.concatenate([x[0] for x in out]).view(np.int64), np.concatenate([x[1] for x in out])
 
+
+def _keys(h: np.ndarray, bounds: np.ndarray, seed: int) -> list[bytes | None]:
+    return [hashlib.blake2b(h[a:b].tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _point(keys: list[bytes | None]) -> np.ndarray:
+    """A set's number: the first 8 bytes of its digest."""
+    return np.frombuffer(b"".join((k or bytes(16))[:8] for k in keys), dtype=np.int64)
+
+
+def _sets_of(batch: pa.RecordBatch, n: int):
+    """Blocks of a batch: slice of its rows, sorted distinct shingle hashes, bounds."""
+    for w in words(batch.column("text")):
+        h, bounds = distinct_by_document(*shingles(w, n), w.n_docs)
+        yield batch.slice(w.first, w.n_docs), h, bounds
+
+
+def _rows(n: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
-            for w in words(batch.column("text")):
-                h, bounds = distinct_by_document(*shingles(w, n), w.n_docs)
-                yield row(ids.slice(w.first, w.n_docs), h, bounds)
+            for part, h, bounds in _sets_of(batch, n):
+                keys = _keys(h, bounds, seed)
+                empty = np.diff(bounds) == 0
+                columns = [part.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), part.column("row_hash"), pa.array(_point(keys), pa.int64(), mask=empty), pa.array(keys, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _ROW.split(", ")])
 
     return run
 
 
-def _points(n: int):
-    def row(ids: pa.Array, h: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-        keys = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds), pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "set_id"])
+def _entries(n: int, percent: int, seed: int):
+    """(leaf, point, n): the cells that each point enters, once a task for equal sets."""
 
-    return _each(n, row)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, h, bounds in _sets_of(batch, n):
+                point, size = _point(_keys(h, bounds, seed)), np.diff(bounds)
+                fresh = np.zeros(len(size), dtype=bool)
+                for k in np.flatnonzero(size):
+                    fresh[k] = int(point[k]) not in seen
+                    if len(seen) < REMEMBERED:
+                        seen.add(int(point[k]))
+                leaf, owner = leaves(h[np.repeat(fresh, size)], np.concatenate([[0], np.cumsum(size[fresh])]), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(point[fresh][owner]), pa.array(size[fresh][owner].astype(np.int32))], names=["leaf", "point", "n"])
 
+    return run
 
-def _entries(n: int, percent: int):
-    """(leaf, doc_id): the leaves that each point enters."""
 
-    def row(ids: pa.Array, h: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-        size = np.diff(bounds)
-        leaves = _leaves(h, bounds, np.where(size > 0, size_tags(size, percent), -9), percent)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *leaves])), pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), [len(x) for x in leaves]))], names=["leaf", "doc_id"])
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries in order of (leaf, point) those of leaves with two points or more, with the leaf's first point as hub.
 
-    return _each(n, row)
+    Only the last row seen, its leaf's first one, and whether it is out already pass from batch to batch.
+    """
+    held, hub, out = None, None, False
+    for batch in batches:
+        leaf, point, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "point", "n"))
+        if held is not None:
+            leaf, point, n = (np.concatenate([[x], column]) for x, column in zip(held, (leaf, point, n), strict=True))
+        if not len(leaf):
+            continue
+        new = np.ones(len(leaf), dtype=bool)
+        new[1:] = (leaf[1:] != leaf[:-1]) | (point[1:] != point[:-1])
+        leaf, point, n = leaf[new], point[new], n[new]
+        start = np.ones(len(leaf), dtype=bool)
+        start[1:] = leaf[1:] != leaf[:-1]
+        run = np.cumsum(start) - 1
+        first = np.flatnonzero(start)
+        several = np.diff(np.concatenate([first, [len(leaf)]])) > 1
+        hubs, hub_n = point[first].copy(), n[first].copy()
+        if held is not None:
+            hubs[0], hub_n[0] = hub
+            several[0] |= out
+        emit = several[run]
+        if held is not None:
+            emit[0] &= not out
+        yield pa.RecordBatch.from_arrays([pa.array(x[emit].astype(np.int64)) for x in (leaf, point, n, hubs[run], hub_n[run])], names=[f.split()[0] for f in _CELL.split(", ")])
+        held, hub, out = (leaf[-1], point[-1], n[-1]), (hubs[-1], hub_n[-1]), bool(several[-1])
+
+
+def _vectors(n: int, seed: int):
+    """(point, counts, members): count vectors and sets, once a task for equal sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, h, bounds in _sets_of(batch, n):
+                point, docs = _point(_keys(h, bounds, seed)), len(bounds) - 1
+                place = np.repeat(np.arange(docs), np.diff(bounds)) * FOLD + (h & np.uint64(FOLD - 1)).astype(np.int64)
+                counts = np.minimum(np.bincount(place, minlength=docs * FOLD), FULL).astype("<u2").reshape(docs, FOLD)
+                fresh = []
+                for k in np.flatnonzero(np.diff(bounds)):
+                    if int(point[k]) not in seen:
+                        fresh.append(k)
+                        if len(seen) < REMEMBERED:
+                            seen.add(int(point[k]))
+                members = h.view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(point[fresh], pa.int64()), pa.array([counts[k].tobytes() for k in fresh], pa.binary()), pa.array([members[bounds[k] : bounds[k + 1]] for k in fresh], pa.list_(pa.int64()))],
+                    names=["point", "counts", "members"],
+                )
+
+    return run
 
 
-def _sets(n: int):
-    """The sets themselves and their count vectors."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Count vectors of a binary column, one in a row."""
+    return np.frombuffer(b"".join(x.as_py() for x in column), dtype="<u2").reshape(-1, FOLD)
 
-    def row(ids: pa.Array, h: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-        docs = len(bounds) - 1
-        place = np.repeat(np.arange(docs), np.diff(bounds)) * FOLD + (h & np.uint64(FOLD - 1)).astype(np.int64)
-        fold = np.bincount(place, minlength=docs * FOLD).astype(np.int32)
-        counts = pa.ListArray.from_arrays(pa.array(np.arange(docs + 1) * FOLD, pa.int32()), pa.array(fold))
-        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds), pa.int64()), counts, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))], names=["doc_id", "n_shingles", "counts", "members"])
 
-    return _each(n, row)
+def minima(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima of count vectors along the last axis; a coordinate where both are FULL bounds nothing."""
+    low = np.minimum(a, b)
+    out = low.sum(axis=-1, dtype=np.int64)
+    return np.where((low == FULL).any(axis=-1), np.iinfo(np.int32).max, out)
 
 
-def _bound(a: str, b: str):
-    """Summed coordinate minima of two count vectors: at least the overlap."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+def _passing(percent: int):
+    """Of pairs of points or of boxes those that the bound allows to link; na and nb are sizes, or the least sizes inside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = minima(_matrix(batch.column("ca")), _matrix(batch.column("cb"))) * (100 + percent) >= size * percent
+            yield batch.select([c for c in batch.schema.names if c not in ("ca", "cb")]).filter(pa.array(keep))
+
+    return run
 
 
-def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Of the (a, b) pairs those that link: sizes, then the bound, then the sets themselves."""
-    left = points.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("counts").alias("ca"), F.col("members").alias("ma"))
-    right = points.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("counts").alias("cb"), F.col("members").alias("mb"))
-    least = 100 + percent  # overlap * (100 + p) >= p * (na + nb) is overlap / union >= p / 100
-    met = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    met = met.filter(_bound("ca", "cb") * least >= (F.col("na") + F.col("nb")) * percent)
-    return met.filter(F.size(F.array_intersect("ma", "mb")) * least >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+def _verified(pairs: DataFrame, vectors: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """Of (a, b, na, nb) those that link: sizes, then the bound, then the sets of what is left."""
+    # overlap * (100 + p) >= p * (na + nb) is overlap / union >= p / 100
+    alike = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    side = lambda x, c: vectors.select(F.col("point").alias(x), F.col(c).alias(f"{c[0]}{x}"))
+    met = alike.join(side("a", "counts"), "a").join(side("b", "counts"), "b")
+    left = tables.write(met.mapInArrow(_passing(percent), "a long, b long, na long, nb long"), "passing")
+    both = left.join(side("a", "members"), "a").join(side("b", "members"), "b")
+    return both.filter(F.size(F.array_intersect("ma", "mb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
 def _meet(percent: int):
-    """Pairs of two nodes of a leaf that their coordinate minima do not rule out, each in the first full leaf that it shares."""
-
-    def lists(column: pa.Array, k: int) -> list[np.ndarray]:
-        return [np.array(x, dtype=np.int64) for x in column[k].as_py()]
-
-    def shared(left: list[np.ndarray], right: list[np.ndarray], before: int) -> np.ndarray:
-        """Do two points share a full leaf in front of this one?"""
-        left, right = [x[x < before] for x in left], [x[x < before] for x in right]
-        known = np.unique(np.concatenate(left))
-        out = []
-        for part in (left, right):
-            m = np.zeros((len(part), len(known)), dtype=np.float32)
-            for i, x in enumerate(part):
-                x = x[np.isin(x, known)]
-                m[i, np.searchsorted(known, x)] = 1
-            out.append(m)
-        return out[0] @ out[1].T > 0
+    """Pairs of points of two pages, in different components, that the bound allows to link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found = [(np.zeros(0, np.int64),) * 4]
             for k in range(batch.num_rows):
-                ids, labels, sizes, counts = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("ids", "labels", "sizes", "counts"))
-                ids2, labels2, sizes2, counts2 = (batch.column(f"{c}2")[k].values.to_numpy(zero_copy_only=False) for c in ("ids", "labels", "sizes", "counts"))
-                counts, counts2 = counts.reshape(-1, FOLD).astype(np.int32), counts2.reshape(-1, FOLD).astype(np.int32)
-                need = (sizes[:, None] + sizes2[None, :]) * percent
-                # a sum of minima is, over levels t, the number of coordinates where both counts reach t
-                bound = sum(((counts >= t).astype(np.float32) @ (counts2 >= t).astype(np.float32).T for t in range(1, int(min(counts.max(initial=0), counts2.max(initial=0))) + 1)), np.zeros((len(ids), len(ids2)), np.float32))
-                open_ = (labels[:, None] != labels2[None, :]) & (bound * (100 + percent) >= need)
-                if batch.column("node")[k].as_py() == batch.column("node2")[k].as_py():
-                    open_ &= ids[:, None] < ids2[None, :]
-                if open_.any():
-                    open_ &= ~shared(lists(batch.column("full"), k), lists(batch.column("full2"), k), batch.column("leaf")[k].as_py())
-                i, j = np.nonzero(open_)
-                a_out.append(np.minimum(ids[i], ids2[j]))
-                b_out.append(np.maximum(ids[i], ids2[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
+                one, two = ({c: batch.column(c + x)[k].values.to_numpy(zero_copy_only=False) for c in ("points", "labels", "sizes")} | {"counts": np.frombuffer(batch.column("counts" + x)[k].as_py(), dtype="<u2").reshape(-1, FOLD)} for x in ("", "2"))
+                same = batch.column("node")[k].as_py() == batch.column("node2")[k].as_py()
+                for i, p in enumerate(one["points"]):
+                    m, n = one["sizes"][i], two["sizes"]
+                    open_ = (two["labels"] != one["labels"][i]) & (np.minimum(m, n) * 100 >= np.maximum(m, n) * percent)
+                    if same:
+                        open_ &= two["points"] > p
+                    j = np.flatnonzero(open_)
+                    if len(j):
+                        j = j[minima(one["counts"][i], two["counts"][j]) * (100 + percent) >= (m + n[j]) * percent]
+                    if len(j):
+                        q, nq, swap = two["points"][j], n[j], two["points"][j] < p
+                        found.append((np.where(swap, q, p), np.where(swap, p, q), np.where(swap, nq, m), np.where(swap, m, nq)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found]).astype(np.int64)) for c in range(4)], names=["a", "b", "na", "nb"])
 
     return run
 
 
-def _left_over(cells: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a leaf: of small leaves all, of full ones those that pass the bounds."""
-    cells = materialize(cells, "open")
-    size = cells.groupBy("leaf").agg(F.count("*").alias("inside"))
-    small = cells.join(size.filter(F.col("inside") <= SMALL_LEAF), "leaf").select("leaf", "doc_id", "label")
-    other = small.select("leaf", F.col("doc_id").alias("id2"), F.col("label").alias("label2"))
-    pairs = small.join(other, "leaf").filter("doc_id < id2 and label <> label2").select(F.col("doc_id").alias("a"), F.col("id2").alias("b")).distinct()
-
-    full = materialize(cells.join(size.filter(F.col("inside") > SMALL_LEAF), "leaf").select("leaf", "doc_id", "label"), "full")
-    if full.isEmpty():
-        return pairs
-    own = full.groupBy("doc_id").agg(F.sort_array(F.collect_list("leaf")).alias("full"))
-    # a point's node comes from how many smaller ones its leaf has, counted by size, and a hash among those of its size
-    sized = materialize(full.join(points.select("doc_id", "n_shingles"), "doc_id").groupBy("leaf", "n_shingles").agg(F.count("*").alias("alike")), "sized")
-    smaller = Window.partitionBy("leaf").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
-    sized = sized.withColumn("smaller", F.coalesce(F.sum("alike").over(smaller), F.lit(0)))
-    inside = full.join(points.select("doc_id", "n_shingles", "counts").join(own, "doc_id"), "doc_id").join(sized, ["leaf", "n_shingles"])
-    inside = inside.withColumn("node", F.floor((F.col("smaller") + F.pmod(F.xxhash64("doc_id"), F.col("alike"))) / NODE).cast("long"))
-    point = F.struct("doc_id", "label", "n_shingles", "counts", "full")
-    box = F.aggregate("p.counts", F.array_repeat(F.lit(0), FOLD), lambda s, x: F.zip_with(s, x, lambda a, b: F.greatest(a, b)))
-    nodes = inside.groupBy("leaf", "node").agg(F.min("n_shingles").alias("least"), F.collect_list(point).alias("p"))
-    nodes = materialize(nodes.select("leaf", "node", "least", box.alias("box"), F.col("p.doc_id").alias("ids"), F.col("p.label").alias("labels"), F.col("p.n_shingles").alias("sizes"), F.flatten("p.counts").alias("counts"), F.col("p.full").alias("full")), "nodes")
-    second = nodes.select("leaf", *[F.col(c).alias(f"{c}2") for c in nodes.columns if c != "leaf"])
-    met = nodes.join(second, "leaf").filter("node <= node2").filter(_bound("box", "box2") * (100 + percent) >= (F.col("least") + F.col("least2")) * percent)
-    spark, name = cells.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(name)
-    spark.conf.set(name, "16")  # a row holds two nodes
-    try:
-        met = materialize(met.drop("least", "least2", "box", "box2").mapInArrow(_meet(percent), "a long, b long"), "met")
-    finally:
-        spark.conf.set(name, was)
-    return pairs.unionByName(met).distinct()
+def _page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Points of a page -> its least size, bounding box and columns."""
+    for batch in batches:
+        out: list[tuple] = []
+        for k in range(batch.num_rows):
+            p = batch.column("p")[k].values
+            counts = _matrix(p.field("counts"))
+            out.append((min(p.field("n").to_pylist()), counts.max(axis=0).tobytes(), p.field("point"), p.field("label"), p.field("n"), counts.tobytes()))
+        cells = [pa.array([x[c].to_pylist() if c in (2, 3, 4) else x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.binary(), *(pa.list_(pa.int64()),) * 3, pa.binary()))]
+        yield pa.RecordBatch.from_arrays([batch.column("leaf"), batch.column("node"), *cells], names=[f.split()[0] for f in _PAGE.split(", ")])
+
+
+def _parent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Boxes of the nodes below -> the box around them."""
+    for batch in batches:
+        boxes = [_matrix(x.values).max(axis=0).tobytes() for x in batch.column("boxes")]
+        yield pa.RecordBatch.from_arrays([batch.column("leaf"), batch.column("node"), batch.column("least"), pa.array(boxes, pa.binary())], names=["leaf", "node", "least", "box"])
+
+
+def _descend(above: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes (leaf, up, up2) -> pairs of the nodes below them (leaf, node, node2) that their boxes allow."""
+    one = nodes.select("leaf", F.floor(F.col("node") / FAN).alias("up"), "node", F.col("least").alias("na"), F.col("box").alias("ca"))
+    two = nodes.select("leaf", F.floor(F.col("node") / FAN).alias("up2"), F.col("node").alias("node2"), F.col("least").alias("nb"), F.col("box").alias("cb"))
+    met = above.join(one, ["leaf", "up"]).join(two, ["leaf", "up2"]).filter("node <= node2")
+    passed = met.select("leaf", "node", "node2", "na", "nb", "ca", "cb").mapInArrow(_passing(percent), "leaf long, node long, node2 long, na long, nb long")
+    return passed.select("leaf", "node", "node2")
+
+
+def _search(cells: DataFrame, vectors: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """(leaf, point, n, label) -> pairs (a, b, na, nb) of points of a cell and different components that the tree does not rule out."""
+    spark = cells.sparkSession
+    quiet = tables.session({"spark.sql.execution.arrow.maxRecordsPerBatch": "32"})  # a row may hold two pages
+    # a point's place comes from how many smaller ones its cell has, counted by size, and a hash among those of its size
+    alike = cells.groupBy("leaf", "n").agg(F.count("*").alias("alike"))
+    smaller = Window.partitionBy("leaf").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    alike = alike.withColumn("smaller", F.coalesce(F.sum("alike").over(smaller), F.lit(0)))
+    placed = cells.join(alike, ["leaf", "n"]).withColumn("node", F.floor((F.col("smaller") + F.pmod(F.xxhash64("point"), F.col("alike"))) / PAGE))
+    points = placed.join(vectors.select("point", "counts"), "point").groupBy("leaf", "node").agg(F.collect_list(F.struct("point", "label", "n", "counts")).alias("p"))
+    pages = tables.write(tables.write(points, "grouped", quiet).mapInArrow(_page, _PAGE), "pages")
+    levels = [pages.select("leaf", "node", "least", "box")]
+    while (levels[-1].agg(F.max("node")).first()[0] or 0) >= FAN:
+        up = levels[-1].groupBy("leaf", F.floor(F.col("node") / FAN).alias("node")).agg(F.min("least").alias("least"), F.collect_list("box").alias("boxes"))
+        levels.append(tables.write(up.mapInArrow(_parent, "leaf long, node long, least long, box binary"), "level"))
+    pairs = levels[-1].select("leaf", F.lit(0).cast("long").alias("up"), F.lit(0).cast("long").alias("up2")).distinct()
+    for nodes in reversed(levels):
+        pairs = tables.write(_descend(pairs, nodes, percent), "nodes").select("leaf", F.col("node").alias("up"), F.col("node2").alias("up2"))
+    pairs = pairs.select("leaf", F.col("up").alias("node"), F.col("up2").alias("node2"))
+    inner = ("points", "labels", "sizes", "counts")
+    one, two = pages.select("leaf", "node", *inner), pages.select("leaf", F.col("node").alias("node2"), *[F.col(c).alias(f"{c}2") for c in inner])
+    met = pairs.join(one, ["leaf", "node"]).join(two, ["leaf", "node2"]).mapInArrow(_meet(percent), "a long, b long, na long, nb long")
+    return tables.write(met.distinct(), "met", spark)
+
+
+def _components(docs: DataFrame, n: int, percent: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, row_hash, point, set_id), and (point, root, component_id) of points with copies or links."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text", F.lit(7)).alias("row_hash"))
+    seed = 0
+    while True:  # ends at the first seed: 64 bits of different sets' digests must not be equal
+        rows = tables.write(named.mapInArrow(_rows(n, seed), _ROW), "rows")
+        owner = rows.filter("doc_id is not null and point is not null").groupBy("point").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies"), F.min("set_id").alias("low"), F.max("set_id").alias("high"))
+        owner = tables.write(owner, "owner")
+        if owner.filter("low <> high").isEmpty():
+            break
+        seed += 1
+    known = named.filter("doc_id is not null").select("doc_id", "text")
+    entries = known.mapInArrow(_entries(n, percent, seed), "leaf long, point long, n int")
+    cells = tables.write(entries.repartition("leaf").sortWithinPartitions("leaf", "point").mapInArrow(_cells, _CELL), "cells")
+
+    ids = tables.write(cells.select("point").distinct().join(owner.select("point", "own"), "point").select(F.col("own").alias("doc_id")).distinct(), "ids")
+    texts = known.join(small_enough(ids), "doc_id", "left_semi")
+    vectors = tables.write(texts.mapInArrow(_vectors(n, seed), "point long, counts binary, members array<long>").dropDuplicates(["point"]), "vectors")
+
+    star = cells.filter("hub <> point").select(F.col("hub").alias("a"), F.col("point").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).distinct()
+    links = tables.write(_verified(star, vectors, percent, tables), "links")
+    label = components(links, tables)
+
+    # all pairs with a hub have been tried; of cells with the same other points one is searched
+    rest = cells.filter("point <> hub").select("leaf", "point", "n").join(label.withColumnRenamed("id", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
+    several = rest.groupBy("leaf").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("point")).alias("x"), F.bit_xor(F.xxhash64("point", F.lit(1))).alias("y"))
+    once = several.filter("low < high").groupBy("size", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf")
+    open_ = tables.write(rest.join(once, "leaf"), "open")
+    more = tables.write(_verified(_search(open_, vectors, percent, tables), vectors, percent, tables), "links")
+    if not more.isEmpty():
+        label = components(label.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more), tables)
+
+    base = owner.select("point", "own", "copies").join(label.withColumnRenamed("id", "point"), "point", "left").filter("copies > 1 or label is not null")
+    base = base.select("point", "own", F.coalesce("label", "point").alias("root"))
+    least = base.groupBy("root").agg(F.min("own").alias("component_id"))
+    return rows, tables.write(base.join(least, "root").select("point", "root", "component_id"), "roots")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text, ...) -> one row per input row: doc_id, n_shingles, component_id.
 
     Rows link when 100 * intersection >= percent * union of their sets of distinct n-word shingles; component_id
-    is the smallest doc_id reachable. Null or wordless text: n_shingles 0, linked with nothing. Null doc_id: it
-    links with nothing and its component_id is null. Rows that share a doc_id share a component. Other columns
-    are ignored. percent is 51 to 99.
+    is the smallest doc_id reachable. Null or wordless text: n_shingles 0, linked with nothing, its component is its
+    doc_id. Null doc_id: it links with nothing and its component_id is null. Rows that share a doc_id are still rows of
+    their own: each has the component of its text. Repeated rows give equal rows. An empty table gives no rows. Other
+    columns are ignored. percent is 51 to 99.
     """
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = materialize(named.mapInArrow(_points(n), _POINT), "points")
-    full = table.filter("doc_id is not null and set_id is not null")
-    owner = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies")), "owner")
-    member = full.select("doc_id", "set_id").join(owner.filter("copies > 1"), "set_id").select("doc_id", "own")
-    member = materialize(member.filter("doc_id <> own").distinct(), "copies")
-    alone = named.filter("doc_id is not null").join(small_enough(member.select("doc_id")), "doc_id", "left_anti").mapInArrow(_entries(n, percent), "leaf long, doc_id long")
-    # partial minima and maxima name the leaves of several points; a join, which splits hot leaves, picks their entries
-    several = alone.groupBy("leaf").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("high")).filter("hub < high").select("leaf", "hub")
-    several = materialize(several, "leaves")
-    cells = materialize(alone.join(small_enough(several, LEAVES), "leaf").select("leaf", "doc_id", "hub"), "cells")
-    ids = small_enough(materialize(cells.select("doc_id").distinct(), "ids"))
-    # one row per doc_id: repeated rows are alike
-    members = named.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, n_shingles long, counts array<int>, members array<long>")
-    points = materialize(members.dropDuplicates(["doc_id"]), "sets")
-
-    copies = member.select(F.col("own").alias("a"), F.col("doc_id").alias("b"))
-    tried = materialize(cells.filter("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    links = materialize(_verified(tried, points, percent), "links")
-    label = components(links)
-
-    def unresolved() -> DataFrame:
-        named_cells = cells.select("leaf", "doc_id").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        mixed = named_cells.groupBy("leaf").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("leaf")
-        return named_cells.join(mixed, "leaf")
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
-    open_cells = materialize(unresolved().join(degree, "doc_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "open")
-    best = open_cells.groupBy("leaf").agg(F.max(F.struct("degree", F.negative("doc_id").alias("neg"), "label")).alias("best"))
-    hubs = open_cells.join(best, "leaf").filter("label <> best.label").select(F.negative("best.neg").alias("hub"), "doc_id")
-    again = hubs.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    again = materialize(again, "pairs")
-    links = materialize(links.unionByName(_verified(again, points, percent)), "links")
-    label = components(links)
-
-    rest = _left_over(unresolved(), points, percent).join(tried.unionByName(again), ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(rest, points, percent))
-    label = components(links.unionByName(copies))
-    out = table.select("doc_id", "n_shingles").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    with Tables(docs.sparkSession) as tables:
+        rows, roots = _components(docs, n, percent, tables)
+        out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("point")).alias("point"))
+        out = out.join(small_enough(roots.select("point", "component_id")), "point", "left")
+        return materialize(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows of near-duplicate groups but that of the smallest doc_id (exact repeats of one row: one stays).
+    """docs without the rows of near-duplicate groups but one each: that of the smallest doc_id, then text hash.
 
-    Rows without words or doc_id stay. All columns of docs stay as they are.
+    Rows without words or doc_id stay. Of rows with the same doc_id and text, one stays if they have words. Rows that
+    share a doc_id but not a text are judged apart. All columns of docs stay as they are; an empty table stays empty.
     """
-    found = ngram_components(docs, n, percent)
-    gone = materialize(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(small_enough(gone), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.filter("doc_id is not null and component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeated = materialize(repeated, "repeated")
+    row = F.struct("doc_id", "row_hash")
+    with Tables(docs.sparkSession) as tables:
+        rows, roots = _components(docs, n, percent, tables)
+        named = rows.filter("doc_id is not null").select("doc_id", "row_hash", "point").join(small_enough(roots.select("point", "root")), "point").select("root", "doc_id", "row_hash")
+        counted = tables.write(named.groupBy("root", "doc_id", "row_hash").agg(F.count("*").alias("times")), "members")
+        first = counted.groupBy("root").agg(F.min(row).alias("first"))
+        judged = counted.join(first, "root").select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"), (row == F.col("first")).alias("__first"), "times")
+        judged = materialize(judged.filter("not __first or times > 1").select("__id", "__row", "__first"), "gone")
+    hashed = docs.withColumn("__hash", F.xxhash64("text", F.lit(7)))
+    gone = small_enough(judged)
+    met = hashed.join(gone, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__row")), "left")
+    repeated = judged.filter("__first")
     if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+        return met.filter("__id is null").select(*docs.columns)
+    again = met.filter("__first").dropDuplicates(["__id", "__row"])
+    return met.filter("__id is null").select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by four-word shingles at 85 percent; nulls and repeats as in ngram_components."""
     return ngram_components(documents(spark, sf_dir), n=4, percent=85)
 
 

@@ -248,3 +248,60 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(map(repr, ((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found))) == sorted(repr((p, len((h or "").encode()), sha(h), "revisit" if refers[p] else "response", refers[p])) for p, _, h in rows)
     none = str(tmp_path / "none")
     assert read_warc(write_warc(pages.limit(0), none), none).count() == 0
+
+
+def test_unrelated_rows_of_one_doc_id_stay(spark):
+    rows = [(1, "one two three four five six seven"), (1, "red orange yellow green blue indigo violet"), (2, "one two three four five six seven"), (2, "one two three four five six seven"), (3, "Red orange yellow green blue indigo violet"), (4, "no partner here at all"), (4, "no partner here at all")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    kept = sorted((r["doc_id"], r["text"].split()[0]) for r in keep_one_of_each(docs).collect())
+    assert kept == [(1, "one"), (1, "red"), (4, "no")]
+
+
+def test_tree_of_several_levels_equals_brute_force(spark, monkeypatch):
+    """Small pages and fans give a tree of several levels; the pairs found stay those of brute force."""
+    from mixtide.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "PAGE", 4)
+    monkeypatch.setattr(ngram_join, "FAN", 3)
+    rng = random.Random(11)
+    rows = []
+    for d in range(160):
+        w = [f"w{k}" for k in range(120)]
+        for k in rng.sample(range(120), rng.choice([1, 2, 3, 5, 7])):
+            w[k] = f"x{rng.randrange(40)}"
+        rows.append((d, " ".join(w[: rng.choice([110, 120])])))
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    own = {d: d for d in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in range(30):
+        for a, b in links:
+            own[a] = own[b] = min(own[a], own[b])
+    found = ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert len(set(own.values())) > 3 and {r["doc_id"]: r["component_id"] for r in found.collect()} == own
+
+
+def test_slabs_and_cells_lose_no_pair():
+    """Linked sets of any sizes share a leaf; the streaming pass keeps all leaves of two points or more."""
+    from mixtide.llm.ngram_join import _cells, leaves
+
+    rng = np.random.default_rng(5)
+    for percent in (60, 80, 85, 95):
+        for size in (1, 2, 3, 5, 9, 30, 64, 127, 400):
+            a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+            for other in range(len(a) * percent // 100, len(a) * 100 // percent + 1):
+                common = -(-percent * (len(a) + other) // (100 + percent))
+                if other < 1 or common > min(len(a), other):
+                    continue
+                b = np.unique(np.concatenate([rng.permutation(a)[:common], rng.integers(0, 1 << 63, other - common).astype(np.uint64)]))
+                if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                    leaf, owner = leaves(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
+                    assert set(leaf[owner == 0]) & set(leaf[owner == 1])
+    rows = sorted({(int(x), int(y)) for x, y in zip(rng.integers(0, 400, 900), rng.integers(0, 50, 900), strict=True)})
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([7] * len(part), pa.int32())], names=["leaf", "point", "n"]) for part in (rows[k : k + 7] for k in range(0, len(rows), 7))]
+    found = [(r["leaf"], r["point"], r["hub"]) for b in _cells(iter(batches)) for r in b.to_pylist()]
+    by = collections.defaultdict(list)
+    for leaf, point in rows:
+        by[leaf].append(point)
+    assert found == [(leaf, p, v[0]) for leaf, v in sorted(by.items()) if len(v) > 1 for p in v]
