@@ -108,20 +108,22 @@ def vector_rows(vectors: dict[str, np.ndarray], salt: int) -> Iterator[pa.Record
             )
 
 
-def _sum_group(table: pa.Table) -> pa.Table:
+def _sum_group(table: pa.Table, fanout: int) -> pa.Table:
+    """The sum of a group's vectors in order of salt, so that it rounds alike in every run."""
+    table = table.sort_by("salt")
     head, total = table.slice(0, 1), None
     kind = _dtype(head["key"][0].as_py())
     for x in table.column("vec"):
         v = np.frombuffer(x.as_py(), dtype=kind).astype(np.float64)
         total = v if total is None else total + v
     total = total.astype(kind)
-    return pa.table({"key": head["key"].cast(pa.string()), "chunk": head["chunk"].cast(pa.int32()), "salt": pa.array([0], pa.int32()), "vec": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"key": head["key"].cast(pa.string()), "chunk": head["chunk"].cast(pa.int32()), "salt": pa.array([head["salt"][0].as_py() % fanout], pa.int32()), "vec": pa.array([total.tobytes()], pa.binary())})
 
 
 def sum_vectors(rows: DataFrame, sizes: dict[str, int] | None = None, fanout: int = 32) -> dict[str, np.ndarray]:
     """Sum rows of VECTOR_SCHEMA by (key, chunk) in two levels; the sums, whose size the model fixes, go to the driver."""
-    first = rows.withColumn("salt", F.col("salt") % fanout).groupBy("key", "chunk", "salt").applyInArrow(_sum_group, VECTOR_SCHEMA)
-    second = first.groupBy("key", "chunk").applyInArrow(_sum_group, VECTOR_SCHEMA)
+    first = rows.groupBy("key", "chunk", (F.col("salt") % fanout).alias("part")).applyInArrow(lambda t: _sum_group(t, fanout), VECTOR_SCHEMA)
+    second = first.groupBy("key", "chunk").applyInArrow(lambda t: _sum_group(t, 1), VECTOR_SCHEMA)
     found: dict[str, dict[int, np.ndarray]] = {}
     for r in second.select("key", "chunk", "vec").toLocalIterator():
         found.setdefault(r["key"], {})[r["chunk"]] = np.frombuffer(bytes(r["vec"]), dtype=_dtype(r["key"]))

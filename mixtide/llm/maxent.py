@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixtide.llm._common import VECTOR_SCHEMA, documents, materialize, sum_vectors, vector_rows
+from mixtide.llm._common import VECTOR_SCHEMA, Tables, documents, materialize, sum_vectors, vector_rows
 from mixtide.llm._text import Words, mix, words
 
 SHARE = 5e-7
@@ -304,15 +304,21 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
 
     held_out: a Column; rows where it is true are scored but not learned from (default: crc32 of the doc_id as
     text is divisible by 10; a null doc_id counts as 0). Null text is empty: its one token is the end. Without
-    any training row both scores come from uniform counts. Other columns are ignored.
+    any training row both scores come from uniform counts. Equal rows have equal scores, and the scores are the same
+    whatever the input's partitions. An empty table gives no rows. Other columns are ignored.
     """
+    with Tables(docs.sparkSession) as tables:
+        return materialize(_score_documents(docs, held_out, tables), "scores")
+
+
+def _score_documents(docs: DataFrame, held_out, tables: Tables) -> DataFrame:
     spark = docs.sparkSession
     out = F.crc32(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string").cast("binary"))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out if held_out is not None else out % 10 == 0, F.lit(False)).alias("held_out"), out.alias("__crc"))
     train = named.filter(~F.col("held_out"))
 
     tallies = train.select("text").mapInArrow(_count, "kind int, key long, ending int, n long")
-    tallies = materialize(tallies.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.min("ending").alias("ending")), "tallies")
+    tallies = tables.write(tallies.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.min("ending").alias("ending")), "tallies")
     vocabulary = tallies.filter("kind = 0")
     met = np.zeros(BEFORE * (ENDINGS + 1))
     cells = tallies.filter("kind = 1").select("key", "n").toPandas()  # at most BEFORE * ENDINGS cells
@@ -351,7 +357,8 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
     for part in range(rounds):
         rate = 0.25 if part == 0 else 0.24 / (part + 1)
         shared = spark.sparkContext.broadcast(model)
-        own = train.filter(F.floor(F.col("__crc") / 10) % rounds == part).select("text").coalesce(shards)
+        # shards by hash, in order inside: what is learned does not depend on the partitions of the input
+        own = train.filter(F.floor(F.col("__crc") / 10) % rounds == part).select("doc_id", "text").repartition(shards, F.xxhash64("doc_id", "text")).sortWithinPartitions("doc_id", "text")
         sums = sum_vectors(own.mapInArrow(_train(shared, rate), VECTOR_SCHEMA), {"short_w": model.table * CLASSES, "short_n": model.table, "short_v": slots, "short_m": slots})
         if sums:
             n = sums["short_n"][:, None]
@@ -362,7 +369,7 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
         shared.unpersist()
 
     shared = spark.sparkContext.broadcast(model)
-    scored = materialize(named.select("doc_id", "text", "held_out").mapInArrow(_score(shared), _SCORED), "scored")
+    scored = tables.write(named.select("doc_id", "text", "held_out").mapInArrow(_score(shared), _SCORED), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     rest = vocabulary.filter(F.col("n") < floor).select("key", "n")
     met_rare = rare.join(rest, "key", "left").select("row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("part"))
@@ -379,4 +386,5 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
 
 
 def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of all documents; nulls and repeats as in score_documents."""
     return score_documents(documents(spark, sf_dir))

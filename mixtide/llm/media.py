@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixtide.llm._common import documents
+from mixtide.llm._text import blocks, string_buffers
 
 UNIT = 64
+#: Bytes of text whose media go into one batch; a longer text goes alone.
+STORED = 4 << 20
 TILE = 8
 
 
@@ -67,6 +70,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
 def decode_bmp(data: bytes) -> np.ndarray:
     """Uncompressed BMP of 1, 4, 8, 24 or 32 bits as (height, width) if its palette is gray, else (height, width, 3)."""
     start, size, width, height, _, bits, packed = struct.unpack_from("<I I i i H H I", data, 10)
+    if width <= 0:
+        raise ValueError("no width")
     if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32):
         raise ValueError("compressed BMP")
     step = (width * bits + 31) // 32 * 4
@@ -123,10 +128,11 @@ def npy(tile: np.ndarray) -> bytes:
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text")
-        for k in range(0, batch.num_rows, 500):  # bounds what a batch of long texts holds at once
-            raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts[k : k + 500]]
+        _, offsets = string_buffers(texts)
+        for k, end in blocks(offsets, STORED):  # whole texts of about so many bytes at once
+            raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts[k:end]]
             media = [encode_pgm(np.frombuffer(x + b"\0" * (-len(x) % UNIT if x else UNIT), dtype=np.uint8).reshape(-1, UNIT)) for x in raw]
-            yield pa.RecordBatch.from_arrays([ids.slice(k, 500), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.large_binary()).cast(pa.binary())], names=["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([ids.slice(k, end - k), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -149,7 +155,7 @@ def _features(keys: list[str]):
                     data = x.as_py()
                     try:
                         image = decode(data) if data is not None else None
-                    except (ValueError, IndexError, struct.error):
+                    except (ValueError, IndexError, OverflowError, MemoryError, struct.error):
                         image = None
                     if image is None or 0 in image.shape:
                         rows.append((None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None, None, None, None))
@@ -177,5 +183,6 @@ def media_features(media: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as a stored graymap, read back; nulls and repeats as in store_texts and media_features."""
     stored = store_texts(documents(spark, sf_dir))
     return media_features(stored, ["doc_id", "n_bytes"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", F.sha2("tile", 256).alias("tile_sha256"))

@@ -13,10 +13,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mixtide.llm._common import WORD, documents, materialize
+from mixtide.llm._common import WORD, Tables, documents, materialize, small_enough
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
+#: Rows of a plan (about 100 bytes each) up to which it is broadcast; beyond it the texts are shuffled to it.
+BROADCAST_PLAN = 500_000
 #: Density over time for the 1st, 2nd, 3rd source and so on, repeating: (time, density) knots.
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)))
 
@@ -77,13 +79,19 @@ def assign(docs: DataFrame, schedules=SCHEDULES, weights=WEIGHTS, most: int = MO
     A document is taken copies times; its last copy counts only last_words words (size, but on the copy where the
     target falls). positions: training times of its copies, in order. Null or wordless text has size 0 and is
     never taken. A null doc_id is hashed as the text null; repeated rows share a hash and are taken one after the other. Columns besides
-    these three are ignored. A source whose words are all taken MOST_TIMES times has reached its limit.
+    these three are ignored. A source whose words are all taken MOST_TIMES times has reached its limit. An empty table
+    gives no rows.
     """
+    with Tables(docs.sparkSession) as tables:
+        return materialize(_assign(docs, schedules, weights, most, tables), "assigned")
+
+
+def _assign(docs: DataFrame, schedules, weights, most: int, tables: Tables) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = order_key(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), F.xxhash64("text", F.lit(7)).alias("row_hash"))
-    sizes = materialize(sizes, "sizes")
-    by_source = materialize(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
+    sizes = tables.write(sizes, "sizes")
+    by_source = tables.write(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     # prefix sums in two passes: totals of (source, run of hashes), then inside each run; the runs of a source and the rows of a run
     # both grow with the square root of the rows
     runs = math.isqrt(sizes.count()) + 1
@@ -111,19 +119,21 @@ def assign(docs: DataFrame, schedules=SCHEDULES, weights=WEIGHTS, most: int = MO
 def mix(docs: DataFrame, schedules=SCHEDULES, weights=WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
     """The training order: docs' rows, each as often as it is taken, range-sorted by position. Columns stay as they are.
 
-    The one copy per source on which its target falls is cut behind its last word taken.
+    The one copy per source on which its target falls is cut behind its last word taken. Null doc_ids, sources and
+    texts, repeated rows and ties are handled as in assign: a row without words is never taken, equal rows are taken one
+    after the other. An empty table stays empty.
     """
-    plan = materialize(assign(docs, schedules, weights, most).filter("copies > 0"), "plan")
+    every = assign(docs, schedules, weights, most)
+    plan = every.filter("copies > 0")
     copies = plan.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"), "size", "last_words", F.posexplode("positions").alias("epoch", "__position"), "copies")
     copies = copies.withColumn("__words", F.when(F.col("epoch") == F.col("copies") - 1, F.col("last_words")).otherwise(F.col("size"))).withColumn("__whole", F.col("__words") == F.col("size"))
     # equal rows have one plan row each: their copies meet on one of them
     rows = copies.groupBy("__id", "__row").agg(F.array_sort(F.collect_list(F.struct("__position", "__words", "__whole"))).alias("__all"))
-    named = docs.withColumn("__hash", F.xxhash64("text", F.lit(7)))
-    same = named.select("doc_id", "__hash").groupBy("doc_id", "__hash").count().filter("count > 1")
-    one = named
-    if not same.isEmpty():
-        one = named.dropDuplicates(["doc_id", "__hash"])
-    met = one.join(rows, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__row"))).withColumn("__one", F.explode("__all"))
+    rows = materialize(rows, "plan")
+    one = docs.withColumn("__hash", F.xxhash64("text", F.lit(7)))
+    if not every.groupBy("doc_id", "row_hash").count().filter("count > 1").isEmpty():
+        one = one.dropDuplicates(["doc_id", "__hash"])
+    met = one.join(small_enough(rows, BROADCAST_PLAN), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__row"))).withColumn("__one", F.explode("__all"))
     cut = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)
     text = F.when(F.col("__one.__whole"), F.col("text")).otherwise(F.concat(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), 1, F.col("__one.__words").cast("int")), "")))
     met = met.withColumn("text", text)
@@ -133,9 +143,10 @@ def mix(docs: DataFrame, schedules=SCHEDULES, weights=WEIGHTS, most: int = MOST_
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, range-sorted by the position of the first copy; nulls and ties as in assign."""
     plan = assign(documents(spark, sf_dir))
     first = plan.withColumn("position", F.try_element_at("positions", F.lit(1)))
-    out = materialize(first.select("doc_id", "size", "source_size", "target", "taken", "position"), "mixed")
+    out = first.select("doc_id", "size", "source_size", "target", "taken", "position")
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 

@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixtide.llm._common import WORD, documents, materialize
+from mixtide.llm._common import WORD, Tables, documents
 
 BUCKETS = 1 << 17
 TRUSTED = 500_000
@@ -59,10 +59,15 @@ def repeated_window_words(words: Column, size: int = 8) -> Column:
     return F.when(F.size(words) <= size, F.lit(0)).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), count))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row with one array of BUCKETS log ratios; its size is fixed whatever the corpus."""
+def log_ratios(docs: DataFrame, labels: DataFrame, most_trusted: int = TRUSTED) -> list[float]:
+    """The BUCKETS log ratios, as many whatever the corpus; at most most_trusted labelled rows are learned from."""
+    with Tables(docs.sparkSession) as tables:
+        return _log_ratios(docs, labels, most_trusted, tables).first()["ratios"]
+
+
+def _log_ratios(docs: DataFrame, labels: DataFrame, most_trusted: int, tables: Tables) -> DataFrame:
     trusted = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trusted = materialize(trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED), "trusted")
+    trusted = tables.write(trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_trusted), "trusted")
     flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ngram_buckets(word_list()).alias("buckets")).join(F.broadcast(trusted.withColumn("target", F.lit(1))), "doc_id", "left")
     grams = flagged.select(F.explode("buckets").alias("bucket"), F.coalesce("target", F.lit(0)).alias("target"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
@@ -70,17 +75,18 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     one = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("x"), F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
     smooth = F.lit(SMOOTHING)
     ratio = lambda e: F.ln((e["target"] + smooth) / (F.col("all_target") + smooth * BUCKETS)) - F.ln((e["raw"] + smooth) / (F.col("all_raw") + smooth * BUCKETS))
-    return materialize(one.select(F.when(F.col("all_target") > 0, F.transform("x", ratio)).otherwise(F.array_repeat(F.lit(0.0), BUCKETS)).alias("ratios")), "ratios")
+    return one.select(F.when(F.col("all_target") > 0, F.transform("x", ratio)).otherwise(F.array_repeat(F.lit(0.0), BUCKETS)).alias("ratios"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_trusted: int = TRUSTED) -> DataFrame:
     """(doc_id, text), (doc_id, quality) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, llr, kept; one row per input row.
 
     Null text has no words: all counts are 0, base_failed is true, llr is 0. Without a trusted row every llr is 0.
-    kept is false if base_failed, else llr >= threshold. Other columns are ignored.
+    kept is false if base_failed, else llr >= threshold. Repeated rows give equal rows, an empty table no rows. Of the
+    labelled rows of quality 1 those of the most_trusted smallest hashes are the trusted target. Other columns are ignored.
     """
-    table = log_ratios(docs, labels).first()["ratios"]  # BUCKETS numbers, however large the corpus
+    table = log_ratios(docs, labels, most_trusted)
     ratios = F.from_json(F.lit(json.dumps(table)), "array<double>")  # folded to one literal when the plan is made
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("words", word_list())
@@ -100,4 +106,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of every document; nulls and repeats as in quality."""
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -7,6 +7,7 @@ that land outside 0 .. N-1 walk on along their cycle. Place p is shard p mod sha
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,12 +51,13 @@ def number_rows(df: DataFrame, *order: str) -> DataFrame:
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     # written before it is counted: the bounds of the ranges may differ from one execution to the next
     ranged = materialize(ranged.withColumn("__part", F.shiftright("__id", 33)).withColumn("__in", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))), "ranged")
-    offsets, total = [], 0
+    offsets, total = [0], 0
     for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect():  # one row per partition
-        offsets.append((r["__part"], total))
+        offsets += [total] * (r["__part"] + 1 - len(offsets))
         total += r["n"]
-    table = df.sparkSession.createDataFrame(offsets, "__part long, __offset long")
-    return ranged.join(F.broadcast(table), "__part").withColumn("row_number", F.col("__offset") + F.col("__in")).drop("__id", "__part", "__in", "__offset")
+        offsets.append(total)
+    known = F.from_json(F.lit(json.dumps(offsets)), "array<bigint>")  # one entry per partition
+    return ranged.withColumn("row_number", F.get(known, F.col("__part").cast("int")) + F.col("__in")).drop("__id", "__part", "__in")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 20) -> DataFrame:
@@ -74,4 +76,5 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 20) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by the law rows; nulls and ties as in shard."""
     return shard(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and reader (operator 10).
 
-Records are range-sorted by page_id into shards whose bounds come from an exact histogram, so the same pages give
-the same files. A task streams its shard into gzip members, one per record, and rolls the file at a compressed
+Records are range-sorted by (page_id, payload digest) into shards of about equal bytes: exact prefix sums over the keys in
+order give the bounds, so the same pages give the same files, and neither an outlying id nor many records of one id
+fill a shard. A task streams its shard into gzip members, one per record, and rolls the file at a compressed
 size. Files are written under temporary names; the manifest that Spark commits lists only those of tasks that
 succeeded, a second step renames them and commits the final manifest, and readers open nothing else.
 """
@@ -10,21 +11,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mixtide.llm._common import materialize, new_path
+from mixtide.llm._common import Tables, new_path
 
 SHARD_BYTES = 16 << 20
 ROLL_BYTES = 4 << 20
-BINS = 4096
+#: Shards at most: their bounds (56 bytes each) pass through the driver; beyond it shards grow.
+MOST_SHARDS = 65_536
 DATE = "2020-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "name string, temporary string, records long, bytes long, sha256 string"
@@ -50,15 +52,20 @@ def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return coder.compress(text.encode()) + coder.compress(block) + coder.compress(b"\r\n\r\n") + coder.flush()
 
 
-def page_record(page_id: int | None, number: int, url: str | None, payload: bytes, refers_to: int | None, small: int) -> bytes:
+def record_id(page_id: int | None, sha1: str, number: int) -> str:
+    """A page's records are told apart by payload, equal ones by their number; number 0 of the smallest page_id is a response."""
+    return f"<urn:x-page:{page_id}:{sha1}:{number}>"
+
+
+def page_record(page_id: int | None, sha1: str, number: int, url: str | None, payload: bytes, refers_to: int | None, small: int) -> bytes:
     own = digest(payload)
-    fields = [("WARC-Record-ID", f"<urn:x-page:{page_id}:{number}>"), ("WARC-Payload-Digest", f"sha1:{own}"), ("Content-Type", "application/http; msgtype=response")]
+    fields = [("WARC-Record-ID", record_id(page_id, sha1, number)), ("WARC-Payload-Digest", f"sha1:{own}"), ("Content-Type", "application/http; msgtype=response")]
     if url:
         fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is None or refers_to == page_id or len(payload) < small:
         return record("response", fields, http + payload)
-    return record("revisit", [*fields, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<urn:x-page:{refers_to}:0>")], http)
+    return record("revisit", [*fields, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to, sha1, 0))], http)
 
 
 class _Roll:
@@ -107,22 +114,22 @@ def _write(out: str, roll: int, small: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         attempt = context.taskAttemptId() if context else 0
-        files, now, roles, number = None, object(), {}, 0
+        files, now, role, number = None, object(), None, 0
         for batch in batches:
-            for shard, page_id, url, html, sha1, refers in zip(*(batch.column(c) for c in ("shard", "page_id", "url", "html", "sha1", "refers")), strict=True):
-                shard, page_id = shard.as_py(), page_id.as_py()
+            for shard, page_id, url, html, sha1, refers, note in zip(*(batch.column(c) for c in ("shard", "page_id", "url", "html", "sha1", "refers", "note")), strict=True):
+                shard, page_id, sha1 = shard.as_py(), page_id.as_py(), sha1.as_py()
                 if files is None or files.shard != shard:
                     if files is not None:
                         files.close()
                         yield _rows(files.done)
                     files = _Roll(out, shard, attempt, roll)
-                if page_id != now:
-                    now, roles, number = page_id, {}, 0
-                if sha1.is_valid:  # the roles of a page come before the page
-                    roles[sha1.as_py()] = refers.as_py()
+                if (page_id, sha1) != now:
+                    now, role, number = (page_id, sha1), None, 0
+                if note.as_py():  # the role of a page's payload comes before its records
+                    role = refers.as_py()
                     continue
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                files.add(page_record(page_id, number, url.as_py(), payload, roles.get(hashlib.sha1(payload).hexdigest()), small))
+                files.add(page_record(page_id, sha1, number, url.as_py(), payload, role, small))
                 number += 1
         if files is not None:
             files.close()
@@ -144,41 +151,62 @@ def _commit(out: str):
     return run
 
 
+def place(page_id: Column, sha1: Column) -> Column:
+    """A string that sorts as (page_id, sha1) do; null page_ids come first."""
+    return F.concat(F.coalesce(F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit("")), sha1)
+
+
+def shard_bounds(keys: DataFrame, shard_bytes: int, tables: Tables) -> list[str]:
+    """(place, n) -> the first place of each shard of about shard_bytes, by exact prefix sums of n in order of place."""
+    cost = F.col("n") + 200
+    ranged = tables.write(keys.repartitionByRange("place").withColumn("part", F.spark_partition_id()), "ranged")
+    offsets, total = {}, 0
+    for r in ranged.groupBy("part").agg(F.sum(cost).alias("n")).orderBy("part").collect():  # one row per partition
+        offsets[r["part"]] = total
+        total += r["n"]
+    each = max(shard_bytes, total // MOST_SHARDS + 1)
+    if not offsets:
+        return []
+    known = F.from_json(F.lit(str([offsets.get(k, 0) for k in range(max(offsets) + 1)])), "array<bigint>")
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.get(known, F.col("part")) + F.coalesce(F.sum(cost).over(inside), F.lit(0))
+    first = ranged.select("place", F.floor(before / each).alias("shard")).groupBy("shard").agg(F.min("place").alias("place"))
+    return sorted({r["place"] for r in first.collect()})  # MOST_SHARDS rows at most
+
+
+def _shard_of(bounds: list[str]):
+    @F.udf("int", useArrow=True)
+    def of(at: str) -> int:
+        return max(0, bisect_right(bounds, at) - 1)
+
+    return of
+
+
 def write_warc(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, smallest: int = 0) -> DataFrame:
     """Write (page_id, url, html) as WARC files in the folder out; returns the committed manifest.
 
     Of records with equal payloads of at least smallest bytes, those of the smallest page_id are responses, the
     others revisits. Null html is an empty payload, a null url has no target header, rows with a null page_id
-    are responses. An empty table gives an empty manifest. Other columns are ignored.
+    are responses. Rows equal in page_id and payload come in order of url. An empty table gives an empty manifest.
+    Other columns are ignored.
     """
-    spark = pages.sparkSession
-    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    keys = materialize(named.select("page_id", F.sha1("html").alias("sha1"), F.length("html").cast("long").alias("n")), "digests")
-    first = keys.groupBy("sha1").agg(F.min("page_id").alias("refers"))
-    roles = keys.filter("page_id is not null").join(first, "sha1").filter("page_id <> refers").select("page_id", "sha1", "refers").distinct()
-    low, high, total = keys.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    low, high = low or 0, high or 0
-    width = (high - low) // BINS + 1
-    bin_of = lambda c: F.coalesce(F.floor((c - low) / width), F.lit(0)).cast("int")
-    shard_of, at, shard, filled = [0] * (BINS + 1), 0, 0, 0
-    for b, n in sorted(keys.groupBy(bin_of(F.col("page_id")).alias("b")).agg((F.sum("n") + 200 * F.count("*")).alias("n")).collect()):  # at most BINS rows
-        if filled and filled + n > shard_bytes:
-            shard, filled = shard + 1, 0
-            shard_of[at : b + 1] = [shard] * (b + 1 - at)
-        filled += n
-        shard_of[b:] = [shard] * (BINS + 1 - b)
-        at = b + 1
-    chosen = F.get(F.from_json(F.lit(json.dumps(shard_of)), "array<int>"), bin_of(F.col("page_id"))).alias("shard")
-    none = lambda t: F.lit(None).cast(t)
-    rows = named.select(chosen, "page_id", "url", "html", none("string").alias("sha1"), none("long").alias("refers"))
-    notes = roles.select(chosen, "page_id", none("string").alias("url"), none("binary").alias("html"), "sha1", "refers")
-    dealt = rows.unionByName(notes).repartitionById(shard + 1, F.col("shard"))
-    ordered = dealt.sortWithinPartitions("shard", "page_id", F.col("sha1").desc_nulls_last(), F.col("url"), F.length("html"))
-    listed = materialize(ordered.mapInArrow(_write(out, roll_bytes, smallest), _MANIFEST), "written")
-    manifest = f"{out}/manifest"
-    listed.mapInArrow(_commit(out), _MANIFEST).write.parquet(manifest)
-    return spark.read.schema(_MANIFEST).parquet(manifest)
+    with Tables(pages.sparkSession) as tables:
+        html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+        named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha1", F.sha1("html"))
+        keys = tables.write(named.select("page_id", "sha1", F.length("html").cast("long").alias("n")), "digests")
+        first = keys.groupBy("sha1").agg(F.min("page_id").alias("refers"))
+        roles = keys.filter("page_id is not null").join(first, "sha1").filter("page_id <> refers").select("page_id", "sha1", "refers").distinct()
+        bounds = shard_bounds(keys.select(place(F.col("page_id"), F.col("sha1")).alias("place"), "n"), shard_bytes, tables)
+        shard = _shard_of(bounds)
+        none = lambda t: F.lit(None).cast(t)
+        rows = named.select("page_id", "url", "html", "sha1", none("long").alias("refers"), F.lit(False).alias("note"))
+        notes = roles.select("page_id", none("string").alias("url"), none("binary").alias("html"), "sha1", "refers", F.lit(True).alias("note"))
+        dealt = rows.unionByName(notes).withColumn("place", place(F.col("page_id"), F.col("sha1"))).withColumn("shard", shard("place"))
+        ordered = dealt.repartitionById(max(1, len(bounds)), F.col("shard")).sortWithinPartitions("shard", "place", F.col("note").desc(), "url")
+        listed = tables.write(ordered.mapInArrow(_write(out, roll_bytes, smallest), _MANIFEST), "written")
+        manifest = f"{out}/manifest"
+        listed.mapInArrow(_commit(out), _MANIFEST).write.parquet(manifest)
+        return pages.sparkSession.read.schema(_MANIFEST).parquet(manifest)
 
 
 def members(stream) -> Iterator[bytes]:
@@ -243,6 +271,7 @@ def read_warc(manifest: DataFrame, out: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, read back from the files; nulls, ties and repeats as in write_warc."""
     out = new_path(spark, "warc")
     manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), out)
     return read_warc(manifest, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

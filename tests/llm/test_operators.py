@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -305,3 +306,199 @@ def test_slabs_and_cells_lose_no_pair():
     for leaf, point in rows:
         by[leaf].append(point)
     assert found == [(leaf, p, v[0]) for leaf, v in sorted(by.items()) if len(v) > 1 for p in v]
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, two = ({r["doc_id"]: (r["score"], r["base_score"]) for r in score_documents(docs.repartition(n, "doc_id")).collect()} for n in (1, 3))
+    assert max(abs(a - b) for d in one for a, b in zip(one[d], two[d], strict=True)) < 1e-6
+
+
+def test_languages_of_mixed_and_empty_texts(spark):
+    """Learning does not depend on the order of rows; a mixed text has both languages, a plain one only its own."""
+    en, de = "the house and the garden of the old man with the dog ", "das haus und der garten des alten mannes mit dem hund "
+    rows = [(1, en * 8, "en"), (2, "1 2", "zz"), (3, de * 8, "de"), (4, en * 20 + de * 20, None), (5, en * 20, None), (6, "12 34", None), (7, None, None), (8, "a", None)]
+    for part in (rows, rows[::-1]):
+        docs = spark.createDataFrame(part, "doc_id long, text string, lang string").coalesce(1)
+        found = {r["doc_id"]: r for r in identify(docs, docs.filter("lang is not null"), ["doc_id"]).collect()}
+        assert set(found[8]["mixture"]) == {"de", "en", "zz"} and found[8]["lang_pred"] == "de"
+        assert set(found[4]["mixture"]) == {"de", "en"} and abs(sum(found[4]["mixture"].values()) - 1) < 1e-9
+        assert set(found[5]["mixture"]) == {"en"} and found[5]["score"] == 1.0
+        assert [found[k]["lang_pred"] for k in (6, 7)] == ["und", "und"] and found[6]["mixture"] == {}
+
+
+def test_mixture_inference_equals_plain_em():
+    """The proportions of the vectorised inference are those of EM written out for one document."""
+    from mixtide.llm.language import PENALTY, PENALTY_SHARE, ROUNDS, infer
+
+    rng = np.random.default_rng(2)
+    like, times = np.log(rng.dirichlet(np.ones(40), 3).T[rng.permutation(40)]), rng.integers(1, 9, 40).astype(float)
+    starts, doc = np.array([0, 15]), np.repeat([0, 1], [15, 25])
+
+    def em(rows, n, allowed):
+        pi = np.array(allowed, float) / sum(allowed)
+        for _ in range(ROUNDS):
+            joint = np.exp(rows) * pi
+            pi = (joint * (n / joint.sum(axis=1))[:, None]).sum(axis=0) / n.sum()
+        return pi, (n * np.log((np.exp(rows) * pi).sum(axis=1))).sum()
+
+    found = infer(like, times, starts, doc)
+    for d, part in enumerate((slice(0, 15), slice(15, 40))):
+        rows, n = like[part], times[part]
+        order = np.argsort(-em(rows, n, [1, 1, 1])[0], kind="stable")
+        fits = [em(rows, n, np.isin(range(3), order[:k])) for k in (1, 2, 3)]
+        best = max(range(3), key=lambda k: fits[k][1] - (k + 1) * (PENALTY + PENALTY_SHARE * n.sum()))
+        assert np.allclose(found[d], fits[best][0])
+
+
+def test_long_texts_with_many_secrets(spark):
+    """Places and redaction of thousands of matches, across pieces of the text and beyond the first plane, equal re's."""
+    from mixtide.llm.secrets import ASSIGN
+
+    rng = random.Random(8)
+    parts = []
+    for k in range(3000):
+        parts += ["é𝄞 word " * rng.randrange(4), f"token = {''.join(rng.choice('abcdEFG123') for _ in range(rng.randrange(6, 30)))}", rng.choice([" ", "\n", " x" * 1500 if k % 700 == 0 else ","])]
+    text = "".join(parts)
+    docs = spark.createDataFrame([(1, text, "a"), (2, "", "a"), (3, None, "b")], "doc_id long, text string, source string")
+    wanted = [m for m in re.finditer(ASSIGN, text) if len(m[2]) >= 8]
+    found = {r["doc_id"]: r for r in scan(docs).collect()}
+    assert [(x["start"], x["end"]) for x in found[1]["found"] if x["kind"] == 0] == [m.span() for m in wanted]
+    out = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    want, at = "", 0
+    for m in wanted:
+        want, at = want + text[at : m.start(2)] + "[secret]", m.end()
+    assert out[1] == want + text[at:] and out[2] == "" and out[3] is None
+
+
+def test_random_looking_values(spark):
+    from mixtide.llm.secrets import looks_random
+
+    rows = [("abababababababababab", False), ("aaaaaaaaaaabcdefgh", False), ("abcdefghijklmnopqrst", True), ("a" * 10 + "bcdefghijk", True)]
+    assert [r[0] for r in spark.createDataFrame(rows, "v string, want boolean").select(looks_random(F.col("v"))).collect()] == [w for _, w in rows]
+
+
+def test_media_query_equals_brute_force(spark):
+    """Every column of op1 against plain Python; bad media give nulls, whatever their header says."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+
+    def brute(raw):
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64).astype(float)
+        media = b"P5\n64 %d\n255\n" % len(image) + payload
+        whole = np.repeat(np.repeat(image, 8, axis=0), 9, axis=1)  # 8 x 9 equal areas in whole cells
+        tile = whole.reshape(8, len(image), 9, 64).mean(axis=(1, 3))
+        return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), tile
+
+    for r in Q.op1_media(spark, "/root/testdata/sf0.001").collect():
+        *want, tile = brute((texts[r["doc_id"]] or "").encode())
+        assert want == [r[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")]
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(r["feature"]), np.uint8)).reshape(8, 8).astype(bool)
+        gap = tile[:, 1:] - tile[:, :-1]
+        assert (bits == (gap > 0))[np.abs(gap) > 1e-6].all()
+    bad = [b"P5 1" + b"0" * 30 + b" 2 255\n", b"P6 9 9 255\n", b"BM" + bytes(60), b"BM" + struct.pack("<IIIIiiHHI", 62, 0, 54, 40, -1, 1, 1, 24, 0) + bytes(30), b"P5 0 0 255\n", b"", None]
+    found = media_features(spark.createDataFrame([(k, x) for k, x in enumerate(bad)], "k int, media binary"), ["k"]).collect()
+    assert [r["feature"] for r in found] == [None] * len(bad)
+
+
+def test_bitmaps_of_all_depths():
+    def bmp(bits, rows, palette=b""):
+        step = len(rows[0])
+        return b"BM" + struct.pack("<IIIIiiHHIIiiII", 54 + len(palette) + step * len(rows), 0, 54 + len(palette), 40, {1: 10, 4: 3, 8: 3, 24: 1, 32: 1}[bits], len(rows), 1, bits, 0, 0, 0, 0, len(palette) // 4, 0) + palette + b"".join(rows)
+
+    gray = lambda n: b"".join(bytes([k * 255 // (n - 1)] * 3 + [0]) for k in range(n))
+    assert decode(bmp(1, [b"\xa0\x40\0\0"], gray(2))).tolist() == [[255, 0, 255, 0, 0, 0, 0, 0, 0, 255]]
+    assert decode(bmp(4, [b"\x0f\x70\0\0", b"\x12\x30\0\0"], gray(16))).tolist() == [[17, 34, 51], [0, 255, 119]]
+    assert decode(bmp(8, [b"\x01\x02\x03\0"], gray(256))).tolist() == [[1, 2, 3]]
+    assert decode(bmp(32, [b"\x01\x02\x03\x04"])).tolist() == [[[3, 2, 1]]]
+
+
+def test_sharding_query_equals_brute_force(spark):
+    """The Feistel walk over row numbers written out in plain Python; the hashes come from xxhash64 in Spark."""
+    from mixtide.llm.sharding import ROUNDS, domain
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    order = sorted((r["doc_id"], zlib.crc32((r["text"] or "").encode()), len((r["text"] or "").encode()) + 1) for r in docs)
+    n = len(order)
+    a, b = domain(n)
+    pairs = [(x, r, s) for x in range(max(a, b)) for r in range(ROUNDS) for s in (20, 21)]
+    hashes = {(r["x"], r["r"], r["s"]): r["h"] for r in spark.createDataFrame(pairs, "x long, r long, s int").withColumn("h", F.xxhash64("x", "r", "s")).collect()}
+
+    def once(p):
+        left, right = p // b, p % b
+        for r in range(ROUNDS):
+            left = (left + hashes[right, r, 20]) % a
+            right = (right + hashes[left, r, 21]) % b
+        return left * b + right
+
+    want = {}
+    for k, row in enumerate(order):
+        p = once(k)
+        while p >= n:
+            p = once(p)
+        want[row] = (p % 8, p // 8)
+    found = {(r["doc_id"], r["text_crc32"], r["size"]): (r["shard"], r["slot"]) for r in Q.op9_sharding(spark, "/root/testdata/sf0.001").collect()}
+    assert found == want
+
+
+def test_outlying_ids_spread_over_shards_and_files_repeat(spark, tmp_path):
+    rows = [(k, f"http://a/{k}", f"page {k} " + "x" * 400) for k in range(300)] + [(10**15, "http://far", "far"), (7, "http://b", "of a copy"), (7, "http://a", "of a copy"), (3, "http://c", "first")]
+    rows += [(3, "http://d", "of a copy"), (None, None, None), (None, "http://e", "first")]
+    digests = []
+    for parts in (2, 5):
+        out = str(tmp_path / f"warc{parts}")
+        manifest = write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts), out, shard_bytes=20_000)
+        names = {r["name"]: (r["sha256"], r["records"]) for r in manifest.collect()}
+        digests.append(names)
+        assert len({n.split("-")[1] for n in names}) > 5 and sum(n for _, n in names.values()) == len(rows)
+        found = {(r["page_id"], r["url"]): r for r in read_warc(manifest, out).collect()}
+        assert (found[7, "http://b"]["record_type"], found[7, "http://b"]["refers_to"]) == ("revisit", 3) and found[3, "http://d"]["record_type"] == "response"
+    assert digests[0] == digests[1]
+
+
+def test_revisits_name_the_record_of_their_payload(spark, tmp_path):
+    from mixtide.llm.warc import members, parse
+
+    out = str(tmp_path / "warc")
+    rows = [(1, "http://a", "A"), (1, "http://b", "B"), (2, "http://c", "B")]
+    names = [r["name"] for r in write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), out).collect()]
+    records = [parse(m) for n in names for m in members(open(f"{out}/{n}", "rb"))]
+    by_id = {f["WARC-Record-ID"]: (f, block) for f, block in records}
+    revisit = next(f for f, _ in records if f["WARC-Type"] == "revisit")
+    assert by_id[revisit["WARC-Refers-To"]][1].endswith(b"B") and by_id[revisit["WARC-Refers-To"]][0]["WARC-Type"] == "response"
+
+
+def test_quality_scores_equal_plain_python(spark):
+    """llr and kept of every document from plain counts; bucket numbers come from xxhash64 in Spark."""
+    from mixtide.llm.quality import BUCKETS, SMOOTHING, THRESHOLD, ngram_buckets, word_list
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    trusted = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}
+    grams = {r["doc_id"]: r["b"] for r in docs.select("doc_id", ngram_buckets(word_list()).alias("b")).collect()}
+    raw, target = collections.Counter(), collections.Counter()
+    for d, b in grams.items():
+        raw.update(b)
+        if d in trusted:
+            target.update(b)
+    all_raw, all_target = (x.total() + SMOOTHING * BUCKETS for x in (raw, target))
+    ratio = {k: math.log((target[k] + SMOOTHING) / all_target) - math.log((n + SMOOTHING) / all_raw) for k, n in raw.items()}
+    found = quality(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    assert target and len(found) == len(grams)
+    for r in found:
+        b = grams[r["doc_id"]]
+        llr = sum(ratio[k] for k in b) / max(1, len(b))
+        assert abs(r["llr"] - llr) < 1e-9 and r["kept"] == (not r["base_failed"] and llr >= THRESHOLD)
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLE))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want, got = con.execute(Q.ORACLE[name]).df(), Q.QUERIES[name](spark, sf).toPandas()
+    columns = sorted(want.columns)
+    rows = lambda d: sorted(map(repr, d[columns].astype(object).where(d[columns].notna(), None).itertuples(index=False, name=None)))
+    assert columns == sorted(got.columns) and rows(got) == rows(want)
