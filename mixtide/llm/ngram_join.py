@@ -15,8 +15,8 @@ The overlap of two sets is at most the sum of coordinate minima of their count v
 level by level while the summed minima of their boxes allow a link, then pairs of points do; survivors are
 verified on the sets. Cells with the same points are one cell.
 
-Components need no pair inside a component already known: first each cell's points meet its smallest one, and only
-points that are still in different components descend. No group is gathered in one task, no row is dropped.
+Components need no pair inside a component already known: first each cell's points meet its smallest one, then those of
+other components meet its point of most links, and only points that are still in different components descend. No group is gathered in one task, no row is dropped.
 """
 
 from __future__ import annotations
@@ -313,6 +313,13 @@ def _search(cells: DataFrame, vectors: DataFrame, percent: int, tables: Tables)
     return tables.write(met.distinct(), "met", spark)
 
 
+def _merged(label: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
+    """(id, label) of components, with further links (a, b)."""
+    if links.isEmpty():
+        return label
+    return components(label.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(links), tables)
+
+
 def _components(docs: DataFrame, n: int, percent: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, row_hash, point, set_id), and (point, root, component_id) of points with copies or links."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text", F.lit(7)).alias("row_hash"))
@@ -336,14 +343,21 @@ def _components(docs: DataFrame, n: int, percent: int, tables: Tables) -> tuple[
     links = tables.write(_verified(star, vectors, percent, tables), "links")
     label = components(links, tables)
 
-    # all pairs with a hub have been tried; of cells with the same other points one is searched
-    rest = cells.filter("point <> hub").select("leaf", "point", "n").join(label.withColumnRenamed("id", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
+    # cells with different components left meet their point of most links, which stands in the middle of a group of near copies
+    degree = links.select(F.explode(F.array("a", "b")).alias("point")).groupBy("point").agg(F.count("*").alias("degree"))
+    named = cells.join(label.withColumnRenamed("id", "point"), "point", "left").join(degree, "point", "left").withColumns({"label": F.coalesce("label", "point"), "degree": F.coalesce("degree", F.lit(0))})
+    best = named.groupBy("leaf").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("degree", "point", "n", "label")).alias("best"))
+    second = tables.write(named.join(best.filter("low < high").select("leaf", "best"), "leaf").select("leaf", "point", "n", "label", "hub", "best"), "second")
+    untried = second.filter("label <> best.label and point <> hub and best.point <> hub")
+    star = untried.select(F.col("best.point").alias("a"), F.col("point").alias("b"), F.col("best.n").alias("na"), F.col("n").alias("nb")).distinct()
+    label = _merged(label, tables.write(_verified(star, vectors, percent, tables), "links"), tables)
+
+    # all pairs with those two points have been tried; of cells with the same other points one is searched
+    rest = second.filter("point <> hub and point <> best.point").select("leaf", "point", "n").join(label.withColumnRenamed("id", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
     several = rest.groupBy("leaf").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("point")).alias("x"), F.bit_xor(F.xxhash64("point", F.lit(1))).alias("y"))
     once = several.filter("low < high").groupBy("size", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf")
     open_ = tables.write(rest.join(once, "leaf"), "open")
-    more = tables.write(_verified(_search(open_, vectors, percent, tables), vectors, percent, tables), "links")
-    if not more.isEmpty():
-        label = components(label.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more), tables)
+    label = _merged(label, tables.write(_verified(_search(open_, vectors, percent, tables), vectors, percent, tables), "links"), tables)
 
     base = owner.select("point", "own", "copies").join(label.withColumnRenamed("id", "point"), "point", "left").filter("copies > 1 or label is not null")
     base = base.select("point", "own", F.coalesce("label", "point").alias("root"))
