@@ -125,7 +125,7 @@ def sum_vectors(rows: DataFrame, sizes: dict[str, int] | None = None, fanout: in
     first = rows.groupBy("key", "chunk", (F.col("salt") % fanout).alias("part")).applyInArrow(lambda t: _sum_group(t, fanout), VECTOR_SCHEMA)
     second = first.groupBy("key", "chunk").applyInArrow(lambda t: _sum_group(t, 1), VECTOR_SCHEMA)
     found: dict[str, dict[int, np.ndarray]] = {}
-    for r in second.select("key", "chunk", "vec").toLocalIterator():
+    for r in second.select("key", "chunk", "vec").collect():  # inside one execution: an iterator would outlive its shuffle files
         found.setdefault(r["key"], {})[r["chunk"]] = np.frombuffer(bytes(r["vec"]), dtype=_dtype(r["key"]))
     out = {}
     for key, chunks in found.items():
