@@ -6,14 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def log_or_neg_inf(p: Column) -> Column:
-    return F.when(p > 0, F.ln(p)).otherwise(F.lit("-Infinity").cast("double"))
-
-
-def log_complement(p: Column) -> Column:
-    return F.when(p < 1, F.log1p(-p)).otherwise(F.lit("-Infinity").cast("double"))
-
-
 def logsumexp(values: Column) -> Column:
     """Of an array column; all -Infinity gives -Infinity."""
     top = F.array_max(values)
@@ -41,7 +33,7 @@ def uniform(*keys) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
 
 
-def _bind(value: Column, use) -> Column:
+def bind(value: Column, use) -> Column:
     """use(value) with value computed once, inside expressions that name it often."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -50,12 +42,12 @@ def softmax(values: Column) -> Column:
     """exp(x) normalised, of an array of logarithms with at least one finite entry."""
 
     def shares(e: Column) -> Column:
-        return _bind(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total))
+        return bind(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total))
 
     def shifted(v: Column) -> Column:
-        return _bind(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+        return bind(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
 
-    return _bind(values, lambda v: _bind(shifted(v), shares))
+    return bind(values, lambda v: bind(shifted(v), shares))
 
 
 def first_argmax(values: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixtide.functions.math import first_argmax
+from mixtide.functions.math import bind, first_argmax
 from mixtide.operators.metrics import auroc
 
 #: The smallest positive normal double, under logarithms.
@@ -73,6 +73,6 @@ def confidence_gate(rows: DataFrame, least: float = 0.9) -> DataFrame:
 
 def likelihood_classes(scored: DataFrame, digits: int | None = None) -> DataFrame:
     """(ll, n) -> ll centred by its maximum, n, log_offset: rows that differ by a constant are one class (AGG5, AGG6)."""
-    centred = F.transform("ll", lambda x: x - F.array_max("ll"))
+    centred = bind(F.array_max("ll"), lambda top: F.transform("ll", lambda x: x - top))
     centred = centred if digits is None else F.transform(centred, lambda x: F.round(x, digits))
     return scored.select(centred.alias("centred"), "n", (F.col("n") * F.array_max("ll")).alias("part")).groupBy(F.col("centred").alias("ll")).agg(F.sum("n").alias("n"), F.sum("part").alias("log_offset"))

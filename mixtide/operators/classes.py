@@ -16,16 +16,21 @@ def invalid_calls(traces: DataFrame) -> DataFrame:
 
 
 def probe_counts(traces: DataFrame, n_probes: int) -> DataFrame:
-    """(molecule, probe, call) -> molecule, observed, positive: counts per logical probe (AGG3, first half)."""
+    """(molecule, probe, call) -> molecule, observed, positive: counts per logical probe (AGG3, first half).
+
+    Calls other than -1, 0, 1 and null (FLT1) and probes outside 0 .. n_probes - 1 or null (FLT3) are errors.
+    """
     seen = lambda j: F.sum(F.when((F.col("probe") == j) & F.col("call").isin(0, 1), 1).otherwise(0)).cast("int")
     hit = lambda j: F.sum(F.when((F.col("probe") == j) & (F.col("call") == 1), 1).otherwise(0)).cast("int")
-    return traces.groupBy("molecule").agg(F.array(*[seen(j) for j in range(n_probes)]).alias("observed"), F.array(*[hit(j) for j in range(n_probes)]).alias("positive"))
+    call = F.when(F.coalesce(F.col("call"), F.lit(-1)).isin(-1, 0, 1), F.col("call")).otherwise(F.raise_error(F.lit("calls must be -1, 0 or 1")).cast("int"))
+    probe = F.when(F.col("probe").between(0, n_probes - 1), F.col("probe")).otherwise(F.raise_error(F.lit("a probe is outside the schedule")).cast("int"))
+    checked = traces.withColumns({"call": call, "probe": probe})
+    return checked.groupBy("molecule").agg(F.array(*[seen(j) for j in range(n_probes)]).alias("observed"), F.array(*[hit(j) for j in range(n_probes)]).alias("positive"))
 
 
 def count_classes(counts: DataFrame, weight: Column | None = None) -> DataFrame:
-    """Distinct (observed, positive) with n, numbered in their order (AGG3, second half). Rows of weight 0 are dropped first (FLT5)."""
-    grouped = counts.withColumn("__n", weight if weight is not None else F.lit(1)).filter("__n > 0").groupBy("observed", "positive").agg(F.sum("__n").cast("long").alias("n"))
-    return grouped.withColumn("class_id", F.row_number().over(Window.orderBy("observed", "positive")) - 1)
+    """Distinct (observed, positive) with n (AGG3, second half). Rows of weight 0 are dropped first (FLT5)."""
+    return counts.withColumn("__n", weight if weight is not None else F.lit(1)).filter("__n > 0").groupBy("observed", "positive").agg(F.sum("__n").cast("long").alias("n"))
 
 
 def trace_classes(traces: DataFrame, n_cycles: int) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixtide.functions.math import expit, log_complement, log_or_neg_inf, logit
+from mixtide.functions.math import bind, expit, logit
 
 
 def emissions(profiles: DataFrame, rates: DataFrame) -> DataFrame:
@@ -18,20 +22,59 @@ def calibrate(traces: DataFrame) -> DataFrame:
     return traces.filter("call in (0, 1)").groupBy("origin", "probe").agg((F.sum("call") / F.count("*")).alias("q"))
 
 
+def _scores(q: list[list[float]], columns: list[str], block: int = 1024):
+    """Adds ll to batches: one matrix product per block of classes, with the logarithms of q and 1 - q."""
+    p = np.asarray(q, dtype=float).T
+    with np.errstate(divide="ignore"):
+        yes, no = np.log(p), np.log1p(-p)
+    never, always = np.isneginf(yes), np.isneginf(no)
+    yes, no = np.where(never, 0.0, yes), np.where(always, 0.0, no)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, block):
+                part = batch.slice(k, block)
+                seen, hit = (part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(float) for c in ("observed", "positive"))
+                ll = hit @ yes + (seen - hit) @ no
+                if never.any() or always.any():
+                    ll[(hit > 0).astype(float) @ never + (seen > hit).astype(float) @ always > 0] = -np.inf
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists], names=[*columns, "ll"])
+
+    return run
+
+
+def check_q(q: list[list[float]]) -> None:
+    """q is a K x J matrix of probabilities (PRJ1)."""
+    if not q or not q[0] or any(len(row) != len(q[0]) for row in q):
+        raise ValueError("q must be a matrix of origins by probes")
+    if not all(0 <= p <= 1 for row in q for p in row):
+        raise ValueError("q must hold probabilities")
+
+
 def score(classes: DataFrame, q: list[list[float]]) -> DataFrame:
-    """classes with ll, the array over origins of sum(positive * ln q + negative * ln(1 - q)) (LL1, LL2, JN2).
+    """classes (observed, positive) with ll, the array over origins of sum(positive * ln q + negative * ln(1 - q)) (LL2, JN2).
 
-    A count of 0 adds 0 also where the logarithm is -Infinity. q is K x J, which the model fixes.
+    A count of 0 adds 0 also where the logarithm is -Infinity. q is K x J, which the model fixes; a column ll is replaced.
     """
+    check_q(q)
+    plain = classes.drop("ll")
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in plain.dtypes), "ll array<double>"])
+    return plain.mapInArrow(_scores(q, plain.columns), schema)
+
 
-    def one(row: list[float]) -> Column:
-        total = F.lit(0.0)
-        for j, p in enumerate(row):
-            pos, neg = F.col("positive")[j], F.col("observed")[j] - F.col("positive")[j]
-            total = total + F.when(pos > 0, pos * log_or_neg_inf(F.lit(p))).otherwise(0.0) + F.when(neg > 0, neg * log_complement(F.lit(p))).otherwise(0.0)
-        return total
+def score_traces(classes: DataFrame, q: list[list[float]]) -> DataFrame:
+    """Classes (mask, trace) of one call per probe, with ll (LL1): seen once where the mask is 1, positive where the trace is."""
+    return score(classes.withColumns({"observed": F.col("mask"), "positive": F.col("trace")}), q).drop("observed", "positive")
 
-    return classes.withColumn("ll", F.array(*[one(row) for row in q]))
+
+def score_observations(observations: DataFrame, q: list[list[float]], *key: str) -> DataFrame:
+    """One row per observation with its class's ll: distinct classes are scored once and joined back (LL3, JN3).
+
+    key: observed and positive, or mask and trace.
+    """
+    scorer = score_traces if key == ("mask", "trace") else score
+    return observations.join(scorer(observations.select(*key).distinct(), q), list(key))
 
 
 def mismatches(profiles: list[list[int]]) -> Column:
@@ -45,6 +88,9 @@ def mismatches(profiles: list[list[int]]) -> Column:
 def best_compatible(classes: DataFrame, profiles: list[list[int]], most: int | None = None) -> DataFrame:
     """ll 0 for origins of fewest mismatches (or at most `most`), else -Infinity."""
     with_m = classes.withColumn("__m", mismatches(profiles))
+    if most is not None:
+        kept = F.array_min("__m") <= most
+        with_m = with_m.withColumn("__m", F.when(kept, F.col("__m")).otherwise(F.raise_error(F.lit("a class has no compatible origin")).cast("array<int>")))
     limit = F.array_min("__m") if most is None else F.lit(most)
     return with_m.withColumn("ll", F.transform("__m", lambda m: F.when(m <= limit, F.lit(0.0)).otherwise(F.lit("-Infinity").cast("double")))).drop("__m")
 
@@ -54,7 +100,7 @@ def ratio_compatible(ll: Column, threshold: float) -> Column:
     finite = lambda x: x > F.lit("-Infinity").cast("double")
     if threshold == 0:
         return F.transform(ll, finite)
-    return F.transform(ll, lambda x: finite(x) & (x - F.array_max(ll) >= F.ln(F.lit(threshold))))
+    return bind(F.array_max(ll), lambda top: F.transform(ll, lambda x: finite(x) & (x - top >= F.ln(F.lit(threshold)))))
 
 
 def condition_on_gate(ll: Column, visibility: list[float]) -> Column:
@@ -86,3 +132,30 @@ def tolerant_groups(rows: list[list[float]], atol: float, rtol: float = 0.0) ->
         else:
             groups.append([k])
     return groups
+
+
+def shrink_contrast(rates: DataFrame, probe: int, share: float) -> DataFrame:
+    """(probe, alpha, beta) with one probe's rates moved towards their mean; share of the contrast stays (PRJ4)."""
+    mean, half = (F.col("alpha") + F.col("beta")) / 2, (F.col("alpha") - F.col("beta")) / 2 * share
+    here = F.col("probe") == probe
+    return rates.withColumns({"alpha": F.when(here, mean + half).otherwise(F.col("alpha")), "beta": F.when(here, mean - half).otherwise(F.col("beta"))})
+
+
+def missing_as_zero(traces: DataFrame) -> DataFrame:
+    """Missing calls read as negative ones (PRJ7), a mistake that comparisons measure."""
+    return traces.withColumn("call", F.when(F.coalesce("call", F.lit(-1)) == -1, 0).otherwise(F.col("call")))
+
+
+def cumulative_posteriors(cells: DataFrame, q: DataFrame, low: float = 1e-12) -> DataFrame:
+    """(molecule, cycle, probe, call), (origin, probe, q) -> molecule, cycle, origin, posterior after each cycle, from a flat prior (MT20).
+
+    Several calls of one cycle count together.
+    """
+    p = F.greatest(F.lit(low), F.least(F.lit(1 - low), F.col("q")))
+    part = F.when(F.col("call") == 1, F.ln(p)).when(F.col("call") == 0, F.ln(F.greatest(F.lit(low), F.least(F.lit(1 - low), 1 - F.col("q"))))).otherwise(0.0)
+    upto = Window.partitionBy("molecule", "origin").orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)
+    each_cycle = cells.join(F.broadcast(q), "probe").groupBy("molecule", "cycle", "origin").agg(F.sum(part).alias("part"))
+    ll = each_cycle.select("molecule", "cycle", "origin", F.sum("part").over(upto).alias("ll"))
+    each = Window.partitionBy("molecule", "cycle")
+    e = ll.withColumn("e", F.exp(F.col("ll") - F.max("ll").over(each)))
+    return e.select("molecule", "cycle", "origin", (F.col("e") / F.sum("e").over(each)).alias("posterior"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mixtide.functions.ranks import running_totals
+
 
 def abundance_metrics(pairs: DataFrame) -> DataFrame:
     """(est, truth) -> l1, tv, rmse, max_abs (MT1)."""
@@ -28,27 +30,33 @@ def detection(pairs: DataFrame, total: float, least: float = 20.0) -> DataFrame:
 def auroc(scored: DataFrame) -> DataFrame:
     """(score, label) -> auroc with average ranks on ties (MT13). Scores are counted before they are ranked."""
     by_score = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running_totals(by_score, [F.col("score")], "n").withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     return ranked.agg(F.try_divide(F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2, p * n).alias("auroc"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """(id, score, label) -> ap; ties go by id (MT14)."""
-    w = Window.orderBy(F.col("score").desc(), "id")
-    run = scored.withColumn("rank", F.row_number().over(w)).withColumn("hits", F.sum("label").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.agg(F.try_divide(F.sum(F.when(F.col("label") == 1, F.col("hits") / F.col("rank")).otherwise(0.0)), F.sum("label")).alias("ap"))
+    run = running_totals(scored.withColumn("one", F.lit(1)), [F.col("score").desc(), F.col("id")], "one", "label")
+    precision = (F.col("before_label") + 1) / (F.col("before_one") + 1)
+    return run.agg(F.try_divide(F.sum(F.when(F.col("label") == 1, precision).otherwise(0.0)), F.sum("label")).alias("ap"))
 
 
 def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
-    """(confidence, correct) -> equal-width bins with means (MT8)."""
-    return scored.groupBy(F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg("correct").alias("accuracy"))
+    """(confidence, correct) -> equal-width bins with means; empty bins have n 0 and no means (MT8)."""
+    every = scored.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    found = scored.groupBy(F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg("correct").alias("accuracy"))
+    return every.join(found, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def equal_frequency(scored: DataFrame, bins: int = 10) -> DataFrame:
     """(id, confidence, correct) -> bins of equal size, the first ones one row longer (MT9)."""
-    return scored.withColumn("bin", F.ntile(bins).over(Window.orderBy("confidence", "id")) - 1).groupBy("bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg("correct").alias("accuracy"))
+    total = scored.count()
+    small, longer = divmod(total, bins)
+    rank = F.col("before_one")
+    inside = F.when(rank < longer * (small + 1), F.floor(rank / (small + 1))).otherwise(longer + F.floor((rank - longer * (small + 1)) / max(1, small)))
+    placed = running_totals(scored.withColumn("one", F.lit(1)), [F.col("confidence"), F.col("id")], "one")
+    return placed.withColumn("bin", inside.cast("int")).groupBy("bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg("correct").alias("accuracy"))
 
 
 def wilson(rows: DataFrame, z: float = 1.959963984540054) -> DataFrame:
@@ -73,3 +81,34 @@ def augmented_error(pairs: DataFrame, outlier_mass: float) -> DataFrame:
 def feature_marginals(weights: DataFrame, features: DataFrame, *columns: str) -> DataFrame:
     """(origin, w...), (origin, feature, bit) -> feature and the weight of origins that have it (MT5, BS4)."""
     return weights.join(F.broadcast(features.filter("bit = 1")), "origin").groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def percent_error(pairs: DataFrame) -> DataFrame:
+    """(est, truth) -> median percent error over present origins and the mass given to absent ones (MT22)."""
+    present = F.col("truth") > 0
+    error = F.when(present, F.abs(F.col("est") - F.col("truth")) / F.col("truth") * 100)
+    return pairs.agg(F.percentile(error, 0.5).alias("median_percent_error"), F.sum(F.when(present, 0.0).otherwise(F.col("est"))).alias("false_mass"))
+
+
+def paired_differences(rows: DataFrame, one: str, two: str) -> DataFrame:
+    """(pair, arm, value) -> n, mean, sd and standard error of value in arm one minus value in arm two (MT23, JN8).
+
+    A pair without both arms takes no part; a single pair has sd 0.
+    """
+    by_pair = rows.groupBy("pair").agg(F.max(F.when(F.col("arm") == one, F.col("value"))).alias("x"), F.max(F.when(F.col("arm") == two, F.col("value"))).alias("y"))
+    d = by_pair.filter("x is not null and y is not null").select((F.col("x") - F.col("y")).alias("d"))
+    sd = F.coalesce(F.stddev_samp("d"), F.lit(0.0))
+    return d.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), sd.alias("sd"), (sd / F.sqrt(F.count("*"))).alias("se"))
+
+
+def threshold_sweep(scored: DataFrame, support: Column, truth: Column, thresholds: list[float]) -> DataFrame:
+    """Classes (n, ll) at each ratio threshold -> mean support size, share with one origin, density and share keeping the true one (MT24).
+
+    support(t) comes from a Column over threshold; truth is the true origin's place. The thresholds are few.
+    """
+    table = scored.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    kept = scored.crossJoin(F.broadcast(table)).select("threshold", "n", support.alias("kept"), truth.alias("truth"))
+    size = F.size(F.filter("kept", lambda x: x))
+    n = F.col("n")
+    share = lambda c: F.sum(F.when(c, n).otherwise(0)) / F.sum("n")
+    return kept.groupBy("threshold").agg((F.sum(size * n) / F.sum("n")).alias("mean_support"), share(size == 1).alias("unique_fraction"), (F.sum(size * n) / F.sum(F.size("kept") * n)).alias("density"), share(F.get("kept", F.col("truth"))).alias("retained"))

@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def effective_yield(recovery: Column, visibility: Column) -> Column:
     return recovery * visibility
 
 
 def source_to_analyzed(weights: DataFrame) -> DataFrame:
     """(origin, w, e) -> analyzed share, w * e normalised (YD2); one row per origin."""
-    return weights.withColumn("analyzed", F.col("w") * F.col("e") / F.sum(F.col("w") * F.col("e")).over(Window.partitionBy()))
+    total = F.sum(F.col("w") * F.col("e")).over(Window.partitionBy())
+    checked = F.when(total > 0, total).otherwise(F.raise_error(F.lit("no origin is seen: the weighted yields sum to 0")).cast("double"))
+    return weights.withColumn("analyzed", F.col("w") * F.col("e") / checked)
 
 
 def analyzed_to_source(weights: DataFrame) -> DataFrame:
     """(origin, w, e) -> source share, w / e normalised; e must be positive (YD3)."""
-    return weights.withColumn("source", F.col("w") / F.col("e") / F.sum(F.col("w") / F.col("e")).over(Window.partitionBy()))
+    checked = F.when(F.col("e") > 0, F.col("e")).otherwise(F.raise_error(F.lit("yields must be positive")).cast("double"))
+    return weights.withColumn("__x", F.col("w") / checked).withColumn("source", F.col("__x") / F.sum("__x").over(Window.partitionBy())).drop("__x")
+
+
+def assumed_corrections(weights: DataFrame, assumed: DataFrame) -> DataFrame:
+    """(origin, w), (assumption, origin, e) -> assumption, origin, source: w / e normalised under each assumption (YD7)."""
+    own = weights.select("origin", "w").join(assumed.select("assumption", "origin", "e"), "origin")
+    part = own.withColumn("__x", F.col("w") / F.when(F.col("e") > 0, F.col("e")).otherwise(F.raise_error(F.lit("yields must be positive")).cast("double")))
+    return part.withColumn("source", F.col("__x") / F.sum("__x").over(Window.partitionBy("assumption"))).select("assumption", "origin", "source")
 
 
 def gate_visibility(emissions: DataFrame, schedule: DataFrame, missing_rate: float = 0.0) -> DataFrame:

@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixtide.functions.math import softmax
+from mixtide.functions.math import bind, softmax
+from mixtide.operators.classes import count_classes, drop_invariant_probes, probe_counts
+from mixtide.operators.likelihood import score
 
 
 @dataclass
@@ -49,9 +51,13 @@ def _partial(weights: np.ndarray):
 
 
 def e_step(classes: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Expected counts and log-likelihood (EM1, EM2, EM14)."""
-    rows = classes.select("n", "ll").mapInArrow(_partial(weights), "expected array<double>, value double").collect()  # a K-vector per partition
-    return np.sum([r["expected"] for r in rows], axis=0) if rows else np.zeros(len(weights)), math.fsum(r["value"] for r in rows)
+    """Expected counts and log-likelihood at fixed weights (EM1, EM2, EM14). Partitions' sums meet on executors; K + 1 numbers come back."""
+    rows = classes.select("n", "ll").mapInArrow(_partial(weights), "expected array<double>, value double")
+    sums = rows.select(F.posexplode(F.concat("expected", F.array("value"))).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(len(weights) + 1)
+    for r in sums:
+        out[r["k"]] = r["x"]
+    return out[:-1], float(out[-1])
 
 
 def fit(classes: DataFrame, initial: list[float] | None = None, max_iter: int = 1000, tol: float = 1e-8, offset: float = 0.0) -> Fit:
@@ -59,8 +65,14 @@ def fit(classes: DataFrame, initial: list[float] | None = None, max_iter: int =
 
     Converged when the likelihood moves by at most tol * (1 + its size) and no weight by more than tol.
     """
+    wrong = F.col("n").isNull() | (F.col("n") < 0) | (F.col("n") != F.floor("n"))
+    if not classes.filter(wrong).isEmpty():
+        raise ValueError("counts must be finite non-negative integers")
+    if initial is not None and not (np.isfinite(initial).all() and np.min(initial) >= 0 and np.sum(initial) > 0):
+        raise ValueError("initial weights must be finite and non-negative, with a positive sum")
     used = classes.filter("n > 0")
-    wide = used.select("n", F.array_max("ll").alias("top"), F.transform("ll", lambda x: x - F.array_max("ll")).alias("ll"), (F.array_min("ll") == F.array_max("ll")).alias("flat")).cache()
+    shifted = bind(F.array_max("ll"), lambda top: F.transform("ll", lambda x: x - top))
+    wide = used.select("n", F.array_max("ll").alias("top"), shifted.alias("ll"), (F.array_min("ll") == F.array_max("ll")).alias("flat")).cache()
     head = wide.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("flat"), F.col("n")).otherwise(0)).alias("flat"), F.sum(F.col("n") * F.col("top")).alias("offset"), F.first(F.size("ll")).alias("k"), F.max(F.exists("ll", lambda x: F.isnan(x))).alias("bad"), F.sum((F.col("top") == F.lit("-Infinity").cast("double")).cast("int")).alias("impossible")).first()
     if not head["n"]:
         raise ValueError("counts must have a positive sum")
@@ -87,6 +99,31 @@ def fit(classes: DataFrame, initial: list[float] | None = None, max_iter: int =
     return Fit(w, expected + flat * w, [h + head["offset"] + offset for h in history], converged, n_iter, {"n_uninformative": flat, "monotonic": bool((gains >= -1e-10 * (1 + np.abs(history[:-1]))).all()) if len(gains) else True, "terminal_em_residual": float(np.abs(expected / expected.sum() - w).max()) if total > flat else 0.0})
 
 
+def fit_em(traces: DataFrame, q: list[list[float]], schedule: DataFrame | None = None, initial: list[float] | None = None, max_iter: int = 1000, tol: float = 1e-8) -> Fit:
+    """Weights of the origins of q from one of three inputs (EM5).
+
+    (molecule, probe, call) rows, with a schedule (cycle, probe) also (molecule, cycle, call) rows: calls are checked,
+    counted per probe and reduced to classes. (observed, positive, n) classes: used as they are. (n, ll) classes:
+    supplied likelihoods, q is not used. Probes whose rates are alike for all origins add an offset alone.
+    """
+    if "ll" in traces.columns:
+        return fit(traces, initial, max_iter, tol)
+    n_probes, found = len(q[0]), traces
+    if "observed" not in traces.columns:
+        cells = traces
+        if schedule is not None:
+            known = schedule.select("cycle", F.col("probe").cast("int").alias("probe"))
+            if known.groupBy("cycle").count().filter("count > 1").count() or known.filter("probe is null or probe < 0").count():
+                raise ValueError("a schedule has one probe for each cycle")
+            cells = traces.drop("probe").join(F.broadcast(known), "cycle", "left")  # a cycle without a probe fails the check of probes
+        found = count_classes(probe_counts(cells, n_probes))
+    kept, keep, offset = drop_invariant_probes(found, q)
+    if not keep:
+        return fit(kept.withColumn("ll", F.array_repeat(F.lit(0.0), len(q))), initial, max_iter, tol)
+    shift = found.filter("n > 0").agg(offset.alias("x")).first()["x"] or 0.0
+    return fit(score(kept, [[row[j] for j in keep] for row in q]), initial, max_iter, tol, float(shift))
+
+
 def posterior(ll: Column, weights: list[float]) -> Column:
     """Posterior over origins at fixed weights (EM6); with equal weights the flat one (EM9)."""
     logs = F.array(*[F.lit(math.log(w)) if w > 0 else F.lit("-Infinity").cast("double") for w in weights])
@@ -95,8 +132,8 @@ def posterior(ll: Column, weights: list[float]) -> Column:
 
 def hard_counts(classes: DataFrame, split_ties: bool = True) -> DataFrame:
     """origin, count: each class goes to its likeliest origins, ties split evenly or to the first (EM7)."""
-    place = F.posexplode(F.transform("ll", lambda x: x == F.array_max("ll"))).alias("origin", "best")
-    ties = F.size(F.filter("ll", lambda x: x == F.array_max("ll")))
+    place = F.posexplode(bind(F.array_max("ll"), lambda top: F.transform("ll", lambda x: x == top))).alias("origin", "best")
+    ties = bind(F.array_max("ll"), lambda top: F.size(F.filter("ll", lambda x: x == top)))
     if not split_ties:
         return classes.select((F.array_position("ll", F.array_max("ll")) - 1).cast("int").alias("origin"), "n").groupBy("origin").agg(F.sum("n").cast("double").alias("count"))
     return classes.select("n", ties.alias("ties"), place).filter("best").groupBy("origin").agg(F.sum(F.col("n") / F.col("ties")).alias("count"))

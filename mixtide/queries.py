@@ -90,9 +90,11 @@ def agg1(spark, d):
     return C.trace_classes(syn_traces(spark, d).withColumn("probe", F.col("cycle")), 24).select(*text("mask", "trace"), "n")
 
 
-@register("flt1_invalid_calls", f"with {_LINE} select count(*) as invalid from lines where call not in (-1, 0, 1)")
+@register("flt1_invalid_calls", "select call, count(*) as invalid from (select l_linenumber - 3 as call from lineitem) where call not in (-1, 0, 1) group by 1")
 def flt1(spark, d):
-    return C.invalid_calls(line_traces(spark, d)).agg(F.count("*").alias("invalid"))
+    """Line numbers read as calls: most are outside the domain."""
+    calls = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("molecule"), (F.col("l_linenumber") - 3).alias("call"))
+    return C.invalid_calls(calls).groupBy("call").agg(F.count("*").alias("invalid"))
 
 
 @register("agg4_invariant_probes", f"with {_LINE}, {_COUNTS(7, 'lines')} select array_to_string(observed[2:], ',') as observed, array_to_string(positive[2:], ',') as positive, sum(n)::bigint as n from classes group by 1, 2")
@@ -176,11 +178,14 @@ def em8(spark, d):
     return E.soft_counts(L.score(syn_classes(spark, d), Q), 8).select(F.col("origin").cast("long").alias("origin"), F.round("count", 5).alias("soft"))
 
 
-@register("em6_posteriors")
+@register("em6_posteriors", f"""with {_LINE}, {_COUNTS(7, 'lines')}, s as (select molecule, {_LL(LINE_Q)} as ll from counts),
+w as (select molecule, list_transform(range(1, 6), lambda k: ll[k] + ln(({WEIGHTS[:5]}::double[])[k])) as x from s),
+p as (select molecule, list_transform(x, lambda y: exp(y - list_max(x))) as e from w)
+select molecule, round(list_max(e) / list_sum(e), 6) as confidence from p""")
 def em6(spark, d):
-    counts = C.probe_counts(syn_traces(spark, d), 8)
-    post = L.score(counts, Q).withColumn("post", E.posterior(F.col("ll"), WEIGHTS))
-    return post.select("molecule", first_argmax(F.col("post")).alias("origin"), F.round(F.array_max("post"), 6).alias("confidence"))
+    """Each distinct class is scored once; orders get their class's posterior."""
+    post = L.score_observations(C.probe_counts(line_traces(spark, d), 7), LINE_Q, "observed", "positive")
+    return post.select("molecule", F.round(F.array_max(E.posterior(F.col("ll"), WEIGHTS[:5])), 6).alias("confidence"))
 
 
 _MISS = "[" + ", ".join("(" + " + ".join(f"observed[{j + 1}] - positive[{j + 1}]" if bit else f"positive[{j + 1}]" for j, bit in enumerate(row)) + ")" for row in PROFILES) + "]"
@@ -292,7 +297,9 @@ def confident(spark, d):
 _CONF = f"with {_LAB}, conf as (select id, score % 1000 / 1000 as confidence, label::double as correct from lab)"
 
 
-@register("mt8_reliability", f"{_CONF} select least(floor(confidence * 10), 9)::int as bin, count(*) as n, round(avg(confidence), 9) as confidence, round(avg(correct), 9) as accuracy from conf group by 1")
+@register("mt8_reliability", f"""{_CONF}, b as (select least(floor(confidence * 10), 9)::int as bin, confidence, correct from conf)
+select r.bin::int as bin, count(b.bin) as n, round(avg(confidence), 9) as confidence, round(avg(correct), 9) as accuracy
+from (select unnest(range(10)) as bin) r left join b on b.bin = r.bin group by 1""")
 def mt8(spark, d):
     return M.reliability(confident(spark, d)).select("bin", "n", F.round("confidence", 9).alias("confidence"), F.round("accuracy", 9).alias("accuracy"))
 
@@ -317,3 +324,130 @@ def agg17(spark, d):
 @register("stream_class_counts", "select date_trunc('day', ts) as window_start, event_type, count(value) as observed, count(*) filter (value > 50) as positive from events group by 1, 2")
 def stream(spark, d):
     return windowed_counts(table(spark, d, "events"))
+
+
+_TRACES = f"traces as (select molecule, {_LIST(7, 'coalesce(max(case when probe = {j} then (call >= 0)::int end), 0)')} as mask, {_LIST(7, 'coalesce(max(case when probe = {j} then (call = 1)::int end), 0)')} as trace from lines group by 1)"
+
+
+@register("ll1_trace_scores", f"""with {_LINE}, {_TRACES}, c as (select mask as observed, trace as positive, count(*) as n from traces group by 1, 2),
+s as (select observed, positive, n, {_LL(LINE_Q)} as ll from c)
+select array_to_string(observed, ',') as mask, array_to_string(positive, ',') as trace, n, origin, round(v, 6) + 0.0 as loglik
+from (select observed, positive, n, generate_subscripts(ll, 1) - 1 as origin, unnest(ll) as v from s)""")
+def ll1(spark, d):
+    scored = L.score_traces(C.trace_classes(line_traces(spark, d), 7), LINE_Q)
+    cells = scored.select(*text("mask", "trace"), "n", F.posexplode("ll").alias("origin", "x"))
+    return cells.select("mask", "trace", "n", F.col("origin").cast("long").alias("origin"), (F.round("x", 6) + 0.0).alias("loglik"))
+
+
+@register("ll3_observation_scores", f"""with {_LINE}, {_COUNTS(7, 'lines')}, s as (select molecule, {_LL(LINE_Q)} as ll from counts)
+select molecule, round(list_max(ll), 6) + 0.0 as best, round(list_sum(ll), 6) + 0.0 as total from s""")
+def ll3(spark, d):
+    scored = L.score_observations(C.probe_counts(line_traces(spark, d), 7), LINE_Q, "observed", "positive")
+    total = F.aggregate("ll", F.lit(0.0), lambda s, x: s + x)
+    return scored.select("molecule", (F.round(F.array_max("ll"), 6) + 0.0).alias("best"), (F.round(total, 6) + 0.0).alias("total"))
+
+
+def panel_traces(spark, d):
+    """Orders over the panel's twelve probes: part keys deal lines to probes, return flags are calls."""
+    call = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "N", 0).otherwise(-1)
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("molecule"), ((F.col("l_partkey") + F.col("l_linenumber")) % 12).cast("int").alias("probe"), call.alias("call"))
+
+
+_PANEL = f"""plines as (select l_orderkey as molecule, (l_partkey + l_linenumber) % 12 as probe, case l_returnflag when 'R' then 1 when 'N' then 0 else -1 end as call from lineitem),
+bits as (select o as origin, [1, 1, (o // 128 < 2)::int, (o // 128 >= 4)::int, (o // 128 % 2)::int, o // 64 % 2, o // 32 % 2, o // 16 % 2, o // 8 % 2, o // 4 % 2, o // 2 % 2, o % 2] as b from (select unnest(range(768)) as o)),
+logs as (select origin, list_transform(range(1, 13), lambda j: ln(case when b[j] = 1 then ({G.ALPHA}::double[])[j] else ({G.BETA}::double[])[j] end)) as yes,
+  list_transform(range(1, 13), lambda j: ln(1 - case when b[j] = 1 then ({G.ALPHA}::double[])[j] else ({G.BETA}::double[])[j] end)) as no from bits)"""
+
+
+@register("ll2_panel_scores", f"""with {_PANEL}, {_COUNTS(12, "plines")},
+s as (select observed, positive, n, {" + ".join(f"positive[{j}] * yes[{j}] + (observed[{j}] - positive[{j}]) * no[{j}]" for j in range(1, 13))} as v from classes, logs)
+select array_to_string(observed, ',') as observed, array_to_string(positive, ',') as positive, any_value(n) as n, round(max(v), 5) + 0.0 as best, round(min(v), 5) + 0.0 as worst from s group by 1, 2""")
+def ll2_panel(spark, d):
+    """All 768 candidates of the panel against the classes of all orders."""
+    scored = L.score(C.count_classes(C.probe_counts(panel_traces(spark, d), 12)), G.panel_q(spark))
+    return scored.select(*text("observed", "positive"), "n", (F.round(F.array_max("ll"), 5) + 0.0).alias("best"), (F.round(F.array_min("ll"), 5) + 0.0).alias("worst"))
+
+
+@register("em5_panel_fit")
+def em5_panel(spark, d):
+    """fit_em over the panel: 768 origins, 12 probes, all orders."""
+    found = E.fit_em(panel_traces(spark, d), G.panel_q(spark), max_iter=20, tol=0.0)
+    weights = origins(spark, found.weights, "weight")
+    return G.panel(spark).join(weights, "origin").select("origin", "candidate_id", F.round("weight", 9).alias("weight"), cpm(F.col("weight")).alias("cpm"))
+
+
+@register("em5_fit_lines", f"""with recursive {_LINE}, {_COUNTS(7, "lines")}, s as (select row_number() over () as c, n, {_LL(LINE_Q)} as ll from classes),
+l as (select c, n, generate_subscripts(ll, 1) - 1 as k, unnest(list_transform(ll, lambda x: exp(x - list_max(ll)))) as p from s),
+em(it, k, w) as (select 0, k, 1.0::double / 5 from (select unnest(range(5)) as k)
+  union all select it + 1, k, sum(g) / (select sum(n) from classes) from (select it, l.k, l.n * l.p * w / sum(l.p * w) over (partition by l.c) as g from l join em on l.k = em.k where it < {ITERATIONS}) group by it, k)
+select k as origin, round(w, 6) as weight from em where it = {ITERATIONS}""")
+def em5_lines(spark, d):
+    """fit_em over lines with a schedule; an order without a call is flat and leaves the weights as they are."""
+    schedule = spark.createDataFrame([(c, c) for c in range(7)], "cycle int, probe int")
+    traces = line_traces(spark, d).withColumnRenamed("probe", "cycle").withColumn("call", F.when(F.col("call") == -1, F.lit(0)).otherwise(F.col("call")))
+    found = E.fit_em(traces, LINE_Q, schedule, max_iter=ITERATIONS, tol=0.0)
+    return origins(spark, found.weights, "weight").select(F.col("origin").cast("long").alias("origin"), F.round("weight", 6).alias("weight"))
+
+
+ORACLE["em5_fit_lines"] = ORACLE["em5_fit_lines"].replace("when 'N' then 0 else -1 end", "else 0 end")
+
+
+@register("mt20_cumulative_posteriors", f"""with {_LINE}, q as (select generate_subscripts(x, 1) - 1 as origin, unnest(x) as row from (select {LINE_Q}::double[][] as x)),
+c as (select molecule, probe as cycle, origin, sum(case call when 1 then ln(row[probe + 1]) when 0 then ln(1 - row[probe + 1]) else 0 end) as part from lines, q group by 1, 2, 3),
+s as (select molecule, cycle, origin, sum(part) over (partition by molecule, origin order by cycle) as ll from c),
+e as (select *, exp(ll - max(ll) over (partition by molecule, cycle)) as e from s)
+select molecule, cycle, origin, round(e / sum(e) over (partition by molecule, cycle), 9) as posterior from e""")
+def mt20(spark, d):
+    q = spark.createDataFrame([(k, j, p) for k, row in enumerate(LINE_Q) for j, p in enumerate(row)], "origin long, probe int, q double")
+    cells = line_traces(spark, d).withColumn("cycle", F.col("probe").cast("long"))
+    return L.cumulative_posteriors(cells, q).withColumn("posterior", F.round("posterior", 9))
+
+
+_PRIORITY = "select count(*) filter (o_orderstatus = 'F')::double / sum(count(*) filter (o_orderstatus = 'F')) over () as truth, sum(o_totalprice::double) / sum(sum(o_totalprice::double)) over () as est from orders group by o_orderpriority, o_orderstatus"
+
+
+@register("mt22_percent_error", f"""with p as ({_PRIORITY}) select round(quantile_cont(abs(est - truth) / truth * 100, 0.5) filter (truth > 0), 6) as median_percent_error,
+round(sum(case when truth > 0 then 0 else est end), 9) as false_mass from p""")
+def mt22(spark, d):
+    """Groups of finished orders are present, the others absent; estimates are shares of the money."""
+    from pyspark.sql import Window
+
+    whole = Window.partitionBy()  # a row per priority and status
+    shares = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.sum((F.col("o_orderstatus") == "F").cast("double")).alias("f"), F.sum(F.col("o_totalprice").cast("double")).alias("m"))
+    found = M.percent_error(shares.select((F.col("f") / F.sum("f").over(whole)).alias("truth"), (F.col("m") / F.sum("m").over(whole)).alias("est")))
+    return found.select(F.round("median_percent_error", 6).alias("median_percent_error"), F.round("false_mass", 9).alias("false_mass"))
+
+
+@register("mt23_paired_differences", """with p as (select l_orderkey, max(l_discount::double) filter (l_linestatus = 'F' and l_returnflag = 'R') as x, max(l_discount::double) filter (l_linestatus = 'F' and l_returnflag = 'A') as y from lineitem group by 1),
+d as (select x - y as d from p where x is not null and y is not null)
+select count(*) as n, round(avg(d), 9) as mean, round(coalesce(stddev_samp(d), 0), 9) as sd, round(coalesce(stddev_samp(d), 0) / sqrt(count(*)), 9) as se from d""")
+def mt23(spark, d):
+    rows = table(spark, d, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("pair"), F.col("l_returnflag").alias("arm"), F.col("l_discount").cast("double").alias("value"))
+    return M.paired_differences(rows, "R", "A").select("n", *[F.round(c, 9).alias(c) for c in ("mean", "sd", "se")])
+
+
+@register("mt24_threshold_sweep", f"""with {_LINE}, {_COUNTS(7, 'lines')}, s as (select n, list_sum(observed) % 5 as truth, {_LL(LINE_Q)} as ll from classes),
+k as (select t as threshold, n, truth, list_transform(ll, lambda x: x - list_max(ll) >= ln(t) - 1e-9) as kept from s, (select unnest([0.01, 0.1, 0.5]::double[]) as t)),
+m as (select *, len(list_filter(kept, lambda x: x)) as size from k)
+select threshold, round(sum(size * n)::double / sum(n), 9) as mean_support, round(sum(case when size = 1 then n else 0 end)::double / sum(n), 9) as unique_fraction,
+round(sum(size * n)::double / sum(5 * n), 9) as density, round(sum(case when kept[truth::int + 1] then n else 0 end)::double / sum(n), 9) as retained from m group by 1""")
+def mt24(spark, d):
+    from mixtide.functions.math import bind
+
+    kept = bind(F.array_max("ll"), lambda top: F.transform("ll", lambda x: x - top >= F.ln("threshold") - 1e-9))
+    truth = (F.aggregate("observed", F.lit(0), lambda s, x: s + x) % 5).cast("int")
+    found = M.threshold_sweep(L.score(line_classes(spark, d), LINE_Q), kept, truth, [0.01, 0.1, 0.5])
+    return found.select("threshold", *[F.round(c, 9).alias(c) for c in ("mean_support", "unique_fraction", "density", "retained")])
+
+
+@register("yd7_assumed_corrections", f"""with f as ({_FLAGS}), a as (select 'oracle' as assumption, origin, w, e from f union all select 'equal', origin, w, 1.0 from f)
+select assumption, origin, round(w / e / sum(w / e) over (partition by assumption), 9) as source from a""")
+def yd7(spark, d):
+    own = flag_weights(spark, d)
+    assumed = own.select(F.lit("oracle").alias("assumption"), "origin", "e").unionByName(own.select(F.lit("equal").alias("assumption"), "origin", F.lit(1.0).alias("e")))
+    return S.assumed_corrections(own, assumed).withColumn("source", F.round("source", 9))
+
+
+@register("prj7_missing_as_zero", f"with {_LINE} select greatest(call, 0) as call, count(*) as n from lines group by 1")
+def prj7(spark, d):
+    return L.missing_as_zero(line_traces(spark, d)).groupBy("call").agg(F.count("*").alias("n"))

@@ -25,7 +25,44 @@ def to_long(traces: DataFrame, schedule: DataFrame | None = None) -> DataFrame:
     return cells.withColumn("probe", F.col("cycle")) if schedule is None else cells.join(F.broadcast(schedule), "cycle")
 
 
-def write_abundances(weights: DataFrame, path: str, sample: str) -> None:
-    """(origin, candidate_id, w) -> one sorted file of counts per million (SNK1); a row per origin."""
-    rows = weights.select(F.lit(sample).alias("sample"), "origin", "candidate_id", cpm(F.col("w")).alias("estimated_cpm"), "w")
-    rows.coalesce(1).sortWithinPartitions(F.col("w").desc(), "origin").drop("w", "origin").write.option("sep", "\t").option("header", True).csv(path)
+def read_q(spark: SparkSession, path: str, probes: list[str]) -> DataFrame:
+    """candidate_id, q: a column of names and one of probabilities per probe (SRC2)."""
+    names = ", ".join(["candidate_id string", *(f"`{p}` double" for p in probes)])
+    return read_tsv(spark, path, names).select("candidate_id", F.array(*[F.col(f"`{p}`") for p in probes]).alias("q"))
+
+
+def read_schedule(spark: SparkSession, path: str, probes: list[str]) -> DataFrame:
+    """cycle, probe: the file names probes, which become places in probes; an unknown name is an error (SRC3)."""
+    place = F.array_position(F.array(*[F.lit(p) for p in probes]), F.col("probe")) - 1
+    checked = F.when(place >= 0, place).otherwise(F.raise_error(F.concat(F.lit("unknown probe "), F.coalesce("probe", F.lit("null")))).cast("long"))
+    return read_tsv(spark, path, "cycle int, probe string").select("cycle", checked.cast("int").alias("probe"))
+
+
+def read_truth(spark: SparkSession, path: str, candidates: DataFrame) -> DataFrame:
+    """(origin, candidate_id) with truth as a fraction; candidates that the file does not name have 0 (SRC4)."""
+    cells = read_tsv(spark, path, "candidate_id string, cpm double").select("candidate_id", (F.col("cpm") / 1e6).alias("truth"))
+    return candidates.join(cells, "candidate_id", "left").withColumn("truth", F.coalesce("truth", F.lit(0.0)))
+
+
+def _one_file(rows: DataFrame, path: str, *order) -> None:
+    """A row per candidate, at most a few thousand, in one sorted file."""
+    rows.coalesce(1).sortWithinPartitions(*order).write.option("sep", "\t").option("header", True).csv(path)
+
+
+def write_abundances(weights: DataFrame, path: str, sample: str, flowcell: str = "", lane: str = "", sample_group: str = "") -> None:
+    """(origin, candidate_id, w) -> counts per million, heaviest first, then by origin (SNK1)."""
+    rows = weights.orderBy(F.col("w").desc(), "origin").select(*[F.lit(v).alias(k) for k, v in (("flowcell", flowcell), ("lane", lane), ("sample", sample), ("sample_group", sample_group))], "candidate_id", cpm(F.col("w")).alias("estimated_cpm"), "w", "origin")
+    ranked = rows.coalesce(1).sortWithinPartitions(F.col("w").desc(), "origin").drop("w", "origin")
+    ranked.write.option("sep", "\t").option("header", True).csv(path)
+
+
+def write_comparison(rows: DataFrame, path: str) -> None:
+    """(origin, candidate_id, truth, hard, binary, weighted) -> fractions to 12 significant digits and counts per million (SNK2)."""
+    names = ("truth", "hard", "binary", "weighted")
+    digits = lambda c: F.format_string("%.11e", F.col(c)).cast("double").alias(c)
+    _one_file(rows.select("origin", "candidate_id", *[digits(c) for c in names], *[cpm(F.col(c)).alias(f"{c}_cpm") for c in names]), path, "origin")
+
+
+def write_panel(panel: DataFrame, probe_ids: list[str], path: str) -> None:
+    """(origin, candidate_id, profile) -> candidate_index, candidate_id and a column of bits per physical probe (SNK3)."""
+    _one_file(panel.select(F.col("origin").alias("candidate_index"), "candidate_id", *[F.col("profile")[j].alias(p) for j, p in enumerate(probe_ids)]), path, "candidate_index")
