@@ -19,6 +19,7 @@ them) are broadcast; the other tokens meet their counts in a shuffled join.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -202,15 +203,17 @@ class Model:
 
 
 def _train(shared, rate: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Updated weights of each shard; a shard's rows come one after the other, and each starts from the common weights."""
+
+    def one(columns: Iterator[pa.Array], shard: int) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         w, seen = model.weights.copy(), np.zeros(model.table, dtype=np.float32)
         gain = np.full((model.table, CLASSES), 1e-2, dtype=np.float32)
         v, met = model.word_weights.copy(), np.zeros(model.slots, dtype=np.float32)
         word_gain, step_of = np.full(model.slots, 1e-2, dtype=np.float32), np.zeros(model.slots, dtype=np.float32)
         narrow = np.uint16 if model.table <= 1 << 16 else np.uint32
-        for batch in batches:
-            for part in words(batch.column("text")):
+        for texts in columns:
+            for part in words(texts):
                 h, e, bounds = tokens(part)
                 c = model.class_of(h, e)
                 f, contexts = model.features(h, c, bounds)
@@ -237,12 +240,22 @@ def _train(shared, rate: float):
                     word_gain[at] = word_gain[at] + step * step
                     v[at] = v[at] - rate * step / np.sqrt(word_gain[at])
                     np.add.at(met, at, np.float32(1))
-        context = TaskContext.get()
-        yield from vector_rows({"short_w": w * seen[:, None], "short_n": seen, "short_v": v * met, "short_m": met}, context.partitionId() if context else 0)
+        yield from vector_rows({"short_w": w * seen[:, None], "short_n": seen, "short_v": v * met, "short_m": met}, shard)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = ((shard, batch.column("text").slice(at, size)) for batch in batches for shard, at, size in _runs(batch.column("shard").to_numpy()))
+        for shard, group in groupby(runs, key=lambda x: x[0]):
+            yield from one((texts for _, texts in group), int(shard))
 
     return run
 
 
+def _runs(shards: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, first row, rows) of runs of equal values."""
+    at = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(shards) else np.zeros(0, np.int64)
+    return [(int(shards[a]), int(a), int(n)) for a, n in zip(at, np.diff(np.append(at, len(shards))), strict=True)]
+
+
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, part double, logs double, known long, rare array<long>, times array<int>"
 
 
@@ -358,7 +371,8 @@ def _score_documents(docs: DataFrame, held_out, tables: Tables) -> DataFrame:
         rate = 0.25 if part == 0 else 0.24 / (part + 1)
         shared = spark.sparkContext.broadcast(model)
         # shards by hash, in order inside: what is learned does not depend on the partitions of the input
-        own = train.filter(F.floor(F.col("__crc") / 10) % rounds == part).select("doc_id", "text").repartition(shards, F.xxhash64("doc_id", "text")).sortWithinPartitions("doc_id", "text")
+        own = train.filter(F.floor(F.col("__crc") / 10) % rounds == part).select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
+        own = own.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "text").select("shard", "text")
         sums = sum_vectors(own.mapInArrow(_train(shared, rate), VECTOR_SCHEMA), {"short_w": model.table * CLASSES, "short_n": model.table, "short_v": slots, "short_m": slots})
         if sums:
             n = sums["short_n"][:, None]
