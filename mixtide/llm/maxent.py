@@ -372,7 +372,7 @@ def _score_documents(docs: DataFrame, held_out, tables: Tables) -> DataFrame:
         shared = spark.sparkContext.broadcast(model)
         # shards by hash, in order inside: what is learned does not depend on the partitions of the input
         own = train.filter(F.floor(F.col("__crc") / 10) % rounds == part).select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
-        own = own.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "text").select("shard", "text")
+        own = own.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text").select("shard", "text")
         sums = sum_vectors(own.mapInArrow(_train(shared, rate), VECTOR_SCHEMA), {"short_w": model.table * CLASSES, "short_n": model.table, "short_v": slots, "short_m": slots})
         if sums:
             n = sums["short_n"][:, None]
