@@ -146,7 +146,14 @@ def word_tree(mass: np.ndarray) -> np.ndarray:
 
 
 def log_sigmoid(z: np.ndarray) -> np.ndarray:
-    return -np.logaddexp(0, -z)
+    return np.minimum(z, 0) - np.log(1 + np.exp(-np.abs(z)))
+
+
+def _halve(op: np.ufunc, z: np.ndarray) -> np.ndarray:
+    """op.reduce over the classes (a power of two), by halves: the same for a row wherever it stands."""
+    while z.shape[1] > 1:
+        z = op(z[:, : z.shape[1] // 2], z[:, z.shape[1] // 2 :])
+    return z
 
 
 class Model:
@@ -186,21 +193,37 @@ class Model:
 
     def turns(self, h: np.ndarray, c: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For words of clusters: places of their weights (tokens, depth, 3), logits of the counts and signs (tokens, depth)."""
-        bucket = (h >> np.uint64(64 - self.depth)).astype(np.int32)[:, None]
-        level = np.arange(self.depth, dtype=np.int32)
-        node = (1 << level) | (bucket >> (self.depth - level))
+        bucket = (h >> np.uint64(64 - self.depth)).astype(np.int64)
+        level = np.arange(self.depth)[:, None]  # computed with the tokens last, where numpy's loops are long
+        name = (c << self.depth) | (1 << level) | (bucket >> (self.depth - level))
         sign = (2 * ((bucket >> (self.depth - 1 - level)) & 1) - 1).astype(np.float32)
-        name = ((c[:, None] << self.depth) | node).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        at = ((contexts.T[:, None, :] ^ name[:, :, None]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (self.slots.bit_length() - 1))
-        return at.astype(np.int32), self.tree[c[:, None], node], sign
+        at = contexts[:, None, :] ^ (name.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at *= np.uint64(0x9E3779B97F4A7C15)
+        at >>= np.uint64(64 - (self.slots.bit_length() - 1))
+        return at.view(np.int64).T, self.tree.ravel().take(name).T, sign.T
 
     def forward(self, f: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        z = weights[f[0]]
+        z = weights.take(f[0], axis=0)
         for k in (1, 2, 3):
-            z += weights[f[k]]
-        z -= z.max(axis=1, keepdims=True)
+            z += weights.take(f[k], axis=0)
+        z -= _halve(np.maximum, z)
         return z
 
+    def gain(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Summed weights of the three contexts at each turn, (tokens, depth)."""
+        x = weights.take(at.T[0])
+        x += weights.take(at.T[1])
+        x += weights.take(at.T[2])
+        return x.T
+
+
+def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at starts, from running sums in double precision."""
+    total = np.cumsum(rows, axis=0, dtype=np.float64)
+    ends = total.take(np.append(starts[1:], len(rows)) - 1, axis=0)
+    ends[1:] -= ends[:-1].copy()
+    return ends.astype(np.float32)
+
 
 def _train(shared, rate: float):
     """Updated weights of each shard; a shard's rows come one after the other, and each starts from the common weights."""
@@ -220,25 +243,29 @@ def _train(shared, rate: float):
                 for a in range(0, len(h), BATCH):
                     fa, ca = f[:, a : a + BATCH], c[a : a + BATCH]
                     g = np.exp(model.forward(fa, w))
-                    g /= g.sum(axis=1, keepdims=True)
+                    g /= _halve(np.add, g)
                     g[np.arange(len(ca)), ca] -= 1
                     for k in range(4):
                         order = np.argsort(fa[k].astype(narrow), kind="stable")
                         rows = fa[k][order]
                         starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-                        step, rows_at = np.add.reduceat(g[order], starts, axis=0), rows[starts]
-                        gain[rows_at] += step * step
-                        w[rows_at] -= rate * step / np.sqrt(gain[rows_at])
+                        step, rows_at = _sums(g.take(order, axis=0), starts), rows[starts]
+                        gained = gain.take(rows_at, axis=0)
+                        gained += step * step
+                        gain[rows_at] = gained
+                        w[rows_at] -= rate * step / np.sqrt(gained)
                         seen[rows_at] += np.diff(np.append(starts, len(rows)))
                     own = np.flatnonzero(ca >= SINGLES)
                     at, prior, sign = model.turns(h[a : a + BATCH][own], ca[own], contexts[:, a : a + BATCH][:, own])
-                    slope = -sign / (1 + np.exp(np.clip(sign * (prior + v[at].sum(axis=2)), -50, 50)))
-                    at = at.ravel()
-                    np.add.at(step_of, at, np.repeat(slope.ravel(), 3))
-                    step = step_of[at]  # equal at equal places, so that assignments agree
+                    slope = -sign / (1 + np.exp(np.clip(sign * (prior + model.gain(at, v)), -50, 50)))
+                    at = at.T.ravel()
+                    np.add.at(step_of, at, np.tile(slope.T.ravel(), 3))
+                    step = step_of.take(at)  # equal at equal places, so that assignments agree
                     step_of[at] = 0
-                    word_gain[at] = word_gain[at] + step * step
-                    v[at] = v[at] - rate * step / np.sqrt(word_gain[at])
+                    gained = word_gain.take(at)
+                    gained += step * step
+                    word_gain[at] = gained
+                    v[at] = v.take(at) - rate * step / np.sqrt(gained)
                     np.add.at(met, at, np.float32(1))
         yield from vector_rows({"short_w": w * seen[:, None], "short_n": seen, "short_v": v * met, "short_m": met}, shard)
 
@@ -273,10 +300,11 @@ def _score(shared):
                 for a in range(0, len(h), BATCH):
                     z = model.forward(f[:, a : a + BATCH], model.weights)
                     own = z[np.arange(len(z)), c[a : a + BATCH]]
-                    term[a : a + BATCH] = (own - np.log(np.exp(z, out=z).sum(axis=1))) / np.log(10.0)
+                    term[a : a + BATCH] = (own - np.log(_halve(np.add, np.exp(z, out=z))[:, 0])) / np.log(10.0)
                     own = np.flatnonzero(c[a : a + BATCH] >= SINGLES) + a
                     at, prior, sign = model.turns(h[own], c[own], contexts[:, own])
-                    term[own] += (log_sigmoid(sign * (prior + model.word_weights[at].sum(axis=2))) - log_sigmoid(sign * prior)).sum(axis=1) / np.log(10.0)
+                    gained = log_sigmoid(sign * (prior + model.gain(at, model.word_weights))) - log_sigmoid(sign * prior)
+                    term[own] += gained.sum(axis=1, dtype=np.float64) / np.log(10.0)
                 term -= model.log_total[c]
                 logs = np.zeros(len(h))
                 if len(model.head):
