@@ -76,8 +76,12 @@ def mt12(spark, d):
 _AUROC = lambda e: f"(select (sum(r) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0)::double / (count(*) filter (y = 1) * count(*) filter (y = 0)) from (select y, rank() over (order by {e}) + (count(*) over (partition by {e}) - 1) / 2.0 as r from o))"
 
 
-@register("mt15_outlier_report", f"""{_sql(KEPT)}, o as (select (truth < 0)::int as y, round(list_max(post), 9) as conf, round(-list_max(post), 9) as a, round(-list_max(ll) / greatest(list_sum(observed), 1), 9) as b from s)
-select round(avg((conf >= 0.8)::int) filter (y = 1), 6) as false_accept, round(avg(conf) filter (y = 1), 6) as outlier_confidence, round(avg(conf) filter (y = 0), 6) as inlier_confidence, round({_AUROC('a')}, 6) as auroc_posterior, round({_AUROC('b')}, 6) as auroc_likelihood from o""")
+_AUPRC = lambda e: f"(select sum(h::double / r) filter (y = 1) / count(*) filter (y = 1) from (select y, row_number() over w as r, sum(y) over (w rows unbounded preceding) as h from o window w as (order by {e} desc, molecule)))"
+
+
+@register("mt15_outlier_report", f"""{_sql(KEPT)}, o as (select molecule, (truth < 0)::int as y, round(list_max(post), 9) as conf, round(-list_max(post), 9) as a, round(-list_max(ll) / greatest(list_sum(observed), 1), 9) as b from s)
+select round(avg((conf >= 0.8)::int) filter (y = 1), 6) as false_accept, round(avg(conf) filter (y = 1), 6) as outlier_confidence, round(avg(conf) filter (y = 0), 6) as inlier_confidence, round({_AUROC('a')}, 6) as auroc_posterior, round({_AUROC('b')}, 6) as auroc_likelihood,
+round({_AUPRC('a')}, 6) as auprc_posterior, round({_AUPRC('b')}, 6) as auprc_likelihood from o""")
 def mt15(spark, d):
     out = A.outlier_report(_scored(_labelled(spark, d, KEPT), KEPT))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixtide.functions.math import bind, first_argmax
-from mixtide.operators.metrics import auroc
+from mixtide.operators.metrics import auroc, average_precision
 
 #: The smallest positive normal double, under logarithms.
 TINY = 2.2250738585072014e-308
@@ -56,14 +56,22 @@ def mean_entropy(pairs: DataFrame) -> DataFrame:
 
 
 def outlier_report(rows: DataFrame, accept: float = 0.8, digits: int = 9) -> DataFrame:
-    """(post, ll, observed, truth) per molecule -> AUROC of two outlier scores, accepted outliers, mean confidences (MT15)."""
+    """(molecule, post, ll, observed, truth) -> AUROC and AUPRC of two outlier scores, accepted outliers, mean confidences.
+
+    MT15. AUPRC is the average precision, ties by molecule; both are null unless there are outliers and others.
+    """
     calls = F.greatest(F.aggregate("observed", F.lit(0), lambda s, x: s + x), F.lit(1))
     label, top = (F.col("truth") < 0).cast("int").alias("label"), F.array_max("post")
-    by_post = auroc(rows.select(F.round(-top, digits).alias("score"), label)).withColumnRenamed("auroc", "auroc_posterior")
-    by_ll = auroc(rows.select(F.round(-F.array_max("ll") / calls, digits).alias("score"), label)).withColumnRenamed("auroc", "auroc_likelihood")
+    scores = {"posterior": F.round(-top, digits), "likelihood": F.round(-F.array_max("ll") / calls, digits)}
     out, conf = F.col("truth") < 0, F.round(top, digits)
     rest = rows.agg(F.avg(F.when(out, (conf >= accept).cast("double"))).alias("false_accept"), F.avg(F.when(out, conf)).alias("outlier_confidence"), F.avg(F.when(~out, conf)).alias("inlier_confidence"))
-    return rest.join(F.broadcast(by_post), how="cross").join(F.broadcast(by_ll), how="cross")  # one row each
+    for name, score in scores.items():
+        scored = rows.select(F.col("molecule").alias("id"), score.alias("score"), label)
+        roc = auroc(scored).withColumnRenamed("auroc", f"auroc_{name}")
+        prc = average_precision(scored).withColumnRenamed("ap", f"auprc_{name}")
+        rest = rest.join(F.broadcast(roc), how="cross").join(F.broadcast(prc), how="cross")  # one row each
+        rest = rest.withColumn(f"auprc_{name}", F.when(F.col(f"auroc_{name}").isNotNull(), F.col(f"auprc_{name}")))
+    return rest
 
 
 def confidence_gate(rows: DataFrame, least: float = 0.9) -> DataFrame:

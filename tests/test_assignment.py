@@ -73,3 +73,15 @@ def test_bootstrap_brackets_the_estimate_and_ignores_partitions(spark):
 def test_bootstrap_without_rows(spark):
     none = spark.createDataFrame([], "observed array<int>, positive array<int>, n long, ll array<double>")
     assert {(r["w"], r["converged"]) for r in B.bootstrap(none, np.array([0.5, 0.5]), 3).collect()} == {(None, False)}
+
+
+def test_outlier_report_precision(spark):
+    schema = "molecule long, post array<double>, ll array<double>, observed array<int>, truth int"
+    rows = [(1, [0.6, 0.4], [-4.0, -9.0], [1, 1], -1), (2, [0.6, 0.4], [-2.0, -3.0], [2, 0], 0), (3, [0.9, 0.1], [-3.0, -8.0], [1, 1], -1), (4, [0.95, 0.05], [-0.2, -5.0], [1, 1], 1)]
+    found = A.outlier_report(spark.createDataFrame(rows, schema)).collect()[0]
+    # by confidence: 1 (outlier, before its tie 2), 2, 3 (outlier), 4; by likelihood: 1, 3, 2, 4
+    assert abs(found["auprc_posterior"] - (1 + 2 / 3) / 2) < 1e-9 and abs(found["auprc_likelihood"] - 1) < 1e-9
+    assert found["false_accept"] == 0.5
+    for some in (rows[1:2] + rows[3:], rows[0:1] + rows[2:3], []):
+        found = A.outlier_report(spark.createDataFrame(some, schema)).collect()[0]
+        assert found["auprc_posterior"] is None and found["auroc_posterior"] is None and found["auprc_likelihood"] is None
