@@ -1,6 +1,6 @@
 """Vectorised text kernel: words of whole Arrow string columns as 64-bit hashes, in numpy.
 
-Words are runs of bytes other than 0x20 and 0x09-0x0D; A-Z are lower-cased. A word's hash is a polynomial
+Words are runs of bytes other than 0x20 and 0x09-0x0D; A-Z are lower-cased unless asked otherwise. A word's hash is a polynomial
 of its bytes modulo 2**64, read off prefix sums, then mixed; equal words have equal hashes everywhere.
 """
 
@@ -45,7 +45,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of consecutive documents: hash, byte range in data, and for each document its range of words."""
 
-    data: np.ndarray  # lower-cased bytes
+    data: np.ndarray  # bytes, lower-cased where asked
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
@@ -83,13 +83,13 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(column: pa.Array, size: int = BLOCK) -> Iterator[Words]:
+def words(column: pa.Array, size: int = BLOCK, lower: bool = True) -> Iterator[Words]:
     data, offsets = string_buffers(column)
     for i, j in blocks(offsets, size):
         at = offsets[i : j + 1] - offsets[i]
         raw = data[offsets[i] : offsets[j]]
         n = len(raw)
-        low = _LOWER[raw]
+        low = _LOWER[raw] if lower else raw
         gap = _SPACE[raw]
         begins = np.ones(n + 1, dtype=bool)
         begins[1:] = False
