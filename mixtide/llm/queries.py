@@ -13,6 +13,7 @@ from mixtide.llm.quality import op8_quality
 from mixtide.llm.runs import op12_runs
 from mixtide.llm.secrets import OP5_SQL, op5_secrets
 from mixtide.llm.sharding import op9_sharding
+from mixtide.llm.spelling import op13_spelling
 from mixtide.llm.warc import op10_warc
 
 QUERIES = {
@@ -30,6 +31,7 @@ QUERIES = {
         op10_warc,
         op11_exact_dedup,
         op12_runs,
+        op13_spelling,
     )
 }
 ORACLE = {"op2_mixing": OP2_SQL, "op3_ngram_join": OP3_SQL, "op5_secrets": OP5_SQL, "op11_exact_dedup": OP11_SQL}
