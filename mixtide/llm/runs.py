@@ -207,10 +207,11 @@ def find_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     those outside all runs, joined by one space. Null, empty and wordless texts have no runs and an empty collapsed.
     Rows are judged each on their own, whole, of any length; an empty table stays empty; columns runs and collapsed are replaced.
     """
-    plain = docs.drop("runs", "collapsed")
-    rows = plain.withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join([*(f"`{c.replace('`', '``')}` {t}" for c, t in rows.dtypes), f"runs {RUNS}", "collapsed string"])
-    return rows.mapInArrow(_found(rows.columns, least), schema)
+    kept = [k for k, c in enumerate(docs.columns) if c not in ("runs", "collapsed")]
+    names = [f"c{k}" for k in kept]
+    rows = docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).select(*names, F.col(f"c{docs.columns.index('text')}").cast("string").alias("text"))
+    schema = ", ".join([*(f"{c} {t}" for c, t in rows.dtypes if c != "text"), f"runs {RUNS}", "collapsed string"])
+    return rows.mapInArrow(_found(names, least), schema).toDF(*(docs.columns[k] for k in kept), "runs", "collapsed")
 
 
 def repeated_tail(doc_id: Column, text: Column) -> Column:
