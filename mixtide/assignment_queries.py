@@ -1,4 +1,4 @@
-"""Registered queries on assignments, outliers, groups and the bootstrap, over traces simulated for the order keys."""
+"""Registered queries on assignments, outliers, groups and the bootstrap, over the orders' traces."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from mixtide.operators import metrics as M
 from mixtide.plans import bootstrap as B
 from mixtide.plans import em as E
 from mixtide.plans.conditioning import conditioning
-from mixtide.queries import _COUNTS, _EM, _LL, _SYN, _TRUTH, _U, ITERATIONS, PROFILES, WEIGHTS, Q, origins, register, syn_classes, syn_traces, truth_pairs
+from mixtide.queries import _COUNTS, _EM, _LL, _ORDERS, _TRUTH, _U, ITERATIONS, PROFILES, WEIGHTS, Q, order_classes, order_origins, order_traces, origins, register, truth_pairs
 
 #: The decoder of the outlier queries leaves the last origin out.
 KEPT = list(range(7))
@@ -24,9 +24,8 @@ KEPT = list(range(7))
 
 def _labelled(spark: SparkSession, d: str, kept: list[int]) -> DataFrame:
     """Molecules with counts and the place of their origin in the decoder."""
-    traces = syn_traces(spark, d)
-    truth = traces.filter("cycle = 0").select("molecule", A.decoder_truth(F.col("origin"), kept).alias("truth"))
-    return C.probe_counts(traces, 8).join(truth, "molecule")
+    truth = order_origins(spark, d).select("molecule", A.decoder_truth(F.col("origin"), kept).alias("truth"))
+    return C.probe_counts(order_traces(spark, d), 8).join(truth, "molecule")
 
 
 def _scored(rows: DataFrame, kept: list[int]) -> DataFrame:
@@ -41,7 +40,7 @@ def _sql(kept: list[int]) -> str:
     """CTEs up to s: molecules with ll and post, truth -1 where the origin is left out."""
     at = lambda what: "[" + ", ".join(f"count(*) filter (probe = {j} and {what})" for j in range(8)) + "]"
     logs = [math.log(WEIGHTS[k]) for k in kept]
-    return f"""with {_SYN}, c as (select molecule, case when any_value(origin) < {len(kept)} then any_value(origin) else -1 end as truth, {at('call >= 0')} as observed, {at('call = 1')} as positive from syn group by 1),
+    return f"""with {_ORDERS}, c as (select molecule, case when any_value(origin) < {len(kept)} then any_value(origin) else -1 end as truth, {at('call >= 0')} as observed, {at('call = 1')} as positive from syn group by 1),
 l as (select *, {_LL([Q[k] for k in kept])} as ll from c), w as (select *, list_transform(ll, lambda x, i: x + ({logs}::double[])[i]) as lw from l),
 e as (select *, list_transform(lw, lambda x: exp(x - list_max(lw))) as e from w), s as (select *, list_transform(e, lambda x: x / list_sum(e)) as post from e)"""
 
@@ -89,28 +88,28 @@ def mt15(spark, d):
 
 @register("flt10_confidence_gate", f"{_sql(_ALL)} select list_position(post, list_max(post))::int - 1 as origin, count(*) as n from s where list_max(post) >= 0.9 group by 1")
 def flt10(spark, d):
-    rows = L.score(syn_classes(spark, d), Q).withColumn("post", E.posterior(F.col("ll"), WEIGHTS))
+    rows = L.score(order_classes(spark, d), Q).withColumn("post", E.posterior(F.col("ll"), WEIGHTS))
     return A.confidence_gate(rows)
 
 
-@register("agg5_likelihood_classes", f"with {_SYN}, {_COUNTS(8, 'syn')}, l as (select n, {_LL(Q)} as ll from classes), g as (select list_transform(ll, lambda x: round(x - list_max(ll), 6) + 0.0) as ll, sum(n) as n, sum(n * list_max(ll)) as part from l group by list_transform(ll, lambda x: round(x - list_max(ll), 6) + 0.0)) select count(*) as classes, sum(n)::bigint as n, round(sum(part), 4) as log_offset from g")
+@register("agg5_likelihood_classes", f"with {_ORDERS}, {_COUNTS(8, 'syn')}, l as (select n, {_LL(Q)} as ll from classes), g as (select list_transform(ll, lambda x: round(x - list_max(ll), 6) + 0.0) as ll, sum(n) as n, sum(n * list_max(ll)) as part from l group by list_transform(ll, lambda x: round(x - list_max(ll), 6) + 0.0)) select count(*) as classes, sum(n)::bigint as n, round(sum(part), 4) as log_offset from g")
 def agg5(spark, d):
-    return A.likelihood_classes(L.score(syn_classes(spark, d), Q), 6).agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.round(F.sum("log_offset"), 4).alias("log_offset"))
+    return A.likelihood_classes(L.score(order_classes(spark, d), Q), 6).agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.round(F.sum("log_offset"), 4).alias("log_offset"))
 
 
 _NOISE = _U("noise", "origin || '|' || probe")
 
 
-@register("prj3_perturbed_emissions", f"with {_SYN}, q as (select origin, probe, sum(call)::double / count(*) as q from syn where call >= 0 group by 1, 2), z as (select origin, probe, greatest(least(q, 1 - 1e-12), 1e-12) as q, {_NOISE} as u from q) select origin, probe::int as probe, round(greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(ln(q / (1 - q)) + 0.1 + 0.25 * (2 * u - 1)))))), 9) as q from z")
+@register("prj3_perturbed_emissions", f"with {_ORDERS}, q as (select origin, probe, sum(call)::double / count(*) as q from syn where call >= 0 group by 1, 2), z as (select origin, probe, greatest(least(q, 1 - 1e-12), 1e-12) as q, {_NOISE} as u from q) select origin, probe::int as probe, round(greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(ln(q / (1 - q)) + 0.1 + 0.25 * (2 * u - 1)))))), 9) as q from z")
 def prj3(spark, d):
     noise = 2 * uniform(7, "noise", F.col("origin").cast("string"), F.col("probe").cast("string")) - 1
-    out = L.perturb(L.calibrate(syn_traces(spark, d)), 0.1, 0.25, noise)
+    out = L.perturb(L.calibrate(order_traces(spark, d)), 0.1, 0.25, noise)
     return out.select(F.col("origin").cast("long").alias("origin"), "probe", F.round("q", 9).alias("q"))
 
 
-@register("mt16_origin_overlaps", f"with {_SYN}, q as (select origin, probe, sum(call)::double / count(*) as q from syn where call >= 0 group by 1, 2) select x.origin as a, y.origin as b, round(sqrt(greatest(0, 1 - product(sqrt(x.q * y.q) + sqrt((1 - x.q) * (1 - y.q))))), 6) as hellinger from q x join q y on x.probe = y.probe and x.origin < y.origin group by 1, 2")
+@register("mt16_origin_overlaps", f"with {_ORDERS}, q as (select origin, probe, sum(call)::double / count(*) as q from syn where call >= 0 group by 1, 2) select x.origin as a, y.origin as b, round(sqrt(greatest(0, 1 - product(sqrt(x.q * y.q) + sqrt((1 - x.q) * (1 - y.q))))), 6) as hellinger from q x join q y on x.probe = y.probe and x.origin < y.origin group by 1, 2")
 def mt16(spark, d):
-    return L.overlaps(L.calibrate(syn_traces(spark, d))).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("hellinger", 6).alias("hellinger"))
+    return L.overlaps(L.calibrate(order_traces(spark, d))).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("hellinger", 6).alias("hellinger"))
 
 
 @register("mt3_augmented_error", f"{_EM}, {_TRUTH}, d as (select abs(est - truth) as d from pairs) select round((sum(d) + 0.05) / (count(*) + 1), 5) as mae, round(sqrt((sum(d * d) + 0.0025) / (count(*) + 1)), 5) as rmse, round(greatest(max(d), 0.05), 5) as max_abs, round((sum(d) + 0.05) / 2, 5) as tv from d")
@@ -121,25 +120,25 @@ def mt3(spark, d):
 
 @register("agg15_group_sums", f"{_EM} select k // 2 as group_id, round(sum(w), 5) as w from em where it = {ITERATIONS} group by 1")
 def agg15(spark, d):
-    w = origins(spark, E.fit(L.score(syn_classes(spark, d), Q), max_iter=ITERATIONS, tol=0.0).weights, "w")
+    w = origins(spark, E.fit(L.score(order_classes(spark, d), Q), max_iter=ITERATIONS, tol=0.0).weights, "w")
     labels = spark.createDataFrame([(k, k // 2) for k in range(8)], "origin int, group_id long")
     return M.group_sums(w, labels, "w").select("group_id", F.round("w", 5).alias("w"))
 
 
 @register("mt5_feature_marginals", f"{_EM}, f as (select generate_subscripts(p, 1) - 1 as k, unnest(p) as bits from (select {PROFILES}::int[][] as p)) select feature, round(sum(w), 5) as w from (select k, w, unnest(range(8)) as feature from em where it = {ITERATIONS}) join f using (k) where bits[feature + 1] = 1 group by 1")
 def mt5(spark, d):
-    w = origins(spark, E.fit(L.score(syn_classes(spark, d), Q), max_iter=ITERATIONS, tol=0.0).weights, "w")
+    w = origins(spark, E.fit(L.score(order_classes(spark, d), Q), max_iter=ITERATIONS, tol=0.0).weights, "w")
     features = spark.createDataFrame([(k, j, bit) for k, row in enumerate(PROFILES) for j, bit in enumerate(row)], "origin int, feature long, bit int")
     return M.feature_marginals(w, features, "w").select("feature", F.round("w", 5).alias("w"))
 
 
 @register("bs1_bootstrap_intervals")
 def bs1(spark, d):
-    scored = L.score(syn_classes(spark, d), Q)
+    scored = L.score(order_classes(spark, d), Q)
     return B.intervals(B.bootstrap(scored, E.fit(scored).weights, 20))
 
 
 @register("mt17_conditioning")
 def mt17(spark, d):
-    found = conditioning(L.score(syn_classes(spark, d), Q))
+    found = conditioning(L.score(order_classes(spark, d), Q))
     return origins(spark, np.round(found["singular_values"], 4), "singular_value").withColumns({"rank": F.lit(found["rank"]), "condition": F.lit(found["condition"])})

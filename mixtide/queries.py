@@ -1,17 +1,18 @@
 """Registered queries of the mixture engine over the driver's tables, with their SQL.
 
-Fixtures: F-LINE takes orders as molecules, line numbers as probes and return flags as calls; F-SYN simulates calls for
-the order keys over a designed panel of 8 origins; F-EVT takes user-days; F-LAB scores documents by length.
+Fixtures: F-LINE takes orders as molecules, line numbers as probes and return flags as calls; F-ORD takes orders as
+molecules, three measurements of each line as cycles and three facts of the order as its origin, over a designed panel of
+8 origins; F-EVT takes user-days; F-LAB scores documents by length.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mixtide.functions.math import cpm, expit, first_argmax, logit, logsumexp
+from mixtide.functions.math import cpm, expit, first_argmax, logit, logsumexp, uniform
 from mixtide.operators import classes as C
 from mixtide.operators import likelihood as L
 from mixtide.operators import metrics as M
@@ -53,12 +54,25 @@ def line_classes(spark: SparkSession, d: str) -> DataFrame:
     return C.count_classes(C.probe_counts(line_traces(spark, d), 7))
 
 
-def syn_traces(spark: SparkSession, d: str) -> DataFrame:
-    return G.simulate(table(spark, d, "orders").select(F.col("o_orderkey").alias("molecule")), Q, WEIGHTS, 3, 0.02)
+def order_origins(spark: SparkSession, d: str) -> DataFrame:
+    """molecule, origin: an order's status, price and priority as three bits."""
+    status, price = F.col("o_orderstatus") == "F", F.col("o_totalprice") > 250_000
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    origin = 4 * status.cast("int") + 2 * price.cast("int") + urgent.cast("int")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("molecule"), origin.alias("origin"))
 
 
-def syn_classes(spark: SparkSession, d: str) -> DataFrame:
-    return C.count_classes(C.probe_counts(syn_traces(spark, d), 8))
+def order_traces(spark: SparkSession, d: str) -> DataFrame:
+    """molecule, origin, cycle, probe, call: quantity, discount and tax of each line against a bound; taxes of accepted lines are missing."""
+    tax = F.when(F.col("l_returnflag") == "A", -1).otherwise((F.col("l_tax") > 0.04).cast("int"))
+    calls = F.array((F.col("l_quantity") > 25).cast("int"), (F.col("l_discount") > 0.05).cast("int"), tax)
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("molecule"), "l_linenumber", F.posexplode(calls).alias("kind", "call"))
+    cells = lines.withColumn("cycle", (F.col("l_linenumber") - 1) * 3 + F.col("kind"))
+    return cells.join(order_origins(spark, d), "molecule").select("molecule", "origin", "cycle", (F.col("cycle") % 8).alias("probe"), "call")
+
+
+def order_classes(spark: SparkSession, d: str) -> DataFrame:
+    return C.count_classes(C.probe_counts(order_traces(spark, d), 8))
 
 
 def text(*columns: str):
@@ -74,10 +88,10 @@ _LIST = lambda n, e: "[" + ", ".join(e.format(j=j) for j in range(n)) + "]"  # n
 _COUNTS = lambda n, src: f"counts as (select molecule, {_LIST(n, 'count(*) filter (probe = {j} and call >= 0)')} as observed, {_LIST(n, 'count(*) filter (probe = {j} and call = 1)')} as positive from {src} group by 1), classes as (select observed, positive, count(*) as n from counts group by 1, 2)"
 _LL = lambda q: "[" + ", ".join(" + ".join(f"positive[{j + 1}] * ln({p}::double) + (observed[{j + 1}] - positive[{j + 1}]) * ln(1 - {p}::double)" for j, p in enumerate(row)) + "" for row in q) + "]"
 _U = lambda what, key: f"(('0x' || substr(md5('7|{what}|' || {key}), 1, 13))::bigint / 4503599627370496.0::double)"
-_CUM = [math.fsum(WEIGHTS[: k + 1]) for k in range(8)]
-_SYN = f"""drawn as (select molecule, (select count(*) from (select unnest({_CUM[:-1]}::double[]) as c) where u >= c) as origin from (select o_orderkey as molecule, {_U("identity", "o_orderkey")} as u from orders)),
-cells as (select molecule, origin, cycle, cycle % 8 as probe from drawn, (select unnest(range(24)) as cycle)),
-syn as (select molecule, origin, cycle, probe, case when {_U("missing", "molecule || '|' || cycle")} < 0.02::double then -1 when {_U("emission", "molecule || '|' || cycle")} < ({Q}::double[][])[origin + 1][probe + 1] then 1 else 0 end as call from cells)"""
+_ORDERS = """drawn as (select o_orderkey as molecule, 4 * (o_orderstatus = 'F')::int + 2 * (o_totalprice > 250000)::int + (o_orderpriority in ('1-URGENT', '2-HIGH'))::int as origin from orders),
+kinds as (select l_orderkey as molecule, l_linenumber, generate_subscripts(c, 1) - 1 as kind, unnest(c) as call from (select *, [(l_quantity > 25)::int, (l_discount > 0.05)::int, case when l_returnflag = 'A' then -1 else (l_tax > 0.04)::int end] as c from lineitem)),
+cells as (select molecule, origin, (l_linenumber - 1) * 3 + kind as cycle, call from kinds join drawn using (molecule)),
+syn as (select molecule, origin, cycle, cycle % 8 as probe, call from cells)"""
 
 
 @register("agg3_count_classes", f"with {_LINE}, {_COUNTS(7, 'lines')} select array_to_string(observed, ',') as observed, array_to_string(positive, ',') as positive, n from classes")
@@ -85,9 +99,18 @@ def agg3(spark, d):
     return line_classes(spark, d).select(*text("observed", "positive"), "n")
 
 
-@register("agg1_trace_classes", f"""with {_SYN}, t as (select molecule, array_to_string({_LIST(24, "coalesce(max(case when cycle = {j} then (call >= 0)::int end), 0)")}, ',') as mask, array_to_string({_LIST(24, "coalesce(max(case when cycle = {j} then (call = 1)::int end), 0)")}, ',') as trace from syn group by 1) select mask, trace, count(*) as n from t group by 1, 2""")
+_SEEN, _HIT = "(call >= 0)::int", "(call = 1)::int"
+
+
+@register(
+    "agg1_trace_classes",
+    f"""with {_ORDERS}, t as (select molecule,
+  array_to_string({_LIST(21, f"coalesce(max(case when cycle = {{j}} then {_SEEN} end), 0)")}, ',') as mask,
+  array_to_string({_LIST(21, f"coalesce(max(case when cycle = {{j}} then {_HIT} end), 0)")}, ',') as trace from syn group by 1)
+select mask, trace, count(*) as n from t group by 1, 2""",
+)
 def agg1(spark, d):
-    return C.trace_classes(syn_traces(spark, d).withColumn("probe", F.col("cycle")), 24).select(*text("mask", "trace"), "n")
+    return C.trace_classes(order_traces(spark, d).withColumn("probe", F.col("cycle")), 21).select(*text("mask", "trace"), "n")
 
 
 @register("flt1_invalid_calls", "select call, count(*) as invalid from (select l_linenumber - 3 as call from lineitem) where call not in (-1, 0, 1) group by 1")
@@ -138,9 +161,9 @@ def ll4(spark, d):
     return L.score(line_classes(spark, d), LINE_Q).agg(F.round(F.sum(F.col("n") * logsumexp(F.col("ll"))), 4).alias("total"))
 
 
-@register("prj2_calibration", f"with {_SYN} select origin, probe::int as probe, round(sum(call)::double / count(*), 9) as q from syn where call >= 0 group by 1, 2")
+@register("prj2_calibration", f"with {_ORDERS} select origin, probe::int as probe, round(sum(call)::double / count(*), 9) as q from syn where call >= 0 group by 1, 2")
 def prj2(spark, d):
-    return L.calibrate(syn_traces(spark, d)).select(F.col("origin").cast("long").alias("origin"), "probe", F.round("q", 9).alias("q"))
+    return L.calibrate(order_traces(spark, d)).select(F.col("origin").cast("long").alias("origin"), "probe", F.round("q", 9).alias("q"))
 
 
 @register("prj6_logit_round_trip", "select l_orderkey, l_linenumber, round(1 / (1 + exp(-(ln(p) - ln(1 - p)))), 9) as p from (select l_orderkey, l_linenumber, greatest(least(l_discount::double + 0.01, 0.99), 0.01) as p from lineitem)")
@@ -149,7 +172,7 @@ def prj6(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(expit(logit(p)), 9).alias("p"))
 
 
-_EM = f"""with recursive {_SYN}, {_COUNTS(8, "syn")}, s as (select row_number() over () as c, n, {_LL(Q)} as ll from classes),
+_EM = f"""with recursive {_ORDERS}, {_COUNTS(8, "syn")}, s as (select row_number() over () as c, n, {_LL(Q)} as ll from classes),
 l as (select c, n, generate_subscripts(ll, 1) - 1 as k, unnest(list_transform(ll, lambda x: exp(x - list_max(ll)))) as p from s),
 em(it, k, w) as (select 0, k, 1.0::double / 8 from (select unnest(range(8)) as k)
   union all select it + 1, k, sum(g) / (select sum(n) from classes) from (select it, l.k, l.n * l.p * w / sum(l.p * w) over (partition by l.c) as g from l join em on l.k = em.k where it < {ITERATIONS}) group by it, k)"""
@@ -157,25 +180,25 @@ em(it, k, w) as (select 0, k, 1.0::double / 8 from (select unnest(range(8)) as k
 
 @register("em5_flagship", f"{_EM} select k as origin, round(w, 6) as weight from em where it = {ITERATIONS}")
 def em5(spark, d):
-    found = E.fit(L.score(syn_classes(spark, d), Q), max_iter=ITERATIONS, tol=0.0)
+    found = E.fit(L.score(order_classes(spark, d), Q), max_iter=ITERATIONS, tol=0.0)
     return origins(spark, found.weights, "weight").select(F.col("origin").cast("long").alias("origin"), F.round("weight", 6).alias("weight"))
 
 
 @register("em3_converged_fit")
 def em3(spark, d):
-    found = E.fit(L.score(syn_classes(spark, d), Q))
+    found = E.fit(L.score(order_classes(spark, d), Q))
     return origins(spark, found.weights, "weight").withColumns({"cpm": cpm(F.col("weight")), "converged": F.lit(found.converged)})
 
 
-@register("em7_hard_counts", f"with {_SYN}, {_COUNTS(8, 'syn')}, s as (select n, list_transform({_LL(Q)}, lambda x: round(x, 9)) as ll from classes), x as (select n, ll, generate_subscripts(ll, 1) - 1 as origin, unnest(ll) as v from s) select origin, round(sum(n::double / len(list_filter(ll, lambda y: y = list_max(ll)))), 6) as hard from x where v = list_max(ll) group by 1")
+@register("em7_hard_counts", f"with {_ORDERS}, {_COUNTS(8, 'syn')}, s as (select n, list_transform({_LL(Q)}, lambda x: round(x, 9)) as ll from classes), x as (select n, ll, generate_subscripts(ll, 1) - 1 as origin, unnest(ll) as v from s) select origin, round(sum(n::double / len(list_filter(ll, lambda y: y = list_max(ll)))), 6) as hard from x where v = list_max(ll) group by 1")
 def em7(spark, d):
-    scored = L.score(syn_classes(spark, d), Q).withColumn("ll", F.transform("ll", lambda x: F.round(x, 9)))
+    scored = L.score(order_classes(spark, d), Q).withColumn("ll", F.transform("ll", lambda x: F.round(x, 9)))
     return E.hard_counts(scored).select(F.col("origin").cast("long").alias("origin"), F.round("count", 6).alias("hard"))
 
 
-@register("em8_soft_counts", f"with {_SYN}, {_COUNTS(8, 'syn')}, s as (select n, list_transform({_LL(Q)}, lambda x: x) as ll from classes), y as (select n, list_transform(ll, lambda x: exp(x - list_max(ll))) as p from s), x as (select n, list_sum(p) as t, generate_subscripts(p, 1) - 1 as origin, unnest(p) as v from y) select origin, round(sum(n * v / t), 5) as soft from x group by 1")
+@register("em8_soft_counts", f"with {_ORDERS}, {_COUNTS(8, 'syn')}, s as (select n, list_transform({_LL(Q)}, lambda x: x) as ll from classes), y as (select n, list_transform(ll, lambda x: exp(x - list_max(ll))) as p from s), x as (select n, list_sum(p) as t, generate_subscripts(p, 1) - 1 as origin, unnest(p) as v from y) select origin, round(sum(n * v / t), 5) as soft from x group by 1")
 def em8(spark, d):
-    return E.soft_counts(L.score(syn_classes(spark, d), Q), 8).select(F.col("origin").cast("long").alias("origin"), F.round("count", 5).alias("soft"))
+    return E.soft_counts(L.score(order_classes(spark, d), Q), 8).select(F.col("origin").cast("long").alias("origin"), F.round("count", 5).alias("soft"))
 
 
 @register("em6_posteriors", f"""with {_LINE}, {_COUNTS(7, 'lines')}, s as (select molecule, {_LL(LINE_Q)} as ll from counts),
@@ -191,16 +214,16 @@ def em6(spark, d):
 _MISS = "[" + ", ".join("(" + " + ".join(f"observed[{j + 1}] - positive[{j + 1}]" if bit else f"positive[{j + 1}]" for j, bit in enumerate(row)) + ")" for row in PROFILES) + "]"
 
 
-@register("flt6_best_compatible", f"with {_SYN}, {_COUNTS(8, 'syn')}, s as (select n, {_MISS} as m from classes), x as (select n, list_min(m) as least, len(list_filter(m, lambda y: y = list_min(m))) as origins from s) select least::int as least, origins::int as origins, sum(n)::bigint as n from x group by 1, 2")
+@register("flt6_best_compatible", f"with {_ORDERS}, {_COUNTS(8, 'syn')}, s as (select n, {_MISS} as m from classes), x as (select n, list_min(m) as least, len(list_filter(m, lambda y: y = list_min(m))) as origins from s) select least::int as least, origins::int as origins, sum(n)::bigint as n from x group by 1, 2")
 def flt6(spark, d):
-    found = L.best_compatible(syn_classes(spark, d), PROFILES).withColumn("m", L.mismatches(PROFILES))
+    found = L.best_compatible(order_classes(spark, d), PROFILES).withColumn("m", L.mismatches(PROFILES))
     return found.groupBy(F.array_min("m").alias("least"), F.size(F.filter("ll", lambda x: x == 0)).alias("origins")).agg(F.sum("n").alias("n"))
 
 
-@register("flt8_ratio_support", f"with {_SYN}, {_COUNTS(8, 'syn')}, s as (select n, {_LL(Q)} as ll from classes) select len(list_filter(ll, lambda x: x - list_max(ll) >= ln(0.1::double)))::int as support, sum(n)::bigint as n from s group by 1")
+@register("flt8_ratio_support", f"with {_ORDERS}, {_COUNTS(8, 'syn')}, s as (select n, {_LL(Q)} as ll from classes) select len(list_filter(ll, lambda x: x - list_max(ll) >= ln(0.1::double)))::int as support, sum(n)::bigint as n from s group by 1")
 def flt8(spark, d):
     kept = L.ratio_compatible(F.col("ll"), 0.1)
-    return L.score(syn_classes(spark, d), Q).groupBy(F.size(F.filter(kept, lambda x: x)).alias("support")).agg(F.sum("n").alias("n"))
+    return L.score(order_classes(spark, d), Q).groupBy(F.size(F.filter(kept, lambda x: x)).alias("support")).agg(F.sum("n").alias("n"))
 
 
 @register("agg16_observable_groups", f"with {_LINE}, seen as (select list(distinct probe order by probe) as probes from lines where call >= 0), q as (select generate_subscripts(q, 1) - 1 as origin, unnest(q) as row from (select {LINE_Q}::double[][] as q)), g as (select list_transform(probes, lambda j: row[j + 1]) as key, list(origin order by origin) as members from q, seen group by 1) select row_number() over (order by members[1]) - 1 as group_id, array_to_string(members, ',') as members from g")
@@ -230,16 +253,16 @@ def yd3(spark, d):
     return S.analyzed_to_source(flag_weights(spark, d)).select("origin", F.round("source", 9).alias("source"))
 
 
-@register("yd4_gate_visibility", f"with {_SYN}, q as (select origin, probe, sum(call)::double / count(*) as q from syn where call >= 0 group by 1, 2), g as (select origin, probe // 4 as gate, 1 - product(1 - q * 0.98) as shown from q group by 1, 2) select origin, round(product(shown), 9) as visibility from g group by 1")
+@register("yd4_gate_visibility", f"with {_ORDERS}, q as (select origin, probe, sum(call)::double / count(*) as q from syn where call >= 0 group by 1, 2), g as (select origin, probe // 4 as gate, 1 - product(1 - q * 0.98) as shown from q group by 1, 2) select origin, round(product(shown), 9) as visibility from g group by 1")
 def yd4(spark, d):
-    q = L.calibrate(syn_traces(spark, d))
+    q = L.calibrate(order_traces(spark, d))
     schedule = spark.createDataFrame([(j, j, j // 4) for j in range(8)], "cycle int, probe int, gate_group int")
     return S.gate_visibility(q, schedule, 0.02).select(F.col("origin").cast("long").alias("origin"), F.round("visibility", 9).alias("visibility"))
 
 
-@register("flt9_gate", f"with {_SYN}, p as (select molecule, any_value(origin) as origin, bool_or(call = 1 and probe < 4) and bool_or(call = 1 and probe >= 4) as accepted from syn group by 1) select origin, count(*) as source, count(*) filter (accepted) as accepted from p group by 1")
+@register("flt9_gate", f"with {_ORDERS}, p as (select molecule, any_value(origin) as origin, bool_or(call = 1 and probe < 4) and bool_or(call = 1 and probe >= 4) as accepted from syn group by 1) select origin, count(*) as source, count(*) filter (accepted) as accepted from p group by 1")
 def flt9(spark, d):
-    calls = syn_traces(spark, d).groupBy("molecule", "origin").agg(F.array(*[F.max(F.when(F.col("probe") == j, F.col("call"))) for j in range(8)]).alias("calls"))
+    calls = order_traces(spark, d).groupBy("molecule", "origin").agg(F.array(*[F.max(F.when(F.col("probe") == j, F.col("call"))) for j in range(8)]).alias("calls"))
     kept = calls.withColumn("ok", S.passes_gate(F.col("calls"), [[0, 1, 2, 3], [4, 5, 6, 7]]))
     return kept.groupBy(F.col("origin").cast("long").alias("origin")).agg(F.count("*").alias("source"), F.sum(F.col("ok").cast("long")).alias("accepted"))
 
@@ -248,10 +271,10 @@ _TRUTH = f"t as (select origin, count(*)::double / sum(count(*)) over () as trut
 
 
 def truth_pairs(spark, d):
-    drawn = G.inverse_cdf(table(spark, d, "orders").select(F.col("o_orderkey").alias("molecule")), G.uniform(7, "identity", F.col("molecule").cast("string")), origins(spark, WEIGHTS, "w"))
+    drawn = order_origins(spark, d)
     n = drawn.count()
     truth = drawn.groupBy("origin").agg((F.count("*") / n).alias("truth"))
-    est = origins(spark, E.fit(L.score(syn_classes(spark, d), Q), max_iter=ITERATIONS, tol=0.0).weights, "est")
+    est = origins(spark, E.fit(L.score(order_classes(spark, d), Q), max_iter=ITERATIONS, tol=0.0).weights, "est")
     return est.join(truth, "origin", "left").fillna(0.0), n
 
 
@@ -272,6 +295,23 @@ def mt6(spark, d):
     return M.detection(pairs, n)
 
 
+_PRIOR = """p as (select dense_rank() over (order by o_orderpriority) - 1 as origin, count(*)::double as w from orders group by o_orderpriority),
+cut as (select origin, sum(w) over (order by origin) / sum(w) over () as high from p)"""
+
+
+@register(
+    "jn9_inverse_cdf",
+    f"""with {_PRIOR}, u as (select o_orderkey as molecule, {_U("identity", "o_orderkey")} as u from orders)
+select molecule, (select count(*) from cut where high <= u and origin < (select max(origin) from cut)) as origin from u""",
+)
+def jn9(spark, d):
+    """An origin for each order, drawn with the shares of the orders' priorities."""
+    place = (F.dense_rank().over(Window.orderBy("o_orderpriority")) - 1).cast("long")  # a row per priority
+    shares = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").cast("double").alias("w")).select(place.alias("origin"), "w")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("molecule"))
+    return G.inverse_cdf(orders, uniform(7, "identity", F.col("molecule").cast("string")), shares)
+
+
 def lab(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
     return docs.join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("id"), "score", F.col("quality").cast("int").alias("label"))

@@ -1,12 +1,10 @@
-"""Panels, rates and simulated traces, as columns of keyed uniforms: the same rows whatever the partitions."""
+"""Panels, rates and draws, as columns of keyed uniforms: the same rows whatever the partitions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mixtide.functions.math import uniform
-
 # Names and rates of the panel.
 ISOFORMS = ["0N3R", "0N4R", "1N3R", "1N4R", "2N3R", "2N4R"]
 PTMS = ["pT181", "pS202_pT205", "pT205", "pS214", "pT217", "pT231", "pS396"]
@@ -60,16 +58,3 @@ def inverse_cdf(rows: DataFrame, u, weights: DataFrame) -> DataFrame:
     cut = weights.withColumn("high", F.sum("w").over(upto) / F.sum("w").over(Window.partitionBy())).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("origin")), F.lit(0.0)))
     cut = cut.withColumn("high", F.when(F.lead("origin").over(Window.orderBy("origin")).isNull(), 1.0).otherwise(F.col("high"))).select("origin", "low", "high")
     return rows.withColumn("__u", u).join(F.broadcast(cut), (F.col("__u") >= F.col("low")) & (F.col("__u") < F.col("high"))).drop("__u", "low", "high")
-
-
-def simulate(molecules: DataFrame, q: list[list[float]], weights: list[float], repeats: int, missing: float, seed: int = 7) -> DataFrame:
-    """(molecule) -> molecule, origin, cycle, probe, call (GEN4): identity, calls and missingness from keyed uniforms."""
-    spark = molecules.sparkSession
-    w = spark.createDataFrame([(k, float(x)) for k, x in enumerate(weights)], "origin int, w double")
-    drawn = inverse_cdf(molecules, uniform(seed, "identity", F.col("molecule").cast("string")), w)
-    n = len(q[0])
-    cells = drawn.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(n * repeats - 1)))).withColumn("probe", F.pmod("cycle", F.lit(n)))
-    rate = F.element_at(F.element_at(F.array(*[F.array(*[F.lit(p) for p in row]) for row in q]), F.col("origin") + 1), F.col("probe") + 1)
-    key = [F.col("molecule").cast("string"), F.col("cycle").cast("string")]
-    call = F.when(uniform(seed, "missing", *key) < missing, -1).when(uniform(seed, "emission", *key) < rate, 1).otherwise(0)
-    return cells.select("molecule", "origin", "cycle", "probe", call.alias("call"))
