@@ -36,6 +36,19 @@ def assignment_metrics(pairs: DataFrame, bins: int = 10) -> DataFrame:
     return binned.agg(mean(-total("log")).alias("nll"), mean(total("brier")).alias("brier"), mean(total("right")).alias("accuracy"), mean(total("conf")).alias("confidence"), mean(gap).alias("ece"), mean(total("conf") - total("right")).alias("overconfidence"), F.try_divide(total("n"), F.sum("n")).alias("coverage"), F.coalesce(F.sum(F.when(~F.col("inside"), F.col("n"))), F.lit(0)).alias("excluded"))
 
 
+def group_posteriors(pairs: DataFrame, groups: list[list[int]]) -> DataFrame:
+    """(post, truth) with both in groups of origins: sums of post, and the group that has the true origin (MT7's group level).
+
+    Groups must share out the origins; truth -1 stays.
+    """
+    if not groups or not all(groups) or sorted(o for g in groups for o in g) != list(range(sum(map(len, groups)))):
+        raise ValueError("groups must be non-empty and share out the origins")
+    of = sorted((o, k) for k, g in enumerate(groups) for o in g)
+    sums = F.array(*[F.aggregate(F.array(*[F.lit(o) for o in g]), F.lit(0.0), lambda s, o: s + F.get("post", o)) for g in groups])
+    place = F.when(F.col("truth") >= 0, F.get(F.array(*[F.lit(k) for _, k in of]), F.col("truth"))).otherwise(-1)
+    return pairs.withColumns({"post": sums, "truth": place})
+
+
 def top_k_recall(pairs: DataFrame, k: int) -> DataFrame:
     """Share of (post, truth, n) whose truth is among the k likeliest; of equals the first origins count (MT10)."""
     mine = F.element_at("post", F.col("truth") + 1)

@@ -28,9 +28,29 @@ def probe_counts(traces: DataFrame, n_probes: int) -> DataFrame:
     return checked.groupBy("molecule").agg(F.array(*[seen(j) for j in range(n_probes)]).alias("observed"), F.array(*[hit(j) for j in range(n_probes)]).alias("positive"))
 
 
+def whole_count(n: Column) -> Column:
+    """n, where it is a whole number of at least 0; anything else is an error (FLT4)."""
+    good = F.coalesce((n >= 0) & (n == F.floor(n)), F.lit(False))
+    return F.when(good, n).otherwise(F.raise_error(F.lit("counts must be finite non-negative integers")).cast("long"))
+
+
 def count_classes(counts: DataFrame, weight: Column | None = None) -> DataFrame:
     """Distinct (observed, positive) with n (AGG3, second half). Rows of weight 0 are dropped first (FLT5)."""
-    return counts.withColumn("__n", weight if weight is not None else F.lit(1)).filter("__n > 0").groupBy("observed", "positive").agg(F.sum("__n").cast("long").alias("n"))
+    weighed = counts.withColumn("__n", whole_count(weight) if weight is not None else F.lit(1))
+    return weighed.filter("__n > 0").groupBy("observed", "positive").agg(F.sum("__n").cast("long").alias("n"))
+
+
+def check_counts(classes: DataFrame, n_probes: int) -> DataFrame:
+    """classes (observed, positive, n) as they are; the wrong ones are errors (FLT4).
+
+    Arrays must have n_probes whole entries without nulls, 0 <= positive <= observed; n must be whole and at least 0.
+    """
+    entries = F.arrays_zip(F.col("observed").alias("o"), F.col("positive").alias("p"))
+    fine = F.forall(entries, lambda x: F.coalesce((x["p"] >= 0) & (x["p"] <= x["o"]) & (x["p"] == F.floor(x["p"])) & (x["o"] == F.floor(x["o"])), F.lit(False)))
+    sized = (F.size("observed") == n_probes) & (F.size("positive") == n_probes)
+    good = F.coalesce(sized & fine, F.lit(False))
+    said = F.raise_error(F.lit(f"counts must be {n_probes} whole numbers with 0 <= positive <= observed"))
+    return classes.withColumns({"n": whole_count(F.col("n")), "observed": F.when(good, F.col("observed")).otherwise(said.cast(classes.schema["observed"].dataType))})
 
 
 def trace_classes(traces: DataFrame, n_cycles: int) -> DataFrame:
@@ -44,7 +64,8 @@ def trace_classes(traces: DataFrame, n_cycles: int) -> DataFrame:
 def drop_invariant_probes(classes: DataFrame, q: list[list[float]]) -> tuple[DataFrame, list[int], Column]:
     """Keep the probes whose probability differs between origins; regroup; the third value is the exact offset to add up (AGG4).
 
-    The returned Column is an aggregate over classes: sum of n * (positive * ln p + negative * ln(1 - p)).
+    The returned Column is an aggregate over classes: sum of n * (positive * ln p + negative * ln(1 - p)); the kept classes
+    have their share of it as log_offset.
     """
     import math
 
@@ -57,7 +78,8 @@ def drop_invariant_probes(classes: DataFrame, q: list[list[float]]) -> tuple[Dat
         no = F.when(obs > pos, (obs - pos) * F.lit(math.log1p(-p))).otherwise(0.0) if p < 1 else F.when(obs > pos, F.raise_error(F.lit("negative calls of probability 1"))).otherwise(0.0)
         term = term + yes + no
     pick = lambda c: F.array(*[F.col(c)[j] for j in keep]) if keep else F.array().cast("array<int>")
-    kept = classes.select(pick("observed").alias("observed"), pick("positive").alias("positive"), "n").groupBy("observed", "positive").agg(F.sum("n").alias("n"))
+    kept = classes.select(pick("observed").alias("observed"), pick("positive").alias("positive"), "n", (F.col("n") * term).alias("part"))
+    kept = kept.groupBy("observed", "positive").agg(F.sum("n").alias("n"), F.sum("part").alias("log_offset"))
     return kept, keep, F.sum(F.col("n") * term)
 
 

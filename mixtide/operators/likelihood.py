@@ -9,12 +9,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mixtide.functions.arrays import lists, matrix
 from mixtide.functions.math import bind, expit, logit
 
 
 def emissions(profiles: DataFrame, rates: DataFrame) -> DataFrame:
-    """(origin, probe, bit), (probe, alpha, beta) -> origin, probe, q (PRJ1). rates has a row per probe and is broadcast."""
-    return profiles.join(F.broadcast(rates), "probe").select("origin", "probe", F.when(F.col("bit") == 1, F.col("alpha")).otherwise(F.col("beta")).alias("q"))
+    """(origin, probe, bit), (probe, alpha, beta) -> origin, probe, q (PRJ1). rates has a row per probe and is broadcast.
+
+    Bits other than 0 and 1 (FLT2), rates outside 0 .. 1 and probes without rates are errors.
+    """
+    known = F.col("alpha").between(0, 1) & F.col("beta").between(0, 1)
+    q = F.when(F.col("bit") == 1, F.col("alpha")).when(F.col("bit") == 0, F.col("beta")).otherwise(F.raise_error(F.lit("bits must be 0 or 1")).cast("double"))
+    checked = F.when(F.coalesce(known, F.lit(False)), q).otherwise(F.raise_error(F.lit("every probe needs rates between 0 and 1")).cast("double"))
+    return profiles.join(F.broadcast(rates), "probe", "left").select("origin", "probe", checked.alias("q"))
+
+
+def emission_matrix(profiles: list[list[int]], alpha: list[float] | float, beta: list[float] | float) -> list[list[float]]:
+    """The K x J matrix q of binary profiles: alpha where a bit is 1, beta where it is 0; one rate, or one per probe (PRJ1)."""
+    check_profiles(profiles)
+    n = len(profiles[0])
+    rates = [[float(x)] * n if isinstance(x, int | float) else [float(y) for y in x] for x in (alpha, beta)]
+    if any(len(r) != n for r in rates):
+        raise ValueError("alpha and beta must have one rate per probe")
+    q = [[rates[1 - bit][j] for j, bit in enumerate(row)] for row in profiles]
+    check_q(q)
+    return q
+
+
+def check_profiles(profiles: list[list[int]], n_probes: int | None = None) -> None:
+    """Profiles are a non-empty matrix of bits (FLT2), of n_probes columns where given."""
+    if not profiles or not profiles[0] or any(len(row) != (n_probes or len(profiles[0])) for row in profiles):
+        raise ValueError("profiles must be a matrix of origins by probes")
+    if any(bit not in (0, 1) for row in profiles for bit in row):
+        raise ValueError("profiles must hold 0 and 1")
 
 
 def calibrate(traces: DataFrame) -> DataFrame:
@@ -34,12 +61,13 @@ def _scores(q: list[list[float]], columns: list[str], block: int = 1024):
         for batch in batches:
             for k in range(0, batch.num_rows, block):
                 part = batch.slice(k, block)
-                seen, hit = (part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(float) for c in ("observed", "positive"))
+                seen, hit = (matrix(part.column(c), len(p), c) for c in ("observed", "positive"))
+                if (hit < 0).any() or (hit > seen).any() or (seen != np.floor(seen)).any() or (hit != np.floor(hit)).any():
+                    raise ValueError("counts must be whole, with 0 <= positive <= observed")
                 ll = hit @ yes + (seen - hit) @ no
                 if never.any() or always.any():
                     ll[(hit > 0).astype(float) @ never + (seen > hit).astype(float) @ always > 0] = -np.inf
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists], names=[*columns, "ll"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists(ll)], names=[*columns, "ll"])
 
     return run
 
@@ -56,6 +84,7 @@ def score(classes: DataFrame, q: list[list[float]]) -> DataFrame:
     """classes (observed, positive) with ll, the array over origins of sum(positive * ln q + negative * ln(1 - q)) (LL2, JN2).
 
     A count of 0 adds 0 also where the logarithm is -Infinity. q is K x J, which the model fixes; a column ll is replaced.
+    Counts of another length than J, null ones and those outside 0 <= positive <= observed are errors.
     """
     check_q(q)
     plain = classes.drop("ll")
@@ -79,6 +108,8 @@ def score_observations(observations: DataFrame, q: list[list[float]], *key: str)
 
 def mismatches(profiles: list[list[int]]) -> Column:
     """Array over origins of the observed calls that differ from a binary profile; missing is a wildcard (FLT6, FLT7)."""
+    check_profiles(profiles)
+
     def one(row: list[int]) -> Column:
         return sum((F.col("observed")[j] - F.col("positive")[j] if bit else F.col("positive")[j] for j, bit in enumerate(row)), F.lit(0))
 

@@ -83,6 +83,33 @@ def feature_marginals(weights: DataFrame, features: DataFrame, *columns: str) ->
     return weights.join(F.broadcast(features.filter("bit = 1")), "origin").groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns])
 
 
+def feature_pairs(weights: DataFrame, features: DataFrame, *columns: str) -> DataFrame:
+    """(origin, w...), (origin, feature, bit) -> one, two and the weight of origins that have both features, one < two (MT5).
+
+    Pairs that no origin has are there with 0. Features and origins are the panel's, so both sides of the pairing are small.
+    """
+    have = features.filter("bit = 1")
+    both = have.select("origin", F.col("feature").alias("one")).join(F.broadcast(have.select("origin", F.col("feature").alias("two"))), "origin").filter("one < two")
+    names = features.select("feature").distinct()
+    every = names.select(F.col("feature").alias("one")).join(F.broadcast(names.select(F.col("feature").alias("two"))), F.col("one") < F.col("two"))
+    found = weights.join(F.broadcast(both), "origin").groupBy("one", "two").agg(*[F.sum(c).alias(c) for c in columns])
+    return every.join(found, ["one", "two"], "left").select("one", "two", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
+
+
+def feature_errors(pairs: DataFrame, kinds: DataFrame, features: DataFrame) -> DataFrame:
+    """(origin, est, truth), (origin, kind), (origin, feature, bit) -> kind_tv, marginal_mae, pair_mae (MT5).
+
+    Total variation between the kinds' totals, and the mean absolute errors of the features' and feature pairs' weights.
+    """
+    gap = F.abs(F.col("est") - F.col("truth"))
+    totals = pairs.join(F.broadcast(kinds), "origin").groupBy("kind").agg(F.sum("est").alias("est"), F.sum("truth").alias("truth"))
+    every = features.select("feature").distinct()
+    alone = every.join(feature_marginals(pairs, features, "est", "truth"), "feature", "left").fillna(0.0, ["est", "truth"])
+    out = totals.agg((F.sum(gap) / 2).alias("kind_tv"))
+    out = out.crossJoin(F.broadcast(alone.agg(F.avg(gap).alias("marginal_mae"))))  # one row each
+    return out.crossJoin(F.broadcast(feature_pairs(pairs, features, "est", "truth").agg(F.avg(gap).alias("pair_mae"))))
+
+
 def percent_error(pairs: DataFrame) -> DataFrame:
     """(est, truth) -> median percent error over present origins and the mass given to absent ones (MT22)."""
     present = F.col("truth") > 0

@@ -31,12 +31,33 @@ def assumed_corrections(weights: DataFrame, assumed: DataFrame) -> DataFrame:
 
 
 def gate_visibility(emissions: DataFrame, schedule: DataFrame, missing_rate: float = 0.0) -> DataFrame:
-    """(origin, probe, q), (cycle, probe, gate_group) -> origin, visibility: every group shows a positive call (YD4, JN1)."""
+    """(origin, probe, q), (cycle, probe, gate_group) -> origin, visibility: every group shows a positive call (YD4, JN1).
+
+    Cycles without a group take no part; a missing rate outside 0 .. 1 is an error. A cycle whose probe is unknown is
+    an error too, as its group could not show.
+    """
+    if not 0 <= missing_rate <= 1:
+        raise ValueError("missing_rate must be a probability")
+    gated = schedule.filter("gate_group is not null")
+    if gated.join(emissions.select("probe").distinct(), "probe", "left_anti").count():  # a row per cycle
+        raise ValueError("a gated cycle has no known probe")
     miss = F.product(1 - F.col("q") * F.lit(1 - missing_rate))
-    groups = emissions.join(F.broadcast(schedule.filter("gate_group is not null")), "probe").groupBy("origin", "gate_group").agg((1 - miss).alias("shown"))
+    groups = emissions.join(F.broadcast(gated), "probe").groupBy("origin", "gate_group").agg((1 - miss).alias("shown"))
     return groups.groupBy("origin").agg(F.product("shown").alias("visibility"))
 
 
+def empirical_yield(molecules: DataFrame) -> DataFrame:
+    """(origin, accepted) -> origin, n_source, n_accepted, source, analyzed, yield: realised shares and yields (AGG21).
+
+    source is the origin's share of all molecules, analyzed of the accepted ones (null if none is), yield the accepted share
+    of the origin's own. Null acceptance counts as rejected.
+    """
+    found = molecules.groupBy("origin").agg(F.count("*").alias("n_source"), F.sum(F.coalesce(F.col("accepted").cast("long"), F.lit(0))).alias("n_accepted"))
+    whole = Window.partitionBy()  # a row per origin
+    share = lambda c: F.try_divide(F.col(c), F.sum(c).over(whole))
+    return found.select("origin", "n_source", "n_accepted", share("n_source").alias("source"), share("n_accepted").alias("analyzed"), (F.col("n_accepted") / F.col("n_source")).alias("yield"))
+
+
 def passes_gate(calls: Column, groups: list[list[int]]) -> Column:
     """Recorded calls have a positive one in every group (FLT9)."""
     out = F.lit(True)

@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from mixtide.functions.arrays import matrix
 from mixtide.functions.math import bind, softmax
-from mixtide.operators.classes import count_classes, drop_invariant_probes, probe_counts
-from mixtide.operators.likelihood import score
+from mixtide.operators.classes import check_counts, count_classes, drop_invariant_probes, probe_counts
+from mixtide.operators.likelihood import check_q, emission_matrix, score
 
 
 @dataclass
@@ -37,7 +38,7 @@ def _partial(weights: np.ndarray):
             if not batch.num_rows:
                 continue
             n = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
-            ll = batch.column("ll").values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) + logs
+            ll = matrix(batch.column("ll"), len(logs), "ll") + logs
             top = ll.max(axis=1)
             if not np.isfinite(top).all():
                 raise ValueError("a class has no origin of positive weight and likelihood")
@@ -50,37 +51,75 @@ def _partial(weights: np.ndarray):
     return run
 
 
-def e_step(classes: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Expected counts and log-likelihood at fixed weights (EM1, EM2, EM14). Partitions' sums meet on executors; K + 1 numbers come back."""
-    rows = classes.select("n", "ll").mapInArrow(_partial(weights), "expected array<double>, value double")
-    sums = rows.select(F.posexplode(F.concat("expected", F.array("value"))).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(len(weights) + 1)
+def sum_arrays(rows: DataFrame, column: str) -> np.ndarray:
+    """The sum over all rows of an array column of one length, entry by entry, on executors; one array comes back."""
+    sums = rows.select(F.posexplode(column).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(len(sums))
     for r in sums:
         out[r["k"]] = r["x"]
-    return out[:-1], float(out[-1])
+    return out
+
+
+def e_step(classes: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expected counts and log-likelihood of (n, ll) classes at fixed weights (EM1, EM2). K + 1 numbers come back."""
+    rows = classes.select("n", "ll").mapInArrow(_partial(weights), "expected array<double>, value double")
+    sums = sum_arrays(rows.select(F.concat("expected", F.array("value")).alias("sums")), "sums")
+    return (sums[:-1], float(sums[-1])) if len(sums) else (np.zeros(len(weights)), 0.0)
+
+
+def objective(classes: DataFrame, weights: list[float]) -> float:
+    """Log-likelihood of (n, ll) classes under a fixed mixture (EM14); classes of count 0 add nothing."""
+    w = np.asarray(weights, float)
+    if w.ndim != 1 or not np.isfinite(w).all() or (w < 0).any() or w.sum() <= 0:
+        raise ValueError("weights must be finite and non-negative, with a positive sum")
+    return e_step(classes.filter("n > 0"), w / w.sum())[1]
 
 
 def fit(classes: DataFrame, initial: list[float] | None = None, max_iter: int = 1000, tol: float = 1e-8, offset: float = 0.0) -> Fit:
     """Mixture weights of (n, ll) classes (EM3, EM4). Flat rows take no part in the loop and get their share at the end.
 
-    Converged when the likelihood moves by at most tol * (1 + its size) and no weight by more than tol.
+    Converged when the likelihood moves by at most tol * (1 + its size) and no weight by more than tol. Counts must be whole
+    and at least 0; of classes with a positive one, ll must hold finite numbers or -Infinity, one of them finite, and be of
+    one length. A column log_offset is added to the likelihood. The input is computed once, into the cache, and checked there.
     """
-    wrong = F.col("n").isNull() | (F.col("n") < 0) | (F.col("n") != F.floor("n"))
-    if not classes.filter(wrong).isEmpty():
-        raise ValueError("counts must be finite non-negative integers")
+    if max_iter < 1 or not (np.isfinite(tol) and tol >= 0):
+        raise ValueError("max_iter must be positive, tol finite and at least 0")
     if initial is not None and not (np.isfinite(initial).all() and np.min(initial) >= 0 and np.sum(initial) > 0):
         raise ValueError("initial weights must be finite and non-negative, with a positive sum")
-    used = classes.filter("n > 0")
+    n, infinite = F.col("n"), F.lit("Infinity").cast("double")
+    wrong = ~F.coalesce((n >= 0) & (n == F.floor(n)), F.lit(False))
+    bad = F.coalesce(F.size("ll") < 1, F.lit(True)) | F.exists("ll", lambda x: x.isNull() | F.isnan(x) | (x == infinite))
     shifted = bind(F.array_max("ll"), lambda top: F.transform("ll", lambda x: x - top))
-    wide = used.select("n", F.array_max("ll").alias("top"), shifted.alias("ll"), (F.array_min("ll") == F.array_max("ll")).alias("flat")).cache()
-    head = wide.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("flat"), F.col("n")).otherwise(0)).alias("flat"), F.sum(F.col("n") * F.col("top")).alias("offset"), F.first(F.size("ll")).alias("k"), F.max(F.exists("ll", lambda x: F.isnan(x))).alias("bad"), F.sum((F.col("top") == F.lit("-Infinity").cast("double")).cast("int")).alias("impossible")).first()
-    if not head["n"]:
-        raise ValueError("counts must have a positive sum")
-    if head["bad"] or head["impossible"]:
-        raise ValueError("log-likelihoods must be finite or -Infinity, with support for every row")
+    own = F.col("log_offset") if "log_offset" in classes.columns else F.lit(0.0)
+    rows = classes.filter(wrong | (n > 0)).select("n", wrong.alias("wrong"), F.coalesce(bad, F.lit(True)).alias("bad"), own.alias("own"), F.array_max("ll").alias("top"), shifted.alias("ll"))
+    wide = rows.withColumn("flat", F.array_min("ll") == F.array_max("ll")).cache()
+    top = F.col("top")
+    head = wide.agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("flat"), n).otherwise(0)).alias("flat"),
+        F.sum(n * top + F.col("own")).alias("offset"),
+        F.min(F.size("ll")).alias("least"),
+        F.max(F.size("ll")).alias("k"),
+        F.max("wrong").alias("wrong"),
+        F.max(F.col("bad") | (top == -infinite)).alias("bad"),
+    ).first()
+    try:
+        if head["wrong"]:
+            raise ValueError("counts must be finite non-negative integers")
+        if not head["n"]:
+            raise ValueError("counts must have a positive sum")
+        if head["bad"] or head["least"] != head["k"]:
+            raise ValueError("log-likelihoods must be finite or -Infinity, with support for every row, and of one length")
+        if initial is not None and len(initial) != head["k"]:
+            raise ValueError("initial weights must have one entry per origin")
+        return _loop(wide.filter("not flat"), head, initial, max_iter, tol, offset)
+    finally:
+        wide.unpersist()
+
+
+def _loop(informative: DataFrame, head: Row, initial: list[float] | None, max_iter: int, tol: float, offset: float) -> Fit:
     k, total, flat = head["k"], float(head["n"]), float(head["flat"])
     w = np.full(k, 1.0 / k) if initial is None else np.asarray(initial, float) / np.sum(initial)
-    informative = wide.filter("not flat")
     history, converged, n_iter, expected = [0.0], True, 0, np.zeros(k)
     if total > flat:
         expected, value = e_step(informative, w)
@@ -94,20 +133,38 @@ def fit(classes: DataFrame, initial: list[float] | None = None, max_iter: int =
             if gain <= tol * (1 + abs(value)) and move <= max(tol, np.finfo(float).eps):
                 converged = True
                 break
-    wide.unpersist()
     gains = np.diff(history)
-    return Fit(w, expected + flat * w, [h + head["offset"] + offset for h in history], converged, n_iter, {"n_uninformative": flat, "monotonic": bool((gains >= -1e-10 * (1 + np.abs(history[:-1]))).all()) if len(gains) else True, "terminal_em_residual": float(np.abs(expected / expected.sum() - w).max()) if total > flat else 0.0})
-
-
-def fit_em(traces: DataFrame, q: list[list[float]], schedule: DataFrame | None = None, initial: list[float] | None = None, max_iter: int = 1000, tol: float = 1e-8) -> Fit:
-    """Weights of the origins of q from one of three inputs (EM5).
+    diagnostics = {
+        "n_uninformative": flat,
+        "monotonic": bool((gains >= -1e-10 * (1 + np.abs(history[:-1]))).all()) if len(gains) else True,
+        "terminal_em_residual": float(np.abs(expected / expected.sum() - w).max()) if total > flat else 0.0,
+    }
+    return Fit(w, expected + flat * w, [h + (head["offset"] or 0.0) + offset for h in history], converged, n_iter, diagnostics)
+
+
+def fit_em(
+    traces: DataFrame,
+    q: list[list[float]] | None = None,
+    schedule: DataFrame | None = None,
+    initial: list[float] | None = None,
+    max_iter: int = 1000,
+    tol: float = 1e-8,
+    profiles: list[list[int]] | None = None,
+    alpha: list[float] | float | None = None,
+    beta: list[float] | float | None = None,
+) -> Fit:
+    """Weights of the origins of q, or of binary profiles with rates alpha and beta, from one of three inputs (EM5).
 
     (molecule, probe, call) rows, with a schedule (cycle, probe) also (molecule, cycle, call) rows: calls are checked,
     counted per probe and reduced to classes. (observed, positive, n) classes: used as they are. (n, ll) classes:
-    supplied likelihoods, q is not used. Probes whose rates are alike for all origins add an offset alone.
+    supplied likelihoods, q and profiles are not used. Probes whose rates are alike for all origins add an offset alone.
     """
     if "ll" in traces.columns:
         return fit(traces, initial, max_iter, tol)
+    if (q is None) == (profiles is None) or (q is None) != (alpha is not None and beta is not None):
+        raise ValueError("give either q, or profiles with alpha and beta")
+    q = emission_matrix(profiles, alpha, beta) if q is None else q
+    check_q(q)
     n_probes, found = len(q[0]), traces
     if "observed" not in traces.columns:
         cells = traces
@@ -117,11 +174,12 @@ def fit_em(traces: DataFrame, q: list[list[float]], schedule: DataFrame | None =
                 raise ValueError("a schedule has one probe for each cycle")
             cells = traces.drop("probe").join(F.broadcast(known), "cycle", "left")  # a cycle without a probe fails the check of probes
         found = count_classes(probe_counts(cells, n_probes))
-    kept, keep, offset = drop_invariant_probes(found, q)
+    else:
+        found = check_counts(found, n_probes).filter("n > 0")
+    kept, keep, _ = drop_invariant_probes(found, q)
     if not keep:
         return fit(kept.withColumn("ll", F.array_repeat(F.lit(0.0), len(q))), initial, max_iter, tol)
-    shift = found.filter("n > 0").agg(offset.alias("x")).first()["x"] or 0.0
-    return fit(score(kept, [[row[j] for j in keep] for row in q]), initial, max_iter, tol, float(shift))
+    return fit(score(kept, [[row[j] for j in keep] for row in q]), initial, max_iter, tol)
 
 
 def posterior(ll: Column, weights: list[float]) -> Column:

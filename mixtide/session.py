@@ -1,12 +1,24 @@
-"""Session with the settings the engine expects."""
+"""Where a session keeps what all its executors must see."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
-def session(name: str = "mixtide", **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
-    for key, value in conf.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset a new temporary one, with a local master only."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-mixtide-")
+    return base.rstrip("/")
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Make checkpoint() work, in the folder that the session names."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -66,3 +66,32 @@ def write_comparison(rows: DataFrame, path: str) -> None:
 def write_panel(panel: DataFrame, probe_ids: list[str], path: str) -> None:
     """(origin, candidate_id, profile) -> candidate_index, candidate_id and a column of bits per physical probe (SNK3)."""
     _one_file(panel.select(F.col("origin").alias("candidate_index"), "candidate_id", *[F.col("profile")[j].alias(p) for j, p in enumerate(probe_ids)]), path, "candidate_index")
+
+
+def write_traces(traces: DataFrame, path: str, n_cycles: int) -> None:
+    """(molecule, cycle, call) -> molecule and a column c01 .. per cycle, -1 where there is no call, in gzip files by molecule (SNK5).
+
+    Files are ranges of molecules in order; read_traces reads them back.
+    """
+    call = lambda c: F.coalesce(F.max(F.when(F.col("cycle") == c, F.col("call"))), F.lit(-1))
+    wide = traces.groupBy("molecule").agg(*[call(c).cast("int").alias(f"c{c + 1:02d}") for c in range(n_cycles)])
+    ranged = wide.repartitionByRange("molecule").sortWithinPartitions("molecule")
+    ranged.write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+
+
+def write_cohort(weights: DataFrame, path: str) -> None:
+    """(flowcell, lane, sample, sample_group, candidate_id, origin, w) -> a cohort's long table, a folder per sample (SNK7).
+
+    Counts per million, the heaviest candidates first, then by origin. Only the folders of the samples given are written
+    anew: a rerun of one sample replaces it and leaves the others as they are.
+    """
+    rows = weights.select("flowcell", "lane", "sample", "sample_group", "candidate_id", cpm(F.col("w")).alias("estimated_cpm"), "w", "origin")
+    ranked = rows.repartition("sample").sortWithinPartitions("sample", F.col("w").desc(), "origin").drop("w", "origin")
+    writer = ranked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample")
+    writer.option("sep", "\t").option("header", True).csv(path)
+
+
+def read_cohort(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of write_cohort."""
+    schema = "flowcell string, lane string, sample_group string, candidate_id string, estimated_cpm bigint, sample string"
+    return spark.read.option("sep", "\t").option("header", True).schema(schema).csv(path)

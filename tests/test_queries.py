@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from mixtide import assignment_queries  # noqa: F401
+from mixtide import assignment_queries, model_queries  # noqa: F401
 from mixtide import queries as core
 
 SF = "/root/testdata/sf0.001"
