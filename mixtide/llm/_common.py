@@ -9,7 +9,7 @@ from types import TracebackType
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that separate words everywhere in this package, as a Java and RE2 class.
@@ -71,18 +71,27 @@ class Tables:
         self.paths.append(new_path(self.spark, name))
         return _write(df, self.paths[-1], into)
 
+    def remove(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
+
     def __enter__(self) -> Tables:
         return self
 
     def __exit__(self, kind: type | None, error: BaseException | None, trace: TracebackType | None) -> None:
-        for path in self.paths:
-            remove(self.spark, path)
+        self.remove()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def small_enough(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     """Hint a broadcast for ids (a written, narrow table) if a count shows that it is within limit."""
     return F.broadcast(ids) if ids.count() <= limit else ids
@@ -121,7 +130,7 @@ def _sum_group(table: pa.Table, fanout: int) -> pa.Table:
 
 
 def sum_vectors(rows: DataFrame, sizes: dict[str, int] | None = None, fanout: int = 32) -> dict[str, np.ndarray]:
-    """Sum rows of VECTOR_SCHEMA by (key, chunk) in two levels; the sums, whose size the model fixes, go to the driver."""
+    """Sum rows of VECTOR_SCHEMA by (key, chunk) in two levels; the sums go to the driver: callers bound the vectors' size."""
     first = rows.groupBy("key", "chunk", (F.col("salt") % fanout).alias("part")).applyInArrow(lambda t: _sum_group(t, fanout), VECTOR_SCHEMA)
     second = first.groupBy("key", "chunk").applyInArrow(lambda t: _sum_group(t, 1), VECTOR_SCHEMA)
     found: dict[str, dict[int, np.ndarray]] = {}

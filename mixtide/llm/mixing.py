@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mixtide.llm._common import WORD, Tables, documents, materialize, small_enough
+from mixtide.llm._common import WORD, Tables, columns_of, documents, materialize, small_enough
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
@@ -83,13 +83,13 @@ def assign(docs: DataFrame, schedules=SCHEDULES, weights=WEIGHTS, most: int = MO
     gives no rows.
     """
     with Tables(docs.sparkSession) as tables:
-        return materialize(_assign(docs, schedules, weights, most, tables), "assigned")
+        return materialize(_assign(docs, F.xxhash64("text", F.lit(7)), schedules, weights, most, tables), "assigned")
 
 
-def _assign(docs: DataFrame, schedules, weights, most: int, tables: Tables) -> DataFrame:
+def _assign(docs: DataFrame, row_hash: Column, schedules, weights, most: int, tables: Tables) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = order_key(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), F.xxhash64("text", F.lit(7)).alias("row_hash"))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), row_hash.alias("row_hash"))
     sizes = tables.write(sizes, "sizes")
     by_source = tables.write(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     # prefix sums in two passes: totals of (source, run of hashes), then inside each run; the runs of a source and the rows of a run
@@ -116,30 +116,38 @@ def _assign(docs: DataFrame, schedules, weights, most: int, tables: Tables) -> D
     return placed.select("row_hash", "doc_id", "source", "size", "source_size", "target", "copies", "last_words", taken.alias("taken"), times.alias("positions"))
 
 
+def whole_row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns that have one (maps have none)."""
+    plain = [c for c, (_, t) in zip(columns_of(docs), docs.dtypes, strict=True) if "map<" not in t and t not in ("variant", "void")]
+    return F.xxhash64(*plain, F.lit(7))
+
+
 def mix(docs: DataFrame, schedules=SCHEDULES, weights=WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
     """The training order: docs' rows, each as often as it is taken, range-sorted by position. Columns stay as they are.
 
     The one copy per source on which its target falls is cut behind its last word taken. Null doc_ids, sources and
-    texts, repeated rows and ties are handled as in assign: a row without words is never taken, equal rows are taken one
-    after the other. An empty table stays empty.
+    texts, repeated rows and ties are handled as in assign: a row without words is never taken, rows equal in all columns are
+    taken one after the other, rows that share a doc_id and a text keep their own source and other columns. An empty table
+    stays empty.
     """
-    every = assign(docs, schedules, weights, most)
-    plan = every.filter("copies > 0")
-    copies = plan.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"), "size", "last_words", F.posexplode("positions").alias("epoch", "__position"), "copies")
-    copies = copies.withColumn("__words", F.when(F.col("epoch") == F.col("copies") - 1, F.col("last_words")).otherwise(F.col("size"))).withColumn("__whole", F.col("__words") == F.col("size"))
-    # equal rows have one plan row each: their copies meet on one of them
-    rows = copies.groupBy("__id", "__row").agg(F.array_sort(F.collect_list(F.struct("__position", "__words", "__whole"))).alias("__all"))
-    rows = materialize(rows, "plan")
-    one = docs.withColumn("__hash", F.xxhash64("text", F.lit(7)))
-    if not every.groupBy("doc_id", "row_hash").count().filter("count > 1").isEmpty():
+    own = whole_row_hash(docs)
+    with Tables(docs.sparkSession) as tables:
+        every = tables.write(_assign(docs, own, schedules, weights, most, tables), "assigned")
+        plan = every.filter("copies > 0")
+        copies = plan.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"), "size", "last_words", F.posexplode("positions").alias("epoch", "__position"), "copies")
+        words = F.when(F.col("epoch") == F.col("copies") - 1, F.col("last_words")).otherwise(F.col("size"))
+        copies = materialize(copies.select("__id", "__row", "__position", words.alias("__words"), (words == F.col("size")).alias("__whole")), "plan")
+        repeated = not every.groupBy("doc_id", "row_hash").count().filter("count > 1").isEmpty()
+    one = docs.withColumn("__hash", own)
+    if repeated:  # equal rows have one plan row each: the copies of all of them are made from one
         one = one.dropDuplicates(["doc_id", "__hash"])
-    met = one.join(small_enough(rows, BROADCAST_PLAN), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__row"))).withColumn("__one", F.explode("__all"))
+    met = one.join(small_enough(copies, BROADCAST_PLAN), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__row")))
     cut = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)
-    text = F.when(F.col("__one.__whole"), F.col("text")).otherwise(F.concat(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), 1, F.col("__one.__words").cast("int")), "")))
+    text = F.when(F.col("__whole"), F.col("text")).otherwise(F.concat(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), 1, F.col("__words").cast("int")), "")))
     met = met.withColumn("text", text)
     if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.when(F.col("__one.__whole"), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return met.withColumn("__at", F.col("__one.__position")).repartitionByRange(F.col("__at"), F.col("doc_id")).sortWithinPartitions("__at", "doc_id").select(*docs.columns)
+        met = met.withColumn("n_chars", F.when(F.col("__whole"), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+    return met.repartitionByRange(F.col("__position"), F.col("doc_id")).sortWithinPartitions("__position", "doc_id").select(*columns_of(docs))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

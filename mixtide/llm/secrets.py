@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixtide.llm._common import Tables, documents, materialize, small_enough
+from mixtide.llm._common import Tables, columns_of, documents, materialize, small_enough
 
 #: The patterns of the base kinds, in the order in which kinds sort.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -133,17 +133,21 @@ def scan(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, m
     of its own. Null text: no spans. Repeated rows give equal results. Columns besides doc_id, text and owner are ignored.
     """
     with Tables(docs.sparkSession) as tables:
-        one, held = _every_span(docs, owner, tables)
-        verdict = ownership(held.select("value_hash", "repository", "owner"), max_owners, max_repositories)
-        examples = tables.write(verdict.filter(~F.col("live")).select("value_hash", F.lit(True).alias("example")), "examples")
-        candidates = held.filter((F.col("x.kind") < 3) | looks_random(F.col("value")))
-        met = candidates.join(small_enough(examples, BROADCAST_VALUES), "value_hash", "left").withColumn("example", F.coalesce("example", F.lit(False)))
-        judged = met.filter((F.col("x.kind") < 3) == F.col("example"))  # base spans that are examples, bare ones that are not
-        kept = lambda base: F.array_sort(F.collect_set(F.when((F.col("x.kind") < 3) == base, F.col("x"))))
-        sides = judged.groupBy(F.col("doc_id").alias("id"), F.col("row_hash").alias("hash")).agg(kept(False).alias("live"), kept(True).alias("copied"))
-        both = one.join(sides, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("hash")), "left")
-        none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-        return materialize(both.select("row_hash", "doc_id", "found", F.coalesce("live", none).alias("live"), F.coalesce("copied", none).alias("copied")), "scanned")
+        return materialize(_scan(docs, owner, max_owners, max_repositories, tables), "scanned")
+
+
+def _scan(docs: DataFrame, owner: str, max_owners: int, max_repositories: int, tables: Tables) -> DataFrame:
+    one, held = _every_span(docs, owner, tables)
+    verdict = ownership(held.select("value_hash", "repository", "owner"), max_owners, max_repositories)
+    examples = tables.write(verdict.filter(~F.col("live")).select("value_hash", F.lit(True).alias("example")), "examples")
+    candidates = held.filter((F.col("x.kind") < 3) | looks_random(F.col("value")))
+    met = candidates.join(small_enough(examples, BROADCAST_VALUES), "value_hash", "left").withColumn("example", F.coalesce("example", F.lit(False)))
+    judged = met.filter((F.col("x.kind") < 3) == F.col("example"))  # base spans that are examples, bare ones that are not
+    kept = lambda base: F.array_sort(F.collect_set(F.when((F.col("x.kind") < 3) == base, F.col("x"))))
+    sides = judged.groupBy(F.col("doc_id").alias("id"), F.col("row_hash").alias("hash")).agg(kept(False).alias("live"), kept(True).alias("copied"))
+    both = one.join(sides, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("hash")), "left")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    return both.select("row_hash", "doc_id", "found", F.coalesce("live", none).alias("live"), F.coalesce("copied", none).alias("copied"))
 
 
 def all_spans(base: Column | str = "found") -> Column:
@@ -192,13 +196,16 @@ def redact(docs: DataFrame, owner: str = "source") -> DataFrame:
     doc_ids and owners are handled as in scan. An empty table stays empty.
     """
     spans = all_spans(without(F.col("found"), F.col("copied")))
-    found = scan(docs, owner).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), spans.alias("__spans")).filter(F.size("__spans") > 0).dropDuplicates(["__id", "__hash"])
-    found = small_enough(materialize(found, "secrets"), BROADCAST_VALUES)
+    with Tables(docs.sparkSession) as tables:
+        scanned = tables.write(_scan(docs, owner, MAX_OWNERS, MAX_REPOSITORIES, tables), "scanned")
+        found = scanned.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), spans.alias("__spans")).filter(F.size("__spans") > 0).dropDuplicates(["__id", "__hash"])
+        found = materialize(found, "secrets")
+    found = small_enough(found, BROADCAST_VALUES)
     met = docs.withColumn("__row", F.xxhash64("text", F.lit(7))).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__hash")), "left")
     out = met.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), F.col("__spans"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*docs.columns)
+    return out.select(*columns_of(docs))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixtide.llm._common import documents, materialize
+from mixtide.llm._common import Tables, documents, materialize
 
 ROUNDS = 4
 SHARDS = 8
@@ -46,11 +46,12 @@ def permute(x: Column, n: int, seed: int) -> Column:
     return F.element_at(F.transform(F.array(once), lambda p: F.when(p < n, p).otherwise(walk(p))), 1)
 
 
-def number_rows(df: DataFrame, *order: str) -> DataFrame:
+def number_rows(df: DataFrame, tables: Tables, *order: str) -> DataFrame:
     """df with row_number (0 .. N-1) in the given order, without a global window: range sort, then offsets of partitions."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     # written before it is counted: the bounds of the ranges may differ from one execution to the next
-    ranged = materialize(ranged.withColumn("__part", F.shiftright("__id", 33)).withColumn("__in", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))), "ranged")
+    ranged = ranged.withColumn("__part", F.shiftright("__id", 33)).withColumn("__in", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged = tables.write(ranged, "ranged")
     offsets, total = [0], 0
     for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect():  # one row per partition
         offsets += [total] * (r["__part"] + 1 - len(offsets))
@@ -69,10 +70,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 20) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = number_rows(materialize(rows, "sizes"), "doc_id", "text_crc32", "size")
-    place = permute(F.col("row_number"), max(1, rows.count()), seed)
-    out = rows.withColumn("__place", place)
-    return out.select("doc_id", "size", "text_crc32", "row_number", F.pmod("__place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("__place") / shards).cast("long").alias("slot"))
+    with Tables(docs.sparkSession) as tables:
+        rows = number_rows(tables.write(rows, "sizes"), tables, "doc_id", "text_crc32", "size")
+        place = permute(F.col("row_number"), max(1, rows.count()), seed)
+        out = rows.withColumn("__place", place)
+        shard_, slot = F.pmod("__place", F.lit(shards)).cast("int"), F.floor(F.col("__place") / shards).cast("long")
+        return materialize(out.select("doc_id", "size", "text_crc32", "row_number", shard_.alias("shard"), slot.alias("slot")), "shards")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -157,7 +157,7 @@ def place(page_id: Column, sha1: Column) -> Column:
 
 
 def shard_bounds(keys: DataFrame, shard_bytes: int, tables: Tables) -> list[str]:
-    """(place, n) -> the first place of each shard of about shard_bytes, by exact prefix sums of n in order of place."""
+    """(place, n) -> the first place of each shard of about shard_bytes, in order, by exact prefix sums of n in order of place."""
     cost = F.col("n") + 200
     ranged = tables.write(keys.repartitionByRange("place").withColumn("part", F.spark_partition_id()), "ranged")
     offsets, total = {}, 0
@@ -174,12 +174,18 @@ def shard_bounds(keys: DataFrame, shard_bytes: int, tables: Tables) -> list[str]
     return sorted({r["place"] for r in first.collect()})  # MOST_SHARDS rows at most
 
 
-def _shard_of(bounds: list[str]):
-    @F.udf("int", useArrow=True)
-    def of(at: str) -> int:
-        return max(0, bisect_right(bounds, at) - 1)
+def shard_of(at: Column, bounds: list[str]) -> Column:
+    """The last shard whose first place is not behind at, by halving the sorted bounds; 0 where there is none."""
+    known = F.from_json(F.lit(json.dumps(bounds)), "array<string>")  # MOST_SHARDS at most
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(bounds).bit_length())))
 
-    return of
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        behind = F.get(known, middle) > at
+        step = F.struct(F.when(behind, s["low"]).otherwise(middle).alias("low"), F.when(behind, middle).otherwise(s["high"]).alias("high"))
+        return F.when(s["high"] - s["low"] > 1, step).otherwise(s)
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(max(1, len(bounds))).alias("high")), halve, lambda s: s["low"])
 
 
 def write_warc(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, smallest: int = 0) -> DataFrame:
@@ -197,11 +203,10 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, roll_
         first = keys.groupBy("sha1").agg(F.min("page_id").alias("refers"))
         roles = keys.filter("page_id is not null").join(first, "sha1").filter("page_id <> refers").select("page_id", "sha1", "refers").distinct()
         bounds = shard_bounds(keys.select(place(F.col("page_id"), F.col("sha1")).alias("place"), "n"), shard_bytes, tables)
-        shard = _shard_of(bounds)
         none = lambda t: F.lit(None).cast(t)
         rows = named.select("page_id", "url", "html", "sha1", none("long").alias("refers"), F.lit(False).alias("note"))
         notes = roles.select("page_id", none("string").alias("url"), none("binary").alias("html"), "sha1", "refers", F.lit(True).alias("note"))
-        dealt = rows.unionByName(notes).withColumn("place", place(F.col("page_id"), F.col("sha1"))).withColumn("shard", shard("place"))
+        dealt = rows.unionByName(notes).withColumn("place", place(F.col("page_id"), F.col("sha1"))).withColumn("shard", shard_of(F.col("place"), bounds))
         ordered = dealt.repartitionById(max(1, len(bounds)), F.col("shard")).sortWithinPartitions("shard", "place", F.col("note").desc(), "url")
         listed = tables.write(ordered.mapInArrow(_write(out, roll_bytes, smallest), _MANIFEST), "written")
         manifest = f"{out}/manifest"
@@ -275,3 +280,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "warc")
     manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), out)
     return read_warc(manifest, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+with p as (select page_id, html, sha1(encode(coalesce(html, ''))) as h, octet_length(encode(coalesce(html, ''))) as n from pages),
+f as (select *, min(page_id) over (partition by h) as first from p),
+c as (select *, list_transform(range(8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::int) as parts from f)
+select page_id, n::bigint as payload_bytes,
+  array_to_string(list_transform(parts, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31) + 1, 1)), '')), '') as payload_digest,
+  case when first = page_id or page_id is null then 'response' else 'revisit' end as record_type,
+  case when first <> page_id then first end as refers_to from c
+"""

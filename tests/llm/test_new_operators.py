@@ -1,7 +1,9 @@
 """Digest index, periodic runs and spelling variants against brute force, and on nulls, repeats and empty tables."""
 
+import bisect
 import collections
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -13,7 +15,12 @@ from pyspark.sql import functions as F
 
 from mixtide.llm import runs as R
 from mixtide.llm import spelling as S
+from mixtide.llm._common import shared_dir
 from mixtide.llm.digest_index import OP11_SQL, DigestIndex, digest_of, exact_dedup, op11_exact_dedup
+from mixtide.llm.mixing import assign, mix
+from mixtide.llm.secrets import redact
+from mixtide.llm.sharding import shard
+from mixtide.llm.warc import shard_of
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -231,3 +238,31 @@ def test_vocabulary_of_odd_rows(spark, empty):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"word": F.lit(1), "n": F.lit(2)})
     assert {r["word"]: r["n"] for r in S.vocabulary(docs).collect()} == brute_words(rows)
     assert S.vocabulary(empty).count() == 0 and S.group_variants(S.vocabulary(empty)).count() == 0
+
+
+def test_mix_keeps_the_columns_of_rows_that_share_a_text(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "A", "x"), (1, text, "B", "y"), (2, text + " more", "A", None), (3, "other words", "B", "z"), (3, "other words", "B", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` string")
+    got = collections.Counter(tuple(r)[2:] for r in mix(docs).filter("doc_id = 1").collect())
+    plan = assign(docs).filter("doc_id = 1").select("source", "copies").collect()
+    assert got == collections.Counter({(r["source"], {"A": "x", "B": "y"}[r["source"]]): r["copies"] for r in plan if r["copies"]})
+    assert mix(docs).filter("doc_id = 3").count() == sum(r["copies"] for r in assign(docs).filter("doc_id = 3").collect())
+
+
+def test_stages_leave_no_tables(spark, odd):
+    docs = odd.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    shard(docs).count()
+    mix(docs).count()
+    redact(docs).count()
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} <= {"shards", "plan", "secrets"}
+
+
+def test_shards_of_places(spark):
+    bounds = ["", "b", "d", "dd", "x"]
+    rows = spark.createDataFrame([(p,) for p in ("", "a", "b", "c", "d", "dd", "ddd", "w", "x", "z")], "at string")
+    for k in range(len(bounds) + 1):
+        got = rows.select("at", shard_of(F.col("at"), bounds[:k]).alias("s")).collect()
+        assert all(r["s"] == max(0, bisect.bisect_right(bounds[:k], r["at"]) - 1) for r in got)
