@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixtide.llm._common import documents, materialize
+from mixtide.llm._common import Tables, documents, materialize
 from mixtide.llm.language import UNKNOWN, held_out_column, identify
 from mixtide.llm.mixing import mix
 from mixtide.llm.ngram_join import keep_one_of_each
@@ -68,8 +68,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage's result is written before the next one reads it."""
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    """The last stage's rows; every stage's result is written before the next one reads it, and removed when that one is written."""
+    docs, last = documents(spark, sf_dir), len(STAGES) - 1
+    tables: list[Tables] = []
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == last:
+            docs = materialize(out, f"stage-{name}")
+        else:
+            tables.append(Tables(spark))
+            docs = tables[-1].write(out, f"stage-{name}")
+        if k:
+            tables[k - 1].remove()
     return docs
