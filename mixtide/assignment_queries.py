@@ -135,7 +135,50 @@ def mt5(spark, d):
 @register("bs1_bootstrap_intervals")
 def bs1(spark, d):
     scored = L.score(order_classes(spark, d), Q)
-    return B.intervals(B.bootstrap(scored, E.fit(scored).weights, 20))
+    return B.intervals(B.bootstrap(scored, E.fit(scored).weights))
+
+
+@register("bs1_hard_control")
+def bs1_hard(spark, d):
+    """The negative control: missing calls read as negative, every draw to its class's likeliest origin; intervals of pairs of origins."""
+    traces = L.missing_as_zero(order_traces(spark, d))
+    scored = L.score(C.count_classes(C.probe_counts(traces, 8)), Q)
+    found = B.bootstrap(scored, np.full(8, 0.125), estimator="hard")
+    return B.intervals(B.grouped(found, [[0, 1], [2, 3], [4, 5], [6, 7]]))
+
+
+@register("bs4_estimands")
+def bs4(spark, d):
+    """Intervals of an order's status, of its price and priority, and of the larger origins."""
+    scored = L.score(order_classes(spark, d), Q)
+    base = E.fit(scored)
+    n = base.expected_counts.sum()
+    kinds = spark.createDataFrame([(k, k >> 2) for k in range(8)], "origin int, kind int")
+    features = spark.createDataFrame([(k, f, k >> f & 1) for k in range(8) for f in range(2)], "origin int, feature int, bit int")
+    active = [k for k, w in enumerate(base.weights) if n * w >= 20]
+    return B.intervals(B.estimands(B.bootstrap(scored, base.weights), kinds, features, active), by="estimand")
+
+
+@register(
+    "flt13_unassigned",
+    f"{_sql(KEPT)}, o as (select case when list_max(post) >= 0.5 then list_position(post, list_max(post)) - 1 else -1 end as origin from s) select origin, count(*) as n from o group by 1",
+)
+def flt13(spark, d):
+    """Orders by their assigned origin, -1 for those that no origin claims."""
+    found = A.flag_unassigned(_pairs(spark, d, KEPT), 0.5)
+    return found.groupBy(F.col("origin").cast("long").alias("origin")).agg(F.sum("n").alias("n"))
+
+
+@register(
+    "mt4_group_errors",
+    f"""{_EM}, {_TRUTH}, g as (select k // 2 as g, sum(est) as est, sum(truth) as truth from (select w as est, coalesce(truth, 0) as truth, k from em left join t on em.k = t.origin where it = {ITERATIONS}) group by 1)
+select count(*) as groups, false as resolved, round((sum(abs(est - truth)) + 0.05) / 2, 5) as tv, null::double as origin_tv from g""",
+)
+def mt4(spark, d):
+    """Errors of pairs of origins, with a twentieth of the mass outside the dictionary."""
+    labels = spark.createDataFrame([(k, k // 2) for k in range(8)], "origin int, group_id int")
+    found = M.group_errors(truth_pairs(spark, d)[0], labels, 0.05)
+    return found.select("groups", "resolved", F.round("tv", 5).alias("tv"), "origin_tv")
 
 
 @register("mt17_conditioning")

@@ -92,6 +92,13 @@ def confidence_gate(rows: DataFrame, least: float = 0.9) -> DataFrame:
     return rows.filter(F.array_max("post") >= least).groupBy(first_argmax(F.col("post")).alias("origin")).agg(F.sum("n").alias("n"))
 
 
+def flag_unassigned(rows: DataFrame, least: float = 0.8) -> DataFrame:
+    """(post) with origin, the first likeliest one, or -1 where its posterior stays below least: possibly of no known origin (FLT13)."""
+    if not 0 <= least <= 1:
+        raise ValueError("least must be a probability")
+    return rows.withColumn("origin", F.when(F.array_max("post") >= least, first_argmax(F.col("post"))).otherwise(-1))
+
+
 def likelihood_classes(scored: DataFrame, digits: int | None = None) -> DataFrame:
     """(ll, n) -> ll centred by its maximum, n, log_offset: rows that differ by a constant are one class (AGG5, AGG6)."""
     centred = bind(F.array_max("ll"), lambda top: F.transform("ll", lambda x: x - top))

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixtide.functions.arrays import lists, matrix
 from mixtide.functions.math import bind, expit, logit
+from mixtide.operators.classes import join_classes
+from mixtide.session import use_checkpoints
 
 
 def emissions(profiles: DataFrame, rates: DataFrame) -> DataFrame:
@@ -100,10 +102,12 @@ def score_traces(classes: DataFrame, q: list[list[float]]) -> DataFrame:
 def score_observations(observations: DataFrame, q: list[list[float]], *key: str) -> DataFrame:
     """One row per observation with its class's ll: distinct classes are scored once and joined back (LL3, JN3).
 
-    key: observed and positive, or mask and trace.
+    key: observed and positive, or mask and trace. The observations of one class may be a large share of all: see join_classes.
     """
     scorer = score_traces if key == ("mask", "trace") else score
-    return observations.join(scorer(observations.select(*key).distinct(), q), list(key))
+    use_checkpoints(observations.sparkSession)
+    classes = observations.groupBy(*key).agg(F.count("*").alias("n")).checkpoint()
+    return join_classes(observations, scorer(classes, q), *key)
 
 
 def mismatches(profiles: list[list[int]]) -> Column:
@@ -177,16 +181,44 @@ def missing_as_zero(traces: DataFrame) -> DataFrame:
     return traces.withColumn("call", F.when(F.coalesce("call", F.lit(-1)) == -1, 0).otherwise(F.col("call")))
 
 
-def cumulative_posteriors(cells: DataFrame, q: DataFrame, low: float = 1e-12) -> DataFrame:
-    """(molecule, cycle, probe, call), (origin, probe, q) -> molecule, cycle, origin, posterior after each cycle, from a flat prior (MT20).
+def _evidence(yes: np.ndarray, no: np.ndarray, cells: int = 1 << 22):
+    """Molecules with their calls in order of cycle -> a row per (molecule, cycle) with the posteriors after it."""
 
-    Several calls of one cycle count together.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("calls").value_lengths().to_numpy(zero_copy_only=False)
+            k = 0
+            while k < batch.num_rows:  # so many molecules that their cells times origins stay bounded
+                stop = k + max(1, int(np.searchsorted(np.cumsum(sizes[k:]) * yes.shape[1], cells, side="right")))
+                part = batch.slice(k, stop - k)
+                calls, size = part.column("calls").flatten(), sizes[k:stop]
+                cycle, probe, call = (calls.field(c).to_numpy(zero_copy_only=False) for c in ("cycle", "probe", "call"))
+                owner = np.repeat(np.arange(len(size)), size)
+                ll = np.where((call == 1)[:, None], yes[probe], np.where((call == 0)[:, None], no[probe], 0.0))
+                new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (cycle[1:] != cycle[:-1])])
+                first = np.flatnonzero(new)
+                each, of = np.add.reduceat(ll, first, axis=0), owner[first]
+                upto = np.concatenate([np.cumsum(x, axis=0) for x in np.split(each, np.flatnonzero(np.diff(of)) + 1)])
+                p = np.exp(upto - upto.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([part.column("molecule").take(pa.array(of)), pa.array(cycle[first]), lists(p)], names=["molecule", "cycle", "posterior"])
+                k = stop
+
+    return run
+
+
+def cumulative_posteriors(cells: DataFrame, q: list[list[float]], low: float = 1e-12) -> DataFrame:
+    """(molecule, cycle, probe, call) -> molecule, cycle, posterior: an array over origins after each cycle, from a flat prior (MT20).
+
+    Several calls of one cycle count together; missing calls and those of probes outside q add nothing. A molecule's calls
+    meet in one shuffle, their scores run on in one pass; q is kept inside [low, 1 - low].
     """
-    p = F.greatest(F.lit(low), F.least(F.lit(1 - low), F.col("q")))
-    part = F.when(F.col("call") == 1, F.ln(p)).when(F.col("call") == 0, F.ln(F.greatest(F.lit(low), F.least(F.lit(1 - low), 1 - F.col("q"))))).otherwise(0.0)
-    upto = Window.partitionBy("molecule", "origin").orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)
-    each_cycle = cells.join(F.broadcast(q), "probe").groupBy("molecule", "cycle", "origin").agg(F.sum(part).alias("part"))
-    ll = each_cycle.select("molecule", "cycle", "origin", F.sum("part").over(upto).alias("ll"))
-    each = Window.partitionBy("molecule", "cycle")
-    e = ll.withColumn("e", F.exp(F.col("ll") - F.max("ll").over(each)))
-    return e.select("molecule", "cycle", "origin", (F.col("e") / F.sum("e").over(each)).alias("posterior"))
+    check_q(q)
+    p = np.asarray(q, dtype=float).T
+    yes, no = np.log(np.clip(p, low, 1 - low)), np.log(np.clip(1 - p, low, 1 - low))
+    known = F.col("probe").between(0, len(p) - 1) & F.coalesce(F.col("call").isin(0, 1), F.lit(False))
+    call = F.when(known, F.col("call")).otherwise(-1).cast("int").alias("call")
+    rows = cells.select("molecule", F.col("cycle").cast("long").alias("cycle"), F.when(known, F.col("probe")).otherwise(0).cast("int").alias("probe"), call)
+    by_molecule = rows.groupBy("molecule").agg(F.array_sort(F.collect_list(F.struct("cycle", "probe", "call"))).alias("calls"))
+    kind = dict(cells.dtypes)["molecule"]
+    return by_molecule.mapInArrow(_evidence(yes, no), f"molecule {kind}, cycle bigint, posterior array<double>")

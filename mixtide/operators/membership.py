@@ -12,32 +12,15 @@ from pyspark.sql import functions as F
 from mixtide.functions.arrays import lists, matrix
 from mixtide.functions.math import bind
 from mixtide.functions.ranks import running_totals
-from mixtide.operators.classes import count_classes
+from mixtide.operators.classes import count_classes, join_classes
 from mixtide.operators.likelihood import check_profiles, score
 
-#: A class of over 1 / HEAVY of all molecules is joined by broadcast: there are fewer than HEAVY of them.
-HEAVY = 1000
-
-
 def numbered(classes: DataFrame, name: str, *key: str) -> DataFrame:
     """classes with their number from 0 on in the order of key, which tells them apart: the same whatever the partitions."""
     found = running_totals(classes.withColumn("__one", F.lit(1)), [F.col(k) for k in key], "__one")
     return found.withColumnRenamed("before___one", name).drop("__one")
 
 
-def join_classes(molecules: DataFrame, classes: DataFrame, *key: str) -> DataFrame:
-    """Each molecule with its class's columns; classes have a row per key and n, the molecules of the class.
-
-    The few classes that hold over 1 / HEAVY of all molecules, such as that without any call, are broadcast, so that no task
-    gets all the rows of one; the others meet in a shuffle. Keys must not be null.
-    """
-    total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
-    heavy = F.col("n") * HEAVY > F.lit(total)
-    few = F.broadcast(classes.filter(heavy).drop("n"))
-    light = molecules.join(F.broadcast(classes.filter(heavy).select(*key)), list(key), "left_anti")
-    return molecules.join(few, list(key)).unionByName(light.join(classes.filter(~heavy).drop("n"), list(key)))
-
-
 def membership(counts: DataFrame, q: list[list[float]], digits: int = 9) -> DataFrame:
     """(molecule, observed, positive) -> molecule, count_class, likelihood_class, log_offset (JN4, AGG5).
 
@@ -49,7 +32,7 @@ def membership(counts: DataFrame, q: list[list[float]], digits: int = 9) -> Data
     centred = bind(F.col("log_offset"), lambda top: F.transform("ll", lambda x: F.round(x - top, digits) + F.lit(0.0)))
     scored = scored.withColumn("centred", centred)
     groups = numbered(scored.select("centred").distinct(), "likelihood_class", "centred")
-    hop = scored.join(groups, "centred").select("observed", "positive", "n", "count_class", "likelihood_class", "log_offset")
+    hop = scored.join(groups, "centred").select("observed", "positive", "n", "count_class", "likelihood_class", "log_offset").checkpoint()
     met = join_classes(counts.select("molecule", "observed", "positive"), hop, "observed", "positive")
     return met.select("molecule", "count_class", "likelihood_class", "log_offset")
 

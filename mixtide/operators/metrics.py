@@ -83,6 +83,20 @@ def feature_marginals(weights: DataFrame, features: DataFrame, *columns: str) ->
     return weights.join(F.broadcast(features.filter("bit = 1")), "origin").groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns])
 
 
+def group_errors(pairs: DataFrame, labels: DataFrame, outlier_mass: float = 0.0) -> DataFrame:
+    """(origin, est, truth), (origin, group_id) -> groups, resolved, tv, origin_tv: group errors, with the mass outside the dictionary (MT4).
+
+    The mass outside is a group of its own, estimated 0. Where a group has more than one origin, origins cannot be told
+    apart: resolved is false and origin_tv null.
+    """
+    sums = group_sums(pairs, labels, "est", "truth")
+    by_group = augmented_error(sums, outlier_mass).select("tv")
+    by_origin = augmented_error(pairs, outlier_mass).select(F.col("tv").alias("origin_tv"))
+    sizes = labels.groupBy("group_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), (F.max("n") <= 1).alias("resolved"))
+    out = sizes.crossJoin(F.broadcast(by_group)).crossJoin(F.broadcast(by_origin))  # one row each
+    return out.select("groups", "resolved", "tv", F.when(F.col("resolved"), F.col("origin_tv")).alias("origin_tv"))
+
+
 def feature_pairs(weights: DataFrame, features: DataFrame, *columns: str) -> DataFrame:
     """(origin, w...), (origin, feature, bit) -> one, two and the weight of origins that have both features, one < two (MT5).
 

@@ -172,10 +172,24 @@ def grouped(replicates: DataFrame, groups: list[list[int]]) -> DataFrame:
     return met.agg(F.sum("w").alias("w")).select("replicate", "origin", "w", "converged")
 
 
-def intervals(replicates: DataFrame, level: float = 0.95) -> DataFrame:
-    """(origin, w) -> low, median, high by linear interpolation, and how many replicates count (BS2)."""
+def estimands(replicates: DataFrame, kinds: DataFrame, features: DataFrame, active: list[int]) -> DataFrame:
+    """(replicate, origin, w, converged) -> replicate, estimand, w, converged: what intervals are reported for (BS4).
+
+    Totals of each kind (origin, kind), weights of the origins that have each feature (origin, feature, bit), and the weights
+    of the active origins, which the caller takes from the point estimate.
+    """
+    key = ["replicate", "converged"]
+    of_kind = replicates.join(F.broadcast(kinds), "origin").groupBy(*key, F.concat(F.lit("kind:"), F.col("kind").cast("string")).alias("estimand")).agg(F.sum("w").alias("w"))
+    having = features.filter("bit = 1").select("origin", "feature")
+    of_feature = replicates.join(F.broadcast(having), "origin").groupBy(*key, F.concat(F.lit("feature:"), F.col("feature").cast("string")).alias("estimand")).agg(F.sum("w").alias("w"))
+    own = replicates.filter(F.col("origin").isin(active)).select(*key, F.concat(F.lit("origin:"), F.col("origin").cast("string")).alias("estimand"), "w")
+    return of_kind.unionByName(of_feature).unionByName(own).select("replicate", "estimand", "w", "converged")
+
+
+def intervals(replicates: DataFrame, level: float = 0.95, by: str = "origin") -> DataFrame:
+    """(origin, w), or (estimand, w) by estimand -> low, median, high by linear interpolation, and how many replicates count (BS2)."""
     if not 0 < level < 1:
         raise ValueError("level must lie between 0 and 1")
     tail = (1 - level) / 2
     cut = [F.percentile("w", p).alias(name) for name, p in (("low", tail), ("median", 0.5), ("high", 1 - tail))]
-    return replicates.filter("converged").groupBy("origin").agg(*cut, F.count("*").alias("replicates"))
+    return replicates.filter("converged").groupBy(by).agg(*cut, F.count("*").alias("replicates"))

@@ -410,8 +410,8 @@ def ll2_panel(spark, d):
 
 @register("em5_panel_fit")
 def em5_panel(spark, d):
-    """fit_em over the panel: 768 origins, 12 probes, all orders."""
-    found = E.fit_em(panel_traces(spark, d), G.panel_q(spark), max_iter=20, tol=0.0)
+    """fit_em over the panel, to convergence: 768 origins, 12 probes, all orders."""
+    found = E.fit_em(panel_traces(spark, d), G.panel_q(spark), max_iter=500, tol=1e-5)
     weights = origins(spark, found.weights, "weight")
     return G.panel(spark).join(weights, "origin").select("origin", "candidate_id", F.round("weight", 9).alias("weight"), cpm(F.col("weight")).alias("cpm"))
 
@@ -438,9 +438,9 @@ s as (select molecule, cycle, origin, sum(part) over (partition by molecule, ori
 e as (select *, exp(ll - max(ll) over (partition by molecule, cycle)) as e from s)
 select molecule, cycle, origin, round(e / sum(e) over (partition by molecule, cycle), 9) as posterior from e""")
 def mt20(spark, d):
-    q = spark.createDataFrame([(k, j, p) for k, row in enumerate(LINE_Q) for j, p in enumerate(row)], "origin long, probe int, q double")
     cells = line_traces(spark, d).withColumn("cycle", F.col("probe").cast("long"))
-    return L.cumulative_posteriors(cells, q).withColumn("posterior", F.round("posterior", 9))
+    found = L.cumulative_posteriors(cells, LINE_Q).select("molecule", "cycle", F.posexplode("posterior").alias("origin", "p"))
+    return found.select("molecule", "cycle", F.col("origin").cast("long").alias("origin"), F.round("p", 9).alias("posterior"))
 
 
 _PRIORITY = "select count(*) filter (o_orderstatus = 'F')::double / sum(count(*) filter (o_orderstatus = 'F')) over () as truth, sum(o_totalprice::double) / sum(sum(o_totalprice::double)) over () as est from orders group by o_orderpriority, o_orderstatus"

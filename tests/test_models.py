@@ -311,3 +311,41 @@ def test_trace_files_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("m2", 0, 1), ("m2", 2, 0), ("m1", 1, -1)], "molecule string, cycle int, call int")
     tsv.write_traces(rows, f"{tmp_path}/traces", 3)
     assert [tuple(r) for r in tsv.read_traces(spark, f"{tmp_path}/traces", 3).orderBy("molecule").collect()] == [("m1", [-1, -1, -1]), ("m2", [1, -1, 0])]
+
+
+def test_cumulative_posteriors(spark):
+    rows = [(1, 0, 0, 1), (1, 1, 1, 0), (1, 1, 2, 1), (1, 3, 0, -1), (2, 0, 9, 1), (2, 5, 2, None), (3, 2, 1, 1)]
+    cells = spark.createDataFrame(rows, "molecule long, cycle long, probe int, call int").repartition(3)
+    got = {(r["molecule"], r["cycle"]): r["posterior"] for r in L.cumulative_posteriors(cells, Q).collect()}
+    q, soft = np.array(Q), lambda x: x / x.sum()
+    first, then = q[:, 0], q[:, 0] * (1 - q[:, 1]) * q[:, 2]
+    want = {(1, 0): soft(first), (1, 1): soft(then), (1, 3): soft(then), (2, 0): np.full(3, 1 / 3), (2, 5): np.full(3, 1 / 3), (3, 2): soft(q[:, 1])}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert L.cumulative_posteriors(cells.limit(0), Q).count() == 0
+
+
+def test_observations_of_a_large_class(spark):
+    rows = [(k, [0, 0, 0] if k % 2 else [1, 1, k % 9], [0, 0, 0]) for k in range(600)]
+    found = {r["molecule"]: r["ll"] for r in L.score_observations(spark.createDataFrame(rows, "molecule long, observed array<int>, positive array<int>"), Q, "observed", "positive").collect()}
+    assert len(found) == 600 and np.allclose([found[k] for k in range(600)], numpy_scores(rows))
+
+
+def test_unassigned_and_group_errors(spark):
+    rows = spark.createDataFrame([([0.5, 0.5],), ([0.1, 0.9],), ([0.45, 0.55],)], "post array<double>")
+    assert [r["origin"] for r in A.flag_unassigned(rows, 0.5).collect()] == [0, 1, 1]
+    assert [r["origin"] for r in A.flag_unassigned(rows, 0.6).collect()] == [-1, 1, -1]
+    pairs = spark.createDataFrame([(0, 0.5, 0.25), (1, 0.25, 0.5), (2, 0.25, 0.15)], "origin int, est double, truth double")
+    label = lambda *g: spark.createDataFrame(list(enumerate(g)), "origin int, group_id int")
+    joint = M.group_errors(pairs, label(0, 0, 1), 0.1).first()
+    assert (joint["groups"], joint["resolved"], joint["origin_tv"]) == (2, False, None) and joint["tv"] == pytest.approx(0.1)
+    alone = M.group_errors(pairs, label(0, 1, 2), 0.1).first()
+    assert alone["resolved"] and alone["tv"] == pytest.approx(0.35) == pytest.approx(alone["origin_tv"])
+
+
+def test_estimands(spark):
+    found = spark.createDataFrame([(b, o, w, True) for b, ws in enumerate(((0.5, 0.3, 0.2), (0.1, 0.1, 0.8))) for o, w in enumerate(ws)], "replicate int, origin int, w double, converged boolean")
+    kinds = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b")], "origin int, kind string")
+    features = spark.createDataFrame([(0, 0, 1), (1, 0, 0), (2, 0, 1)], "origin int, feature int, bit int")
+    got = {(r["replicate"], r["estimand"]): r["w"] for r in B.estimands(found, kinds, features, [2]).collect()}
+    assert got == {k: pytest.approx(v) for k, v in {(0, "kind:a"): 0.8, (0, "kind:b"): 0.2, (0, "feature:0"): 0.7, (0, "origin:2"): 0.2, (1, "kind:a"): 0.2, (1, "kind:b"): 0.8, (1, "feature:0"): 0.9, (1, "origin:2"): 0.8}.items()}
+    assert B.intervals(B.estimands(found, kinds, features, [2]), by="estimand").count() == 4
