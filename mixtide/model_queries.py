@@ -19,7 +19,7 @@ from mixtide.operators import repeats as R
 from mixtide.operators import selection as S
 from mixtide.plans import em as E
 from mixtide.plans import panels as P
-from mixtide.plans.conditioning import origin_products
+from mixtide.plans.conditioning import close_groups, origin_products
 from mixtide.queries import (
     _COUNTS,
     _LINE,
@@ -312,3 +312,21 @@ def mt7_groups(spark: SparkSession, d: str) -> DataFrame:
     """Proper scores of the assignments to groups of origins."""
     out = A.assignment_metrics(A.group_posteriors(assignment_pairs(spark, d, list(range(7))), GROUPS))
     return out.select(*[F.round(c, 6).alias(c) for c in ("nll", "brier", "accuracy", "confidence", "overconfidence")], "excluded")
+
+
+@register(
+    "agg14_tolerant_groups",
+    f"""with recursive {_ORDERS}, q as (select origin, list(q order by probe) as row from (select origin, probe, sum(call)::double / count(*) as q from syn where call >= 0 group by all) group by 1),
+m as (select list(row order by origin) as rows from q),
+g(i, reps, first) as (select 0, []::int[], null::int
+  union all select i + 1, case when hit is null then list_append(reps, i) else reps end, coalesce(hit, i)
+  from (select i, reps, list_filter(reps, lambda r: list_bool_and(list_transform(range(1, 9), lambda j: abs(rows[i + 1][j] - rows[r + 1][j]) <= 0.02)))[1] as hit from g, m where i < len(rows)))
+select first, count(*) as members, sum(i - 1)::bigint as total from g where first is not null group by 1""",
+)
+def agg14(spark: SparkSession, d: str) -> DataFrame:
+    """Origins of orders whose calibrated rates differ by at most two hundredths from those of a group's first one."""
+    cells = L.calibrate(order_traces(spark, d))
+    q = cells.groupBy("origin").agg(F.transform(F.sort_array(F.collect_list(F.struct("probe", "q"))), lambda x: x["q"]).alias("q"))
+    found = close_groups(q, 0.02)
+    total = F.aggregate("members", F.lit(0).cast("long"), lambda s, x: s + x)
+    return found.select("first", F.size("members").cast("long").alias("members"), total.alias("total"))

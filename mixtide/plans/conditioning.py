@@ -44,6 +44,52 @@ def conditioning(classes: DataFrame, tol: float = 1e-12) -> dict:
     return {"singular_values": values.tolist(), "rank": len(kept), "condition": float(kept[0] / kept[-1]) if len(kept) else float("inf")}
 
 
+def _matrix_of(emissions: DataFrame) -> np.ndarray:
+    """(origin, q array) of origins 0 .. K - 1 as the K x J matrix that the panel fixes."""
+    rows = emissions.select("origin", "q").orderBy("origin").collect()
+    q = np.array([r["q"] for r in rows], dtype=float)
+    if q.ndim != 2 or not q.size or [r["origin"] for r in rows] != list(range(len(rows))):
+        raise ValueError("emissions must be a matrix of origins 0 .. K - 1 by probes")
+    if not ((q >= 0) & (q <= 1)).all():
+        raise ValueError("emissions must be probabilities")
+    return q
+
+
+def _blocks(emissions: DataFrame, n: int) -> DataFrame:
+    """A row, and a task, for every BLOCK origins."""
+    tasks = -(-n // BLOCK)
+    return emissions.sparkSession.range(0, tasks, 1, tasks).select((F.col("id") * BLOCK).cast("int").alias("block"))
+
+
+def _close(q: np.ndarray, atol: float, rtol: float):
+    """(block) -> origin, near: the earlier origins that a row of the block is close to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column("block").to_pylist():
+                own = range(first, min(first + BLOCK, len(q)))
+                near = [np.flatnonzero((np.abs(q[k] - q[:k]) <= atol + rtol * np.abs(q[:k])).all(axis=1)).tolist() for k in own]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(near, pa.list_(pa.int32()))], names=["origin", "near"])
+
+    return run
+
+
+def close_groups(emissions: DataFrame, atol: float, rtol: float = 0.0) -> DataFrame:
+    """(origin, q array) -> first, members: each origin joins the first group whose first member it is close to (AGG14).
+
+    Close is |q - first's q| <= atol + rtol * |first's q| at every probe. Comparisons run in tasks of BLOCK origins; the
+    choice goes through the origins in order, as it depends on the groups before.
+    """
+    if atol < 0 or rtol < 0:
+        raise ValueError("tolerances must not be negative")
+    q = _matrix_of(emissions)
+    near = {r["origin"]: r["near"] for r in _blocks(emissions, len(q)).mapInArrow(_close(q, atol, rtol), "origin int, near array<int>").collect()}
+    groups: dict[int, list[int]] = {}
+    for k in range(len(q)):
+        groups.setdefault(next((r for r in near[k] if r in groups), k), []).append(k)
+    return emissions.sparkSession.createDataFrame(list(groups.items()), "first int, members array<int>")
+
+
 def _products(q: np.ndarray):
     """(block) -> rows of the inner products of the origins' distributions, with each origin's closest later one."""
 
@@ -72,16 +118,8 @@ def origin_products(emissions: DataFrame) -> DataFrame:
 
     Origins must be 0 .. K - 1. K x J probabilities, which the panel fixes, go to the tasks; each makes BLOCK rows.
     """
-    rows = emissions.select("origin", "q").orderBy("origin").collect()
-    q = np.array([r["q"] for r in rows], dtype=float)
-    if q.ndim != 2 or not q.size or [r["origin"] for r in rows] != list(range(len(rows))):
-        raise ValueError("emissions must be a matrix of origins 0 .. K - 1 by probes")
-    if not ((q >= 0) & (q <= 1)).all():
-        raise ValueError("emissions must be probabilities")
-    spark = emissions.sparkSession
-    n = -(-len(q) // BLOCK)
-    blocks = spark.range(0, n, 1, n).select((F.col("id") * BLOCK).cast("int").alias("block"))
-    return blocks.mapInArrow(_products(q), "origin int, products array<double>, other int, alike double")
+    q = _matrix_of(emissions)
+    return _blocks(emissions, len(q)).mapInArrow(_products(q), "origin int, products array<double>, other int, alike double")
 
 
 def emission_diagnostics(emissions: DataFrame, tol: float = 1e-10) -> dict:

@@ -17,6 +17,10 @@ from mixtide.operators.classes import check_counts, count_classes, drop_invarian
 from mixtide.operators.likelihood import check_q, emission_matrix, score
 
 
+#: Numbers of all partitions' sums (8 bytes each) up to which they meet on the driver; beyond it executors add them up first.
+DIRECT = 1 << 20
+
+
 @dataclass
 class Fit:
     weights: np.ndarray
@@ -60,9 +64,15 @@ def sum_arrays(rows: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def e_step(classes: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Expected counts and log-likelihood of (n, ll) classes at fixed weights (EM1, EM2). K + 1 numbers come back."""
+def e_step(classes: DataFrame, weights: np.ndarray, direct: bool = False) -> tuple[np.ndarray, float]:
+    """Expected counts and log-likelihood of (n, ll) classes at fixed weights (EM1, EM2). K + 1 numbers come back.
+
+    direct: the partitions' sums meet on the driver, which saves a shuffle where they are few.
+    """
     rows = classes.select("n", "ll").mapInArrow(_partial(weights), "expected array<double>, value double")
+    if direct:
+        found = rows.collect()
+        return np.sum([r["expected"] for r in found], axis=0), float(sum(r["value"] for r in found))
     sums = sum_arrays(rows.select(F.concat("expected", F.array("value")).alias("sums")), "sums")
     return (sums[:-1], float(sums[-1])) if len(sums) else (np.zeros(len(weights)), 0.0)
 
@@ -112,21 +122,22 @@ def fit(classes: DataFrame, initial: list[float] | None = None, max_iter: int =
             raise ValueError("log-likelihoods must be finite or -Infinity, with support for every row, and of one length")
         if initial is not None and len(initial) != head["k"]:
             raise ValueError("initial weights must have one entry per origin")
-        return _loop(wide.filter("not flat"), head, initial, max_iter, tol, offset)
+        direct = wide.rdd.getNumPartitions() * (head["k"] + 1) <= DIRECT
+        return _loop(wide.filter("not flat"), head, initial, max_iter, tol, offset, direct)
     finally:
         wide.unpersist()
 
 
-def _loop(informative: DataFrame, head: Row, initial: list[float] | None, max_iter: int, tol: float, offset: float) -> Fit:
+def _loop(informative: DataFrame, head: Row, initial: list[float] | None, max_iter: int, tol: float, offset: float, direct: bool) -> Fit:
     k, total, flat = head["k"], float(head["n"]), float(head["flat"])
     w = np.full(k, 1.0 / k) if initial is None else np.asarray(initial, float) / np.sum(initial)
     history, converged, n_iter, expected = [0.0], True, 0, np.zeros(k)
     if total > flat:
-        expected, value = e_step(informative, w)
+        expected, value = e_step(informative, w, direct)
         history, converged = [value], False
         for n_iter in range(1, max_iter + 1):
             new = expected / expected.sum()
-            expected, value = e_step(informative, new)
+            expected, value = e_step(informative, new, direct)
             move, gain = np.abs(new - w).max(), abs(value - history[-1])
             w = new
             history.append(value)

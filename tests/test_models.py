@@ -17,8 +17,8 @@ from mixtide.operators import selection as S
 from mixtide.plans import bootstrap as B
 from mixtide.plans import em as E
 from mixtide.plans import panels as P
-from mixtide.plans.conditioning import conditioning, emission_diagnostics
-from mixtide.sources import tsv
+from mixtide.plans.conditioning import close_groups, conditioning, emission_diagnostics
+from mixtide.sources import generators, tsv
 
 Q = [[0.9, 0.2, 0.6], [0.3, 0.7, 0.5], [0.1, 0.4, 0.8]]
 COUNTS = "molecule long, observed array<int>, positive array<int>, n long"
@@ -349,3 +349,20 @@ def test_estimands(spark):
     got = {(r["replicate"], r["estimand"]): r["w"] for r in B.estimands(found, kinds, features, [2]).collect()}
     assert got == {k: pytest.approx(v) for k, v in {(0, "kind:a"): 0.8, (0, "kind:b"): 0.2, (0, "feature:0"): 0.7, (0, "origin:2"): 0.2, (1, "kind:a"): 0.2, (1, "kind:b"): 0.8, (1, "feature:0"): 0.9, (1, "origin:2"): 0.8}.items()}
     assert B.intervals(B.estimands(found, kinds, features, [2]), by="estimand").count() == 4
+
+
+def test_close_groups_are_greedy(spark):
+    rng = np.random.default_rng(5)
+    q = rng.integers(0, 4, (150, 2)) / 10 + 0.1
+    frame = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(q)], "origin int, q array<double>")
+    for atol, rtol in ((0.0, 0.0), (0.11, 0.0), (0.0, 0.6)):
+        got = [r["members"] for r in close_groups(frame, atol, rtol).orderBy("first").collect()]
+        assert got == L.tolerant_groups(q.tolist(), atol, rtol)
+    with pytest.raises(ValueError, match="tolerances"):
+        close_groups(frame, -1.0)
+
+
+def test_all_traces_have_all_the_probability(spark):
+    patterns = generators.bit_patterns(spark, 3).select(F.array(*[F.lit(1)] * 3).alias("observed"), F.col("bits").alias("positive"))
+    found = L.score(patterns, Q).select(F.posexplode("ll").alias("origin", "x")).groupBy("origin").agg(F.sum(F.exp("x")).alias("p")).collect()
+    assert len(found) == 3 and all(r["p"] == pytest.approx(1.0) for r in found)
