@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +43,9 @@ from mixtide.queries import (
     table,
     text,
 )
+from mixtide.session import shared_folder
 from mixtide.sources import generators as G
+from mixtide.streaming.refit import fits, refit_stream
 
 SIGMA = 0.8
 _Z, _W = (x.tolist() for x in R.quadrature())
@@ -330,3 +334,34 @@ def agg14(spark: SparkSession, d: str) -> DataFrame:
     found = close_groups(q, 0.02)
     total = F.aggregate("members", F.lit(0).cast("long"), lambda s, x: s + x)
     return found.select("first", F.size("members").cast("long").alias("members"), total.alias("total"))
+
+
+MARKS_Q = [[0.8, 0.2, 0.5], [0.3, 0.7, 0.4], [0.5, 0.5, 0.9], [0.2, 0.3, 0.1]]
+
+
+def line_marks(lines: DataFrame) -> DataFrame:
+    """Each line as a molecule of three calls: quantity, discount and tax against a bound, taxes of accepted lines missing."""
+    tax = (F.col("l_returnflag") != "A").cast("int")
+    hits = F.array((F.col("l_quantity") > 25).cast("int"), (F.col("l_discount") > 0.05).cast("int"), (F.col("l_tax") > 0.04).cast("int") * tax)
+    return lines.select(F.array(F.lit(1), F.lit(1), tax).alias("observed"), hits.alias("positive"))
+
+
+@register(
+    "stream_refit",
+    f"""with recursive m as (select [1, 1, (l_returnflag <> 'A')::int] as observed, [(l_quantity > 25)::int, (l_discount > 0.05)::int, (l_tax > 0.04)::int * (l_returnflag <> 'A')::int] as positive from lineitem),
+classes as (select observed, positive, count(*) as n from m group by 1, 2),
+s as (select row_number() over () as c, n, {_LL(MARKS_Q)} as ll from classes),
+l as (select c, n, generate_subscripts(ll, 1) - 1 as k, unnest(list_transform(ll, lambda x: exp(x - list_max(ll)))) as p from s),
+em(it, k, w) as (select 0, k, 1.0::double / 4 from (select unnest(range(4)) as k)
+  union all select it + 1, k, sum(g) / (select sum(n) from classes) from (select it, l.k, l.n * l.p * w / sum(l.p * w) over (partition by l.c) as g from l join em on l.k = em.k where it < {ITERATIONS}) group by it, k)
+select k as origin, round(w, 6) as weight, (select count(*) from m)::double as n from em where it = {ITERATIONS}""",
+)
+def stream_refit(spark: SparkSession, d: str) -> DataFrame:
+    """The lines read as a stream of files, counted batch by batch and fitted after each."""
+    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
+    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
+    folder = f"{shared_folder(spark)}/refit-{uuid.uuid4().hex}"
+    refit_stream(line_marks(lines), MARKS_Q, folder, ITERATIONS, 0.0).awaitTermination()
+    found = fits(spark, folder)
+    last = found.agg(F.max("batch").alias("batch"))
+    return found.join(F.broadcast(last), "batch").select(F.col("origin").cast("long").alias("origin"), F.round("weight", 6).alias("weight"), "n")
