@@ -302,25 +302,23 @@ def _one_edit(a: Letters, i: np.ndarray, b: Letters, j: np.ndarray) -> np.ndarra
     """Whether words i of a and j of b differ by exactly one inserted, deleted or replaced letter."""
     out = np.zeros(len(i), dtype=bool)
     length = np.maximum(a.size[i], b.size[j])
-    order, k = np.argsort(length, kind="stable"), 0
-    while k < len(order):
-        stop = k + 1
-        while stop < len(order) and (stop - k + 1) * int(length[order[min(len(order), 2 * stop - k) - 1]]) <= LETTERS:
-            stop = min(len(order), 2 * stop - k)
-        part = order[k:stop]
-        x, y, at = a.size[i[part]], b.size[j[part]], np.arange(int(length[part[-1]]))
-        m = np.minimum(x, y)
-        inside = at < m[:, None]
-        take = lambda s, start, size: s.data[np.minimum(start[:, None] + at, len(s.data) - 1)]
-        front = take(a, a.bounds[i[part]], x) == take(b, b.bounds[j[part]], y)
-        # right-aligned: the last m letters of both
-        back = take(a, a.bounds[i[part]] + x - m, x) == take(b, b.bounds[j[part]] + y - m, y)
-        replaced = (~front & inside).sum(axis=1) == 1
-        head = np.logical_and.accumulate(front & inside, axis=1).sum(axis=1)
-        wrong = ~back & inside
-        tail = np.where(wrong.any(axis=1), m - 1 - (len(at) - 1 - np.argmax(wrong[:, ::-1], axis=1)), m)
-        out[part] = np.where(x == y, replaced, (np.abs(x - y) == 1) & (head + tail >= m))
-        k = stop
+    power = np.ceil(np.log2(np.maximum(length, 1))).astype(int)  # words of like length together, so that padding stays small
+    for p in np.unique(power):
+        alike, step = np.flatnonzero(power == p), max(1, LETTERS >> int(p))
+        for k in range(0, len(alike), step):
+            part = alike[k : k + step]
+            x, y, at = a.size[i[part]], b.size[j[part]], np.arange(int(length[part].max()))
+            m = np.minimum(x, y)
+            inside = at < m[:, None]
+            letters = lambda s, start: s.data[np.minimum(start[:, None] + at, len(s.data) - 1)]  # noqa: B023, E731
+            front = letters(a, a.bounds[i[part]]) == letters(b, b.bounds[j[part]])
+            # right-aligned: the last m letters of both
+            back = letters(a, a.bounds[i[part]] + x - m) == letters(b, b.bounds[j[part]] + y - m)
+            replaced = (~front & inside).sum(axis=1) == 1
+            head = np.logical_and.accumulate(front & inside, axis=1).sum(axis=1)
+            wrong = ~back & inside
+            tail = np.where(wrong.any(axis=1), m - 1 - (len(at) - 1 - np.argmax(wrong[:, ::-1], axis=1)), m)
+            out[part] = np.where(x == y, replaced, (np.abs(x - y) == 1) & (head + tail >= m))
     return out
 
 
