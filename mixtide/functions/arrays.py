@@ -35,7 +35,11 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"row": table["row"].slice(0, 1), "vec": lists(matrix(table["vec"].combine_chunks(), None, "vec").sum(axis=0, keepdims=True))})
 
 
+def summed_rows(rows: DataFrame) -> DataFrame:
+    """(row, vec) -> the sum of each row's arrays, on executors."""
+    return rows.groupBy("row").applyInArrow(_summed, "row int, vec array<double>")
+
+
 def sum_rows(rows: DataFrame) -> dict[int, np.ndarray]:
-    """(row, vec) -> the sum of each row's arrays, on executors; as many arrays come back as there are rows."""
-    summed = rows.groupBy("row").applyInArrow(_summed, "row int, vec array<double>")
-    return {r["row"]: np.array(r["vec"]) for r in summed.collect()}
+    """summed_rows on the driver: as many arrays come back as there are rows."""
+    return {r["row"]: np.array(r["vec"]) for r in summed_rows(rows).collect()}

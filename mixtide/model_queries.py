@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mixtide.assignment_queries import _pairs as assignment_pairs
 from mixtide.assignment_queries import _sql as assignment_sql
-from mixtide.functions.math import first_argmax
+from mixtide.functions.math import cpm, first_argmax
 from mixtide.operators import assignment as A
 from mixtide.operators import classes as C
 from mixtide.operators import evidence as V
@@ -19,9 +19,10 @@ from mixtide.operators import membership as N
 from mixtide.operators import metrics as M
 from mixtide.operators import repeats as R
 from mixtide.operators import selection as S
+from mixtide.plans import bootstrap as B
 from mixtide.plans import em as E
 from mixtide.plans import panels as P
-from mixtide.plans.conditioning import close_groups, origin_products
+from mixtide.plans.conditioning import close_groups, origin_products, score_gram
 from mixtide.queries import (
     _COUNTS,
     _LINE,
@@ -365,3 +366,52 @@ def stream_refit(spark: SparkSession, d: str) -> DataFrame:
     found = fits(spark, folder)
     last = found.agg(F.max("batch").alias("batch"))
     return found.join(F.broadcast(last), "batch").select(F.col("origin").cast("long").alias("origin"), F.round("weight", 6).alias("weight"), "n")
+
+
+@register(
+    "mt17_score_gram",
+    f"""with {_ORDERS}, {_COUNTS(8, "syn")}, s as (select n, {_LL(Q)} as ll from classes), c as (select n, list_transform(ll, lambda x: x - list_avg(ll)) as x from s),
+k as (select unnest(range(8)) as a) select k.a as a, j.a as b, round(sum(n * x[k.a + 1] * x[j.a + 1]), 4) + 0.0 as value from c, k, k j group by all""",
+)
+def mt17_gram(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted products of the order classes' centred scores."""
+    found = score_gram(L.score(order_classes(spark, d), Q)).select(F.col("row").cast("long").alias("a"), F.posexplode("vec").alias("b", "x"))
+    return found.select("a", F.col("b").cast("long").alias("b"), (F.round("x", 4) + 0.0).alias("value"))
+
+
+@register(
+    "bs1_draw_totals",
+    f"""with {_ORDERS}, {_COUNTS(8, "syn")} select r as replicate, (select count(*) from counts) as total from (select unnest(range(50)) as r)""",
+)
+def bs1_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Every bootstrap replicate draws as many molecules as there are orders with lines."""
+    draws = B.resample(L.score(order_classes(spark, d), Q), 50)
+    each = draws.select(F.posexplode("draws").alias("replicate", "x")).groupBy(F.col("replicate").cast("long").alias("replicate"))
+    return each.agg(F.sum("x").alias("total"))
+
+
+@register("prj8_cpm", "select o_orderpriority as priority, round_even(count(*) / sum(count(*)) over () * 1000000, 0)::bigint as cpm from orders group by 1")
+def prj8(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of each priority per million."""
+    found = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
+    total = found.agg(F.sum("n").alias("total"))
+    return found.crossJoin(F.broadcast(total)).select("priority", cpm(F.col("n") / F.col("total")).alias("cpm"))  # one row
+
+
+_CENTRES = [5.0, 25.0, 45.0]
+
+
+@register(
+    "em4_supplied_likelihoods",
+    f"""with recursive c as (select l_quantity as q, count(*) as n from lineitem group by 1),
+l as (select q, n, k, exp(-pow(q - ({_CENTRES}::double[])[k + 1], 2) / 200) as p from c, (select unnest(range(3)) as k)),
+em(it, k, w) as (select 0, k, 1.0::double / 3 from (select unnest(range(3)) as k)
+  union all select it + 1, k, sum(g) / (select sum(n) from c) from (select it, l.k, l.n * l.p * w / sum(l.p * w) over (partition by l.q) as g from l join em on l.k = em.k where it < {ITERATIONS}) group by it, k)
+select k as origin, round(w, 6) as weight from em where it = {ITERATIONS}""",
+)
+def em4(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as draws around three quantities, by likelihoods that the caller gives."""
+    q = F.col("l_quantity")
+    classes = table(spark, d, "lineitem").groupBy(q).agg(F.count("*").alias("n"))
+    found = E.fit_em(classes.select("n", F.array(*[-F.pow(q - c, F.lit(2)) / 200 for c in _CENTRES]).alias("ll")), max_iter=ITERATIONS, tol=0.0)
+    return spark.createDataFrame([(k, round(float(w), 6)) for k, w in enumerate(found.weights)], "origin long, weight double")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixtide.functions.arrays import lists, matrix, sum_rows
+from mixtide.functions.arrays import lists, matrix, summed_rows
 
 #: Origins of the rows of a product that one task computes.
 BLOCK = 128
@@ -33,9 +33,14 @@ def _spectrum(gram: np.ndarray) -> np.ndarray:
     return np.linalg.eigvalsh((gram + gram.T) / 2)[::-1]
 
 
+def score_gram(classes: DataFrame) -> DataFrame:
+    """(ll finite, n) -> row, vec: the K x K sum of n times the products of row-centred scores, added up on executors (MT17)."""
+    return summed_rows(classes.filter("n > 0").select("ll", "n").mapInArrow(_gram, "row int, vec array<double>"))
+
+
 def conditioning(classes: DataFrame, tol: float = 1e-12) -> dict:
     """(ll finite, n) -> singular values, rank and condition over the retained ones (MT17); the K x K sum is made on executors."""
-    rows = sum_rows(classes.filter("n > 0").select("ll", "n").mapInArrow(_gram, "row int, vec array<double>"))
+    rows = {r["row"]: r["vec"] for r in score_gram(classes).collect()}
     if not rows:
         return {"singular_values": [], "rank": 0, "condition": float("inf")}
     k = len(rows)
