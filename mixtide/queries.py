@@ -411,7 +411,7 @@ def ll2_panel(spark, d):
 @register("em5_panel_fit")
 def em5_panel(spark, d):
     """fit_em over the panel, to convergence: 768 origins, 12 probes, all orders."""
-    found = E.fit_em(panel_traces(spark, d), G.panel_q(spark), max_iter=500, tol=1e-5)
+    found = E.fit_em(panel_traces(spark, d), G.panel_q(spark), max_iter=300, tol=1e-4)
     weights = origins(spark, found.weights, "weight")
     return G.panel(spark).join(weights, "origin").select("origin", "candidate_id", F.round("weight", 9).alias("weight"), cpm(F.col("weight")).alias("cpm"))
 
