@@ -28,7 +28,7 @@ def detection(pairs: DataFrame, total: float, least: float = 20.0) -> DataFrame:
 
 
 def auroc(scored: DataFrame) -> DataFrame:
-    """(score, label) -> auroc with average ranks on ties (MT13). Scores are counted before they are ranked."""
+    """(score, label) -> auroc with average ranks on ties (MT13). Scores are counted before they are ranked; null ones rank lowest."""
     by_score = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
     ranked = running_totals(by_score, [F.col("score")], "n").withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
@@ -36,7 +36,7 @@ def auroc(scored: DataFrame) -> DataFrame:
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
-    """(id, score, label) -> ap; ties go by id (MT14)."""
+    """(id, score, label) -> ap; ties go by id, null scores come last (MT14)."""
     run = running_totals(scored.withColumn("one", F.lit(1)), [F.col("score").desc(), F.col("id")], "one", "label")
     precision = (F.col("before_label") + 1) / (F.col("before_one") + 1)
     return run.agg(F.try_divide(F.sum(F.when(F.col("label") == 1, precision).otherwise(0.0)), F.sum("label")).alias("ap"))
