@@ -16,7 +16,10 @@ level by level while the summed minima of their boxes allow a link, then pairs o
 verified on the sets. Cells with the same points are one cell.
 
 Components need no pair inside a component already known: first each cell's points meet its smallest one, then those of
-other components meet its point of most links, and only points that are still in different components descend. No group is gathered in one task, no row is dropped.
+other components meet its point of most links, its middle, and only points that are still in different components descend.
+Boxes do not separate texts of one template, whose own words are scattered. So a large cell is first cut again, at the
+members that its middle lacks: two linked points with many of those share some (see _cut). No group is gathered in one
+task, no row is dropped.
 """
 
 from __future__ import annotations
@@ -38,6 +41,12 @@ PAGE = 256
 FAN = 64
 #: Slabs beyond the D + 1 that must be there, as a share of D: the emptiest slabs are never entered.
 SPARE = 0.35
+#: Points of a cell beyond which it may be cut at the members that its middle lacks.
+LARGE = 1024
+#: What a pair of a light point costs, as a row of its own, in pairs of points that meet inside pages.
+LIGHT_COST = 100
+#: Copies of a middle, so that the points of a large cell meet it in several tasks.
+SALTS = 32
 #: Points that a task remembers to enter equal sets once; a point that it has forgotten is entered again, which changes nothing.
 REMEMBERED = 1_000_000
 #: A count that stands for itself or more; a coordinate where both points have it bounds nothing.
@@ -313,6 +322,62 @@ def _search(cells: DataFrame, vectors: DataFrame, percent: int, tables: Tables)
     return tables.write(met.distinct(), "met", spark)
 
 
+def _unlike(cells: DataFrame) -> DataFrame:
+    """(leaf, point, label) -> leaf, size of the cells with different components; of cells with the same points one."""
+    marks = [F.bit_xor(F.xxhash64("point")).alias("x"), F.bit_xor(F.xxhash64("point", F.lit(1))).alias("y")]
+    several = cells.groupBy("leaf").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), *marks)
+    return several.filter("low < high").groupBy("size", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf", "size")
+
+
+def _lacking(points: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """(middle, point, n, ...) with beyond, the point's members that its middle lacks, in order, and most.
+
+    most is the largest symmetric difference that a point of n members can have from one that it links to.
+    """
+    salt = F.pmod(F.xxhash64("point"), F.lit(SALTS)).cast("int").alias("salt")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    middles = points.select("middle").distinct().join(vectors.select(F.col("point").alias("middle"), F.col("members").alias("base")), "middle")
+    met = points.join(vectors.select("point", "members"), "point").select("*", salt).join(middles.select("*", copies), ["middle", "salt"])
+    partner = F.floor(F.col("n") * 100 / percent)
+    most = F.floor((100 - percent) * (F.col("n") + partner) / (100 + percent)).alias("most")
+    return met.select(*points.columns, F.array_sort(F.array_except("members", "base")).alias("beyond"), most)
+
+
+def _cut(cells: DataFrame, vectors: DataFrame, percent: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Large cells (leaf, point, n, label, middle, size) -> smaller cells (leaf, point, n, label), and pairs (a, b, na, nb).
+
+    Let r be how many members of a point its middle lacks, and d the most that it may differ by from a partner. Two linked
+    points share at least (r + r' - d) / 2 of those, so more than (2 r - d) / 4 where both are heavy: 2 r > d. The first
+    members in order, all but that many, then meet in one at least, and name the cells below. Pairs with a light point are
+    made one by one. A middle whose cells would not get cheaper so, counted in pairs, keeps them as they are.
+    """
+    points = tables.write(cells.select("middle", "point", "n", "label").distinct(), "points")
+    r, most = F.size("beyond"), F.col("most")
+    light = (2 * r <= most).alias("light")
+    own = F.when(2 * r > most, F.slice("beyond", 1, (r - F.floor((2 * r - most) / 4)).cast("int")))
+    named = tables.write(_lacking(points, vectors, percent).select("middle", "point", "n", "label", light, own.alias("own")), "named")
+    below = named.select("middle", "point", "n", "label", F.explode("own").alias("member"))
+    below = tables.write(below.select("middle", F.xxhash64("middle", "member").alias("leaf"), "point", "n", "label"), "below")
+    of_cells = lambda rows: rows.groupBy("middle", "leaf").agg(F.count("*").cast("double").alias("size")).groupBy("middle")
+    before = of_cells(cells).agg(F.sum(F.col("size") * F.col("size")).alias("before"))
+    after = of_cells(below).agg(F.sum(F.when(F.col("size") > 1, F.col("size") * F.col("size")).otherwise(0.0)).alias("after"))
+    lights = named.groupBy("middle").agg((F.count("*") * F.count_if("light") * LIGHT_COST).alias("lights"))
+    costs = before.join(after, "middle", "left").join(lights, "middle", "left")
+    cheaper = tables.write(costs.filter(F.coalesce("after", F.lit(0.0)) + F.col("lights") < F.col("before")).select("middle"), "cheaper")
+
+    inside = below.join(small_enough(cheaper), "middle", "left_semi").select("leaf", "point", "n", "label")
+    kept = cells.join(small_enough(cheaper), "middle", "left_anti").select("leaf", "point", "n", "label")
+    cut = tables.write(kept.unionByName(inside.join(_unlike(inside), "leaf", "left_semi")), "cut")
+    salted = named.join(small_enough(cheaper), "middle", "left_semi").select("middle", "point", "n", "label", "light", F.pmod(F.xxhash64("point"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    one = salted.filter("light").select("middle", F.col("point").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), copies)
+    met = one.join(salted, ["middle", "salt"]).filter("lp <> label and (not light or p < point)")
+    first = F.col("p") < F.col("point")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y)).cast("long")
+    pairs = met.select(pick("p", "point").alias("a"), pick("point", "p").alias("b"), pick("np", "n").alias("na"), pick("n", "np").alias("nb"))
+    return cut, tables.write(pairs.distinct(), "pairs")
+
+
 def _merged(label: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
     """(id, label) of components, with further links (a, b)."""
     if links.isEmpty():
@@ -353,11 +418,17 @@ def _components(docs: DataFrame, n: int, percent: int, tables: Tables) -> tuple[
     label = _merged(label, tables.write(_verified(star, vectors, percent, tables), "links"), tables)
 
     # all pairs with those two points have been tried; of cells with the same other points one is searched
-    rest = second.filter("point <> hub and point <> best.point").select("leaf", "point", "n").join(label.withColumnRenamed("id", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
-    several = rest.groupBy("leaf").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("point")).alias("x"), F.bit_xor(F.xxhash64("point", F.lit(1))).alias("y"))
-    once = several.filter("low < high").groupBy("size", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf")
-    open_ = tables.write(rest.join(once, "leaf"), "open")
-    label = _merged(label, tables.write(_verified(_search(open_, vectors, percent, tables), vectors, percent, tables), "links"), tables)
+    rest = second.filter("point <> hub and point <> best.point").select("leaf", "point", "n", F.col("best.point").alias("middle"))
+    rest = rest.join(label.withColumnRenamed("id", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
+    open_ = tables.write(rest.join(_unlike(rest), "leaf"), "open")
+    large = open_.filter(F.col("size") > LARGE)
+    cells, pairs = open_.select("leaf", "point", "n", "label"), None
+    if not large.isEmpty():
+        cut, pairs = _cut(large, vectors, percent, tables)
+        cells = open_.filter(F.col("size") <= LARGE).select("leaf", "point", "n", "label").unionByName(cut)
+    found = _search(cells, vectors, percent, tables)
+    found = found if pairs is None else found.unionByName(pairs).distinct()
+    label = _merged(label, tables.write(_verified(found, vectors, percent, tables), "links"), tables)
 
     base = owner.select("point", "own", "copies").join(label.withColumnRenamed("id", "point"), "point", "left").filter("copies > 1 or label is not null")
     base = base.select("point", "own", F.coalesce("label", "point").alias("root"))

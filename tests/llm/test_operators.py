@@ -281,6 +281,76 @@ def test_tree_of_several_levels_equals_brute_force(spark, monkeypatch):
     assert len(set(own.values())) > 3 and {r["doc_id"]: r["component_id"] for r in found.collect()} == own
 
 
+@pytest.mark.parametrize("light_cost", [0, 1e9])
+def test_cells_of_one_template_are_cut(spark, monkeypatch, light_cost):
+    """Texts of a template with words of their own, near copies of some, and short ones that lack it in part: cut or not, no link is lost."""
+    from mixtide.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "LARGE", 8)
+    monkeypatch.setattr(ngram_join, "LIGHT_COST", light_cost)
+    cuts = []
+    cut = ngram_join._cut
+
+    def counted(cells, *rest):
+        found, pairs = cut(cells, *rest)
+        cuts.append((cells.groupBy("leaf").count().agg(F.max("count")).first()[0], (found.groupBy("leaf").count().agg(F.max("count")).first()[0] or 0), pairs.count()))
+        return found, pairs
+
+    monkeypatch.setattr(ngram_join, "_cut", counted)
+    rng = random.Random(17)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for d in range(90):
+        rows.append((d, " ".join(base + [f"d{d}x{k}" for k in range(30)])))
+        if d % 9 == 0:
+            w = rows[-1][1].split()
+            w[rng.randrange(125, 145)] = "other"
+            rows.append((200 + d, " ".join(w)))
+    rows += [(400 + d, " ".join(base[: 100 + d % 3] + [f"s{d // 4}"])) for d in range(12)]
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    own = {d: d for d in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in range(30):
+        for a, b in links:
+            own[a] = own[b] = min(own[a], own[b])
+    found = ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert len(set(own.values())) > 20 and {r["doc_id"]: r["component_id"] for r in found.collect()} == own
+    (before, after, pairs), = cuts
+    assert (after < before / 4) if not light_cost else (after == before and not pairs)
+
+
+def test_cut_keeps_linked_pairs_together(spark):
+    """Any two linked sets of a large cell, light or heavy against any middle, meet in a cell below or as a pair."""
+    from mixtide.llm import ngram_join
+    from mixtide.llm._common import Tables
+
+    rng = np.random.default_rng(23)
+    middle = np.unique(rng.integers(-(1 << 62), 1 << 62, 120))
+    sets = []
+    for family in range(12):
+        kept, new = rng.integers(30, 120), rng.integers(0, 60)
+        root = np.concatenate([rng.permutation(middle)[:kept], rng.integers(-(1 << 62), 1 << 62, new)])
+        for _ in range(6):
+            gone = rng.integers(0, max(1, len(root) // 8))
+            sets.append(np.unique(np.concatenate([rng.permutation(root)[gone:], rng.integers(-(1 << 62), 1 << 62, rng.integers(0, max(1, len(root) // 8)))])))
+    vectors = spark.createDataFrame([(-1, middle.tolist())] + [(k, s.tolist()) for k, s in enumerate(sets)], "point long, members array<long>")
+    cells = spark.createDataFrame([(7, k, len(s), k, -1, len(sets)) for k, s in enumerate(sets)], "leaf long, point long, n int, label long, middle long, size long")
+    links = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    for cost in (0, 1e9):
+        ngram_join.LIGHT_COST, kept_cost = cost, ngram_join.LIGHT_COST
+        try:
+            with Tables(spark) as tables:
+                cut, pairs = ngram_join._cut(cells, vectors, 80, tables)
+                by = collections.defaultdict(set)
+                for r in cut.collect():
+                    by[r["leaf"]].add(r["point"])
+                made = {(r["a"], r["b"]) for r in pairs.collect()}
+        finally:
+            ngram_join.LIGHT_COST = kept_cost
+        met = made | {(a, b) for v in by.values() for a in v for b in v if a < b}
+        assert len(links) > 30 and links <= met
+
+
 def test_slabs_and_cells_lose_no_pair():
     """Linked sets of any sizes share a leaf; the streaming pass keeps all leaves of two points or more."""
     from mixtide.llm.ngram_join import _cells, leaves
