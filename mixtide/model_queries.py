@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixtide.assignment_queries import _pairs as assignment_pairs
@@ -198,10 +198,15 @@ _ACCEPTED = "list_sum(positive[1:4]) > 0 and list_sum(positive[5:8]) > 0"
 _GATED = f"select 0 as s, n, {_LL(Q)} as ll from classes where {_ACCEPTED} union all select 1 as s, n, list_transform({_LL(Q)}, lambda x, k: x - ln(({_VISIBLE}::double[])[k])) as ll from classes where {_ACCEPTED}"
 
 
+def shown() -> Column:
+    """Counts have a positive call in every gate."""
+    one, two = (F.aggregate(F.slice("positive", g[0] + 1, len(g)), F.lit(0), lambda s, x: s + x) > 0 for g in GATES)
+    return one & two
+
+
 def accepted(counts: DataFrame) -> DataFrame:
     """(observed, positive) rows with a positive call in every gate."""
-    shown = [F.aggregate(F.slice("positive", g[0] + 1, len(g)), F.lit(0), lambda s, x: s + x) > 0 for g in GATES]
-    return counts.filter(shown[0] & shown[1])
+    return counts.filter(shown())
 
 
 @register(
@@ -227,9 +232,8 @@ select origin, n_source, n_accepted, round(n_source / sum(n_source) over (), 9)
 )
 def agg21(spark: SparkSession, d: str) -> DataFrame:
     """Shares and yields of the orders' origins before and behind the gates."""
-    counts = C.probe_counts(order_traces(spark, d), 8)
-    shown = accepted(counts).select("molecule", F.lit(True).alias("accepted"))
-    met = counts.select("molecule").join(shown, "molecule", "left").join(order_origins(spark, d), "molecule")
+    counts = C.probe_counts(order_traces(spark, d), 8).select("molecule", shown().alias("accepted"))
+    met = counts.join(order_origins(spark, d), "molecule").select("origin", "accepted")
     found = S.empirical_yield(met)
     return found.select(F.col("origin").cast("long").alias("origin"), "n_source", "n_accepted", *[F.round(c, 9).alias(c) for c in ("source", "analyzed", "yield")])
 

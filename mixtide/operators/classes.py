@@ -6,12 +6,26 @@ aggregations with partial sums; nothing is numbered over molecules.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 #: A class of over 1 / HEAVY of all molecules is joined by broadcast: there are fewer than HEAVY of them.
 HEAVY = 1000
+#: Rows that meet in a task, on average, where those of a molecule do.
+TOGETHER = 500_000
+
+
+def meet(rows: DataFrame) -> DataFrame:
+    """rows dealt by molecule over so many tasks that each gets about TOGETHER of them, one for each core at least.
+
+    What a join or a grouping by molecule then holds in a task does not grow with the rows, and neither moves them again.
+    The rows are counted first.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / TOGETHER))
+    return rows.repartition(tasks, "molecule")
 
 
 def invalid_calls(traces: DataFrame) -> DataFrame:
@@ -71,8 +85,6 @@ def drop_invariant_probes(classes: DataFrame, q: list[list[float]]) -> tuple[Dat
     The returned Column is an aggregate over classes: sum of n * (positive * ln p + negative * ln(1 - p)); the kept classes
     have their share of it as log_offset.
     """
-    import math
-
     keep = [j for j in range(len(q[0])) if len({row[j] for row in q}) > 1]
     gone = [j for j in range(len(q[0])) if j not in keep]
     term = F.lit(0.0)

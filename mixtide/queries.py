@@ -65,10 +65,12 @@ def order_origins(spark: SparkSession, d: str) -> DataFrame:
 def order_traces(spark: SparkSession, d: str) -> DataFrame:
     """molecule, origin, cycle, probe, call: quantity, discount and tax of each line against a bound; taxes of accepted lines are missing."""
     tax = F.when(F.col("l_returnflag") == "A", -1).otherwise((F.col("l_tax") > 0.04).cast("int"))
-    calls = F.array((F.col("l_quantity") > 25).cast("int"), (F.col("l_discount") > 0.05).cast("int"), tax)
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("molecule"), "l_linenumber", F.posexplode(calls).alias("kind", "call"))
-    cells = lines.withColumn("cycle", (F.col("l_linenumber") - 1) * 3 + F.col("kind"))
-    return cells.join(order_origins(spark, d), "molecule").select("molecule", "origin", "cycle", (F.col("cycle") % 8).alias("probe"), "call")
+    marks = [(F.col("l_quantity") > 25).cast("int").alias("quantity"), (F.col("l_discount") > 0.05).cast("int").alias("discount"), tax.alias("tax")]
+    lines = C.meet(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("molecule"), "l_linenumber", *marks))
+    met = lines.join(order_origins(spark, d), "molecule")
+    kinds = met.select("molecule", "origin", "l_linenumber", F.posexplode(F.array("quantity", "discount", "tax")).alias("kind", "call"))
+    cells = kinds.withColumn("cycle", (F.col("l_linenumber") - 1) * 3 + F.col("kind"))
+    return cells.select("molecule", "origin", "cycle", (F.col("cycle") % 8).alias("probe"), "call")
 
 
 def order_classes(spark: SparkSession, d: str) -> DataFrame:
