@@ -24,8 +24,8 @@ KEPT = list(range(7))
 
 def _labelled(spark: SparkSession, d: str, kept: list[int]) -> DataFrame:
     """Molecules with counts and the place of their origin in the decoder."""
-    truth = order_origins(spark, d).select("molecule", A.decoder_truth(F.col("origin"), kept).alias("truth"))
-    return C.probe_counts(order_traces(spark, d), 8).join(truth, "molecule")
+    counts = C.probe_counts(order_traces(spark, d), 8, F.max("origin").alias("origin"))
+    return counts.withColumn("truth", A.decoder_truth(F.col("origin"), kept)).drop("origin")
 
 
 def _scored(rows: DataFrame, kept: list[int]) -> DataFrame:

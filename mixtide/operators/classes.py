@@ -33,8 +33,8 @@ def invalid_calls(traces: DataFrame) -> DataFrame:
     return traces.filter(F.col("call").isNotNull() & ~F.col("call").isin(-1, 0, 1))
 
 
-def probe_counts(traces: DataFrame, n_probes: int) -> DataFrame:
-    """(molecule, probe, call) -> molecule, observed, positive: counts per logical probe (AGG3, first half).
+def probe_counts(traces: DataFrame, n_probes: int, *more: Column) -> DataFrame:
+    """(molecule, probe, call) -> molecule, observed, positive: counts per logical probe (AGG3, first half), with more aggregates.
 
     Calls other than -1, 0, 1 and null (FLT1) and probes outside 0 .. n_probes - 1 or null (FLT3) are errors.
     """
@@ -43,7 +43,7 @@ def probe_counts(traces: DataFrame, n_probes: int) -> DataFrame:
     call = F.when(F.coalesce(F.col("call"), F.lit(-1)).isin(-1, 0, 1), F.col("call")).otherwise(F.raise_error(F.lit("calls must be -1, 0 or 1")).cast("int"))
     probe = F.when(F.col("probe").between(0, n_probes - 1), F.col("probe")).otherwise(F.raise_error(F.lit("a probe is outside the schedule")).cast("int"))
     checked = traces.withColumns({"call": call, "probe": probe})
-    return checked.groupBy("molecule").agg(F.array(*[seen(j) for j in range(n_probes)]).alias("observed"), F.array(*[hit(j) for j in range(n_probes)]).alias("positive"))
+    return checked.groupBy("molecule").agg(F.array(*[seen(j) for j in range(n_probes)]).alias("observed"), F.array(*[hit(j) for j in range(n_probes)]).alias("positive"), *more)
 
 
 def whole_count(n: Column) -> Column:

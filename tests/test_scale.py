@@ -1,5 +1,6 @@
 """What a task holds, and how often the tables are read, where the tables grow."""
 
+from mixtide import assignment_queries as AQ
 from mixtide import model_queries as MQ
 from mixtide import queries as core
 from mixtide.operators import classes as C
@@ -25,3 +26,8 @@ def test_tasks_grow_with_the_lines(spark, monkeypatch):
 
 def test_yields_read_the_lines_once(spark):
     assert scans(MQ.agg21(spark, SF), "l_orderkey") == 1
+
+
+def test_assignments_read_the_orders_once(spark):
+    for query in (AQ.flt13, AQ.mt7, AQ.mt10):
+        assert scans(query(spark, SF), "o_orderkey") == 1
