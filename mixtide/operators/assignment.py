@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mixtide.functions.math import bind, first_argmax
 from mixtide.operators.metrics import auroc, average_precision
+from mixtide.session import use_checkpoints
 
 #: The smallest positive normal double, under logarithms.
 TINY = 2.2250738585072014e-308
@@ -74,12 +75,14 @@ def outlier_report(rows: DataFrame, accept: float = 0.8, digits: int = 9) -> Dat
     MT15. AUPRC is the average precision, ties by molecule; both are null unless there are outliers and others.
     """
     calls = F.greatest(F.aggregate("observed", F.lit(0), lambda s, x: s + x), F.lit(1))
-    label, top = (F.col("truth") < 0).cast("int").alias("label"), F.array_max("post")
-    scores = {"posterior": F.round(-top, digits), "likelihood": F.round(-F.array_max("ll") / calls, digits)}
-    out, conf = F.col("truth") < 0, F.round(top, digits)
-    rest = rows.agg(F.avg(F.when(out, (conf >= accept).cast("double"))).alias("false_accept"), F.avg(F.when(out, conf)).alias("outlier_confidence"), F.avg(F.when(~out, conf)).alias("inlier_confidence"))
-    for name, score in scores.items():
-        scored = rows.select(F.col("molecule").alias("id"), score.alias("score"), label)
+    top, likelihood = F.array_max("post"), F.round(-F.array_max("ll") / calls, digits)
+    use_checkpoints(rows.sparkSession)
+    narrow = rows.select(F.col("molecule").alias("id"), (F.col("truth") < 0).cast("int").alias("label"), F.round(-top, digits).alias("posterior"), likelihood.alias("likelihood"), F.round(top, digits).alias("conf"))
+    kept = narrow.checkpoint()  # read by the means and twice for each score
+    out, conf = F.col("label") == 1, F.col("conf")
+    rest = kept.agg(F.avg(F.when(out, (conf >= accept).cast("double"))).alias("false_accept"), F.avg(F.when(out, conf)).alias("outlier_confidence"), F.avg(F.when(~out, conf)).alias("inlier_confidence"))
+    for name in ("posterior", "likelihood"):
+        scored = kept.select("id", F.col(name).alias("score"), "label")
         roc = auroc(scored).withColumnRenamed("auroc", f"auroc_{name}")
         prc = average_precision(scored).withColumnRenamed("ap", f"auprc_{name}")
         rest = rest.join(F.broadcast(roc), how="cross").join(F.broadcast(prc), how="cross")  # one row each

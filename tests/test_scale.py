@@ -31,3 +31,7 @@ def test_yields_read_the_lines_once(spark):
 def test_assignments_read_the_orders_once(spark):
     for query in (AQ.flt13, AQ.mt7, AQ.mt10):
         assert scans(query(spark, SF), "o_orderkey") == 1
+
+
+def test_outlier_report_reads_no_table_again(spark):
+    assert scans(AQ.mt15(spark, SF), "l_orderkey") == 0
