@@ -17,6 +17,7 @@ from mixtide.plans import bootstrap as B
 from mixtide.plans import em as E
 from mixtide.plans.conditioning import conditioning
 from mixtide.queries import _COUNTS, _EM, _LL, _ORDERS, _TRUTH, _U, ITERATIONS, PROFILES, WEIGHTS, Q, order_classes, order_origins, order_traces, origins, register, truth_pairs
+from mixtide.session import use_checkpoints
 
 #: The decoder of the outlier queries leaves the last origin out.
 KEPT = list(range(7))
@@ -134,7 +135,8 @@ def mt5(spark, d):
 
 @register("bs1_bootstrap_intervals")
 def bs1(spark, d):
-    scored = L.score(order_classes(spark, d), Q)
+    use_checkpoints(spark)
+    scored = L.score(order_classes(spark, d), Q).checkpoint()  # the fit and the draws both read it
     return B.intervals(B.bootstrap(scored, E.fit(scored).weights))
 
 
@@ -150,7 +152,8 @@ def bs1_hard(spark, d):
 @register("bs4_estimands")
 def bs4(spark, d):
     """Intervals of an order's status, of its price and priority, and of the larger origins."""
-    scored = L.score(order_classes(spark, d), Q)
+    use_checkpoints(spark)
+    scored = L.score(order_classes(spark, d), Q).checkpoint()  # the fit and the draws both read it
     base = E.fit(scored)
     n = base.expected_counts.sum()
     kinds = spark.createDataFrame([(k, k >> 2) for k in range(8)], "origin int, kind int")

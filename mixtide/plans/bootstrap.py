@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixtide.functions.arrays import lists, matrix, sum_rows
+from mixtide.plans.em import DIRECT, step_tasks
 from mixtide.session import use_checkpoints
 
 #: Classes are dealt to so many buckets by their content; the buckets' totals, and each replicate's share of them, pass through the driver.
@@ -126,15 +127,17 @@ def bootstrap(
 
     em: from the point estimate start, until the likelihood moves by at most tol * (1 + its size) and no weight by more than tol;
     a replicate that does not get there in max_iter steps has null weights. hard: each class's draws go to its first
-    likeliest origin; start gives the number of origins alone. Executors add up the replicates' sums.
+    likeliest origin; start gives the number of origins alone. Executors add up the replicates' sums, where they are not few.
     """
     if estimator not in ("em", "hard"):
         raise ValueError("the estimator must be em or hard")
     spark, k = classes.sparkSession, len(start)
-    drawn = resample(classes, replicates, seed).cache()
+    whole = resample(classes, replicates, seed).cache()
+    tasks = step_tasks(whole, whole.count() * replicates * k)  # the count draws in all partitions, into the cache
+    drawn, direct = whole.coalesce(tasks), tasks * replicates * (k + 1) <= DIRECT
     done = np.zeros(replicates, bool)
     if estimator == "hard":
-        found = sum_rows(drawn.mapInArrow(_hard(k), "row int, vec array<double>"))
+        found = sum_rows(drawn.mapInArrow(_hard(k), "row int, vec array<double>"), direct)
         done[list(found)] = True
         w = np.array([found[b] / found[b].sum() if done[b] else np.zeros(k) for b in range(replicates)])
     else:
@@ -143,7 +146,7 @@ def bootstrap(
         value = np.full(replicates, np.nan)
         for _ in range(max_iter + 1):
             active = np.flatnonzero(~done)
-            found = sum_rows(drawn.mapInArrow(_sums(w, active), "row int, vec array<double>"))
+            found = sum_rows(drawn.mapInArrow(_sums(w, active), "row int, vec array<double>"), direct)
             if not any(found[b][:-1].sum() for b in found):
                 break  # no rows
             for b in active:
@@ -153,7 +156,7 @@ def bootstrap(
                 w[b], value[b] = (w[b] if done[b] else new), at
             if done.all():
                 break
-    drawn.unpersist()
+    whole.unpersist()
     rows = [(b, o, float(w[b, o]) if done[b] else None, bool(done[b])) for b in range(replicates) for o in range(k)]
     return spark.createDataFrame(rows, "replicate int, origin int, w double, converged boolean")
 

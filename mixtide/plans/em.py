@@ -19,6 +19,13 @@ from mixtide.operators.likelihood import check_q, emission_matrix, score
 
 #: Numbers of all partitions' sums (8 bytes each) up to which they meet on the driver; beyond it executors add them up first.
 DIRECT = 1 << 20
+#: Numbers that a task of a step takes; steps over fewer run in fewer tasks than the cached input has partitions.
+STEP = 1 << 20
+
+
+def step_tasks(rows: DataFrame, numbers: int) -> int:
+    """Tasks for one pass over so many numbers of cached rows, at most one per partition."""
+    return max(1, min(rows.rdd.getNumPartitions(), math.ceil(numbers / STEP)))
 
 
 @dataclass
@@ -105,6 +112,7 @@ def fit(classes: DataFrame, initial: list[float] | None = None, max_iter: int =
     wide = rows.withColumn("flat", F.array_min("ll") == F.array_max("ll")).cache()
     top = F.col("top")
     head = wide.agg(
+        F.count("*").alias("rows"),
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("flat"), n).otherwise(0)).alias("flat"),
         F.sum(n * top + F.col("own")).alias("offset"),
@@ -122,8 +130,8 @@ def fit(classes: DataFrame, initial: list[float] | None = None, max_iter: int =
             raise ValueError("log-likelihoods must be finite or -Infinity, with support for every row, and of one length")
         if initial is not None and len(initial) != head["k"]:
             raise ValueError("initial weights must have one entry per origin")
-        direct = wide.rdd.getNumPartitions() * (head["k"] + 1) <= DIRECT
-        return _loop(wide.filter("not flat"), head, initial, max_iter, tol, offset, direct)
+        tasks = step_tasks(wide, head["rows"] * head["k"])
+        return _loop(wide.filter("not flat").coalesce(tasks), head, initial, max_iter, tol, offset, tasks * (head["k"] + 1) <= DIRECT)
     finally:
         wide.unpersist()
 
