@@ -13,7 +13,8 @@ whose coordinates count its members in each group. Equal sets are one point. The
 
 The overlap of two sets is at most the sum of coordinate minima of their count vectors. Pairs of nodes descend
 level by level while the summed minima of their boxes allow a link, then pairs of points do; survivors are
-verified on the sets. Cells with the same points are one cell.
+verified on the sets. Cells with the same points are one cell, and a pair of points that meets in several cells survives
+in the least of them alone: a page knows the cells of its points.
 
 Components need no pair inside a component already known: first each cell's points meet its smallest one, then those of
 other components meet its point of most links, its middle, and only points that are still in different components descend.
@@ -39,6 +40,8 @@ from mixtide.llm.components import components
 FOLD = 256
 PAGE = 256
 FAN = 64
+#: Set size beyond which pages hold fewer points: a point may be in so many cells as a share of its size, and its page lists them.
+WIDE = 1024
 #: Slabs beyond the D + 1 that must be there, as a share of D: the emptiest slabs are never entered.
 SPARE = 0.35
 #: Points of a cell beyond which it may be cut at the members that its middle lacks.
@@ -52,7 +55,7 @@ REMEMBERED = 1_000_000
 #: A count that stands for itself or more; a coordinate where both points have it bounds nothing.
 FULL = 65535
 _ROW = "doc_id long, n_shingles long, row_hash long, point long, set_id binary"
-_PAGE = "leaf long, node long, least long, box binary, points array<long>, labels array<long>, sizes array<long>, counts binary"
+_PAGE = "leaf long, node long, least long, box binary, points array<long>, labels array<long>, sizes array<long>, homes array<array<long>>, counts binary"
 _CELL = "leaf long, point long, n long, hub long, hub_n long"
 
 
@@ -244,8 +247,16 @@ def _verified(pairs: DataFrame, vectors: DataFrame, percent: int, tables: Tables
     return both.filter(F.size(F.array_intersect("ma", "mb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
+def _lesser(homes: pa.ListArray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells below leaf that each point of a page is in, one after the other, and the points' bounds in them."""
+    flat = homes.flatten().to_numpy(zero_copy_only=False)
+    bounds = np.concatenate([[0], np.cumsum(homes.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    keep = flat < leaf
+    return flat[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
+
+
 def _meet(percent: int):
-    """Pairs of points of two pages, in different components, that the bound allows to link."""
+    """Pairs of points of two pages, in different components, that the bound allows to link and that no lesser cell has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,6 +264,8 @@ def _meet(percent: int):
             for k in range(batch.num_rows):
                 one, two = ({c: batch.column(c + x)[k].values.to_numpy(zero_copy_only=False) for c in ("points", "labels", "sizes")} | {"counts": np.frombuffer(batch.column("counts" + x)[k].as_py(), dtype="<u2").reshape(-1, FOLD)} for x in ("", "2"))
                 same = batch.column("node")[k].as_py() == batch.column("node2")[k].as_py()
+                (lesser, at), (lesser2, at2) = (_lesser(batch.column("homes" + x)[k].values, batch.column("leaf")[k].as_py()) for x in ("", "2"))
+                owner2 = np.repeat(np.arange(len(at2) - 1), np.diff(at2))
                 for i, p in enumerate(one["points"]):
                     m, n = one["sizes"][i], two["sizes"]
                     open_ = (two["labels"] != one["labels"][i]) & (np.minimum(m, n) * 100 >= np.maximum(m, n) * percent)
@@ -261,6 +274,10 @@ def _meet(percent: int):
                     j = np.flatnonzero(open_)
                     if len(j):
                         j = j[minima(one["counts"][i], two["counts"][j]) * (100 + percent) >= (m + n[j]) * percent]
+                    if len(j) and at[i] < at[i + 1]:
+                        elsewhere = np.zeros(len(n), dtype=bool)
+                        elsewhere[owner2[np.isin(lesser2, lesser[at[i] : at[i + 1]])]] = True
+                        j = j[~elsewhere[j]]
                     if len(j):
                         q, nq, swap = two["points"][j], n[j], two["points"][j] < p
                         found.append((np.where(swap, q, p), np.where(swap, p, q), np.where(swap, nq, m), np.where(swap, m, nq)))
@@ -276,8 +293,9 @@ def _page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             p = batch.column("p")[k].values
             counts = _matrix(p.field("counts"))
-            out.append((min(p.field("n").to_pylist()), counts.max(axis=0).tobytes(), p.field("point"), p.field("label"), p.field("n"), counts.tobytes()))
-        cells = [pa.array([x[c].to_pylist() if c in (2, 3, 4) else x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.binary(), *(pa.list_(pa.int64()),) * 3, pa.binary()))]
+            out.append((min(p.field("n").to_pylist()), counts.max(axis=0).tobytes(), p.field("point"), p.field("label"), p.field("n"), p.field("homes"), counts.tobytes()))
+        kinds = (pa.int64(), pa.binary(), *(pa.list_(pa.int64()),) * 3, pa.list_(pa.list_(pa.int64())), pa.binary())
+        cells = [pa.array([x[c].to_pylist() if c in (2, 3, 4, 5) else x[c] for x in out], t) for c, t in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([batch.column("leaf"), batch.column("node"), *cells], names=[f.split()[0] for f in _PAGE.split(", ")])
 
 
@@ -298,15 +316,18 @@ def _descend(above: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _search(cells: DataFrame, vectors: DataFrame, percent: int, tables: Tables) -> DataFrame:
-    """(leaf, point, n, label) -> pairs (a, b, na, nb) of points of a cell and different components that the tree does not rule out."""
+    """(leaf, point, n, label) -> pairs (a, b, na, nb) of points of a cell and different components that the tree does not rule out, each once."""
     spark = cells.sparkSession
     quiet = tables.session({"spark.sql.execution.arrow.maxRecordsPerBatch": "32"})  # a row may hold two pages
     # a point's place comes from how many smaller ones its cell has, counted by size, and a hash among those of its size
     alike = cells.groupBy("leaf", "n").agg(F.count("*").alias("alike"))
     smaller = Window.partitionBy("leaf").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    alike = alike.withColumn("smaller", F.coalesce(F.sum("alike").over(smaller), F.lit(0)))
-    placed = cells.join(alike, ["leaf", "n"]).withColumn("node", F.floor((F.col("smaller") + F.pmod(F.xxhash64("point"), F.col("alike"))) / PAGE))
-    points = placed.join(vectors.select("point", "counts"), "point").groupBy("leaf", "node").agg(F.collect_list(F.struct("point", "label", "n", "counts")).alias("p"))
+    page = F.greatest(F.lit(1), F.least(F.lit(PAGE), F.floor(PAGE * WIDE / F.max("n").over(Window.partitionBy("leaf")))))
+    alike = alike.withColumns({"smaller": F.coalesce(F.sum("alike").over(smaller), F.lit(0)), "page": page})
+    placed = cells.join(alike, ["leaf", "n"]).withColumn("node", F.floor((F.col("smaller") + F.pmod(F.xxhash64("point"), F.col("alike"))) / F.col("page")))
+    homes = cells.groupBy("point").agg(F.collect_set("leaf").alias("homes"))
+    known = placed.join(vectors.select("point", "counts"), "point").join(homes, "point")
+    points = known.groupBy("leaf", "node").agg(F.collect_list(F.struct("point", "label", "n", "homes", "counts")).alias("p"))
     pages = tables.write(tables.write(points, "grouped", quiet).mapInArrow(_page, _PAGE), "pages")
     levels = [pages.select("leaf", "node", "least", "box")]
     while (levels[-1].agg(F.max("node")).first()[0] or 0) >= FAN:
@@ -316,10 +337,10 @@ def _search(cells: DataFrame, vectors: DataFrame, percent: int, tables: Tables)
     for nodes in reversed(levels):
         pairs = tables.write(_descend(pairs, nodes, percent), "nodes").select("leaf", F.col("node").alias("up"), F.col("node2").alias("up2"))
     pairs = pairs.select("leaf", F.col("up").alias("node"), F.col("up2").alias("node2"))
-    inner = ("points", "labels", "sizes", "counts")
+    inner = ("points", "labels", "sizes", "homes", "counts")
     one, two = pages.select("leaf", "node", *inner), pages.select("leaf", F.col("node").alias("node2"), *[F.col(c).alias(f"{c}2") for c in inner])
     met = pairs.join(one, ["leaf", "node"]).join(two, ["leaf", "node2"]).mapInArrow(_meet(percent), "a long, b long, na long, nb long")
-    return tables.write(met.distinct(), "met", spark)
+    return tables.write(met, "met", spark)
 
 
 def _unlike(cells: DataFrame) -> DataFrame:
